@@ -1,6 +1,6 @@
 """Bracket-aware view of one source text, built inside its row.
 
-``outline(text)`` removes comments, sets string literals aside and then folds
+``with_outline(df)`` removes comments, sets string literals aside and then folds
 bracket groups from the inside out.  Every group is replaced with a token such as
 ``«b12»`` and kept in an array, so what is left at each level holds no nested
 structure and simple patterns can read it at any nesting depth:
@@ -12,12 +12,17 @@ structure and simple patterns can read it at any nesting depth:
     }
 
 Token letters: ``b`` braces, ``p`` parentheses, ``a`` angle brackets, ``s`` square
-brackets that hold a comma.  String literals become ``‹n›`` (index into
-``literals``) and ``=>`` becomes ``⇒`` so that it does not close an angle bracket.
+brackets that hold a comma.  String literals become ``‹n›`` (the n-th of
+``pieces``, odd ones) and ``=>`` becomes ``⇒`` so that it does not close an angle bracket.
 
 All of it is Column expressions on the row: the work is linear in the text times
 its nesting depth, nothing is exploded and nothing is shuffled.
 
+Steps are columns of their own rather than one nested expression: the optimizer
+normalizes a higher-order function together with everything below it, at a cost
+that doubles with every level of nesting.  For the same reason texts are unfolded
+many at a time (``unfold_fields``), not inside further lambdas.
+
 Limits: regular-expression literals holding quotes or brackets, and template
 literals nested in template literals, are not told apart from code.
 """
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Each alternative is a negated class, so matching never recurses on the JVM
@@ -41,10 +46,15 @@ _GROUP = (
 )
 _MARK = "\u0002"  # put around matches so that one scan yields both sides
 
+_SEPARATOR = "\u0003"  # between texts that are unfolded together
+
 # Escaped quotes and backslashes, each held as one private-use character.
 _ESCAPES = [("\\\\", "\ue000"), ("\\'", "\ue001"), ('\\"', "\ue002"), ("\\`", "\ue003")]
 
 
+_FOLDED = "struct<text:string,blocks:array<string>,done:boolean>"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 
@@ -54,43 +64,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _hide_escapes(text: Column) -> Column:
-    out = text
-    for plain, private in _ESCAPES:
-        out = F.replace(out, F.lit(plain), F.lit(private))
-    return F.when(F.contains(text, F.lit("\\")), out).otherwise(text)
+def _code_pieces(text: Column) -> Column:
+    """Code without comments, cut at its literals: odd pieces are the literals.
 
-
-def _show_escapes(text: Column) -> Column:
-    out = text
+    Comment signs inside literals stay.
+    """
+    hidden = text
     for plain, private in _ESCAPES:
-        out = F.replace(out, F.lit(private), F.lit(plain))
-    return F.when(text.rlike("[\ue000-\ue003]"), out).otherwise(text)
-
-
-def _code(text: Column) -> Column:
-    """Text without comments; comment signs inside literals stay."""
-    return F.regexp_replace(_hide_escapes(text), f"({_STRING})|{_COMMENT}", "$1")
-
-
-def _mask(code: Column) -> Column:
-    """Code with every string literal replaced by its index."""
-
-    def number(parts: Column) -> Column:
-        last = F.size(parts) - 1
-        return F.array_join(
-            F.transform(
-                parts,
-                lambda p, i: F.when(
-                    i < last, F.concat(p, F.lit("‹"), i.cast("string"), F.lit("›"))
-                ).otherwise(p),
-            ),
-            "",
-        )
-
-    return F.replace(
-        let(F.split(code, _STRING, -1), number), F.lit("=>"), F.lit("⇒")
+        hidden = F.replace(hidden, F.lit(plain), F.lit(private))
+    code = F.regexp_replace(hidden, f"({_STRING})|{_COMMENT}", "$1")
+    marked = F.regexp_replace(code, _STRING, f"{_MARK}$0{_MARK}")
+    return F.split(marked, _MARK, -1)
+
+
+def _masked(pieces: Column) -> Column:
+    """Code with every literal replaced by its index."""
+    slots = F.transform(
+        pieces,
+        lambda s, i: F.when(i % 2 == 0, s).otherwise(
+            F.concat(F.lit("‹"), F.floor(i / 2).cast("string"), F.lit("›"))
+        ),
     )
+    return F.replace(F.array_join(slots, ""), F.lit("=>"), F.lit("⇒"))
 
 
 def _fold(masked: Column) -> Column:
@@ -130,26 +125,28 @@ def _fold(masked: Column) -> Column:
             )
 
         marked = F.regexp_replace(acc["text"], _GROUP, f"{_MARK}$0{_MARK}")
-        return F.when(acc["done"], acc).otherwise(
-            let(F.split(marked, _MARK, -1), replace_found)
-        )
+        folded = let(F.split(marked, _MARK, -1), replace_found)
+        return F.when(acc["done"], acc).otherwise(folded).cast(_FOLDED)
 
     passes = F.sequence(F.lit(0), F.regexp_count(masked, F.lit(r"[{(<\[]")))
-    return F.aggregate(passes, start, one_pass)
-
-
-def outline(text: Column) -> Column:
-    """struct(top, blocks, literals) of one source text."""
-    return let(
-        _code(text),
-        lambda code: let(
-            _fold(_mask(code)),
-            lambda folded: F.struct(
-                folded["text"].alias("top"),
-                folded["blocks"].alias("blocks"),
-                F.regexp_extract_all(code, F.lit(_STRING), F.lit(0)).alias("literals"),
-            ),
-        ),
+    return F.aggregate(passes, start.cast(_FOLDED), one_pass)
+
+
+def with_outline(df: DataFrame, text: str = "content", name: str = "o") -> DataFrame:
+    """Replace a text column with its outline, struct(top, blocks, pieces)."""
+    kept = [c for c in df.columns if c != text]
+    return (
+        df.select(*kept, _code_pieces(F.col(text)).alias("_pieces"))
+        .select(*kept, "_pieces", _masked(F.col("_pieces")).alias("_masked"))
+        .select(*kept, "_pieces", _fold(F.col("_masked")).alias("_folded"))
+        .select(
+            *kept,
+            F.struct(
+                F.col("_folded.text").alias("top"),
+                F.col("_folded.blocks").alias("blocks"),
+                F.col("_pieces").alias("pieces"),
+            ).alias(name),
+        )
     )
 
 
@@ -163,40 +160,69 @@ def body(o: Column, token_id: Column) -> Column:
     return F.regexp_replace(block(o, token_id), r"^.|.$", "")
 
 
-def unfold(o: Column, text: Column) -> Column:
-    """Text with all tokens and literal slots put back as they were written."""
+def argument(o: Column, token_id: Column) -> Column:
+    """First of the comma-separated parts of a group, folded; NULL if no such group."""
+    first = F.regexp_extract(body(o, token_id), r"^\s*([^,]*)", 1)
+    return F.regexp_replace(first, r"\s+$", "")
 
-    def put_back(t: Column, opener: str, closer: str, letters: int, table: Column) -> Column:
-        # every piece after the first starts with a token's letter and number
-        def fill(piece: Column, i: Column) -> Column:
-            end = F.instr(piece, closer)
-            token_id = F.substring(piece, F.lit(letters + 1), end - letters - 1)
-            return F.when(i == 0, piece).otherwise(
-                F.coalesce(
-                    F.concat(
-                        F.get(table, token_id.try_cast("int")),
-                        F.substring(piece, end + 1, F.length(piece)),
-                    ),
-                    F.concat(F.lit(opener), piece),
-                )
+
+def literal(o: Column, slot: Column) -> Column:
+    """String literal of a slot, with its quotes."""
+    return F.get(o["pieces"], slot.try_cast("int") * 2 + 1)
+
+
+def _put_back(t: Column, opener: str, closer: str, letters: int, look_up) -> Column:
+    # every piece after the first starts with a token's letter and number
+    def fill(piece: Column, i: Column) -> Column:
+        end = F.instr(piece, closer)
+        token_id = F.substring(piece, F.lit(letters + 1), end - letters - 1)
+        return F.when(i == 0, piece).otherwise(
+            F.coalesce(
+                F.concat(
+                    look_up(token_id),
+                    F.substring(piece, end + 1, F.length(piece)),
+                ),
+                F.concat(F.lit(opener), piece),
             )
+        )
+
+    return F.array_join(F.transform(F.split(t, opener, -1), fill), "")
 
-        return F.array_join(F.transform(F.split(t, opener, -1), fill), "")
+
+def unfold(o: Column, text: Column) -> Column:
+    """Text with all tokens and literal slots put back as they were written."""
 
     def one_pass(acc: Column, _: Column) -> Column:
-        return F.when(F.contains(acc, F.lit("«")), put_back(acc, "«", "»", 1, o["blocks"])).otherwise(
-            acc
-        )
+        opened = _put_back(acc, "«", "»", 1, lambda i: block(o, i))
+        return F.when(F.contains(acc, F.lit("«")), opened).otherwise(acc).cast("string")
 
     # inner groups have lower numbers, so every pass lowers the highest one left
     passes = F.sequence(F.lit(0), F.size(o["blocks"]))
-    plain = F.when(
-        F.contains(text, F.lit("«")), F.aggregate(passes, text, one_pass)
-    ).otherwise(text)
-    with_literals = let(
-        plain,
-        lambda t: F.when(
-            F.contains(t, F.lit("‹")), put_back(t, "‹", "›", 0, o["literals"])
-        ).otherwise(t),
+    plain = F.aggregate(passes, text, one_pass)
+    code = _put_back(plain, "‹", "›", 0, lambda i: literal(o, i))
+    out = F.replace(code, F.lit("⇒"), F.lit("=>"))
+    for plain_sign, private in _ESCAPES:
+        out = F.replace(out, F.lit(private), F.lit(plain_sign))
+    return out.cast("string")
+
+
+def unfold_array(o: Column, texts: Column) -> Column:
+    """Unfold all texts of an array in one go (NULL elements count as '')."""
+    joined = F.array_join(texts, _SEPARATOR, "")
+    return F.when(F.size(texts) == 0, F.array().cast("array<string>")).otherwise(
+        F.split(unfold(o, joined), _SEPARATOR, -1)
     )
-    return _show_escapes(F.replace(with_literals, F.lit("⇒"), F.lit("=>")))
+
+
+def unfold_fields(df: DataFrame, column: str, *fields: str, o: str = "o") -> DataFrame:
+    """Unfold the given string fields of an array-of-structs column."""
+    for field in fields:
+        df = df.withColumn(
+            "_texts", F.transform(column, lambda x: F.coalesce(x[field], F.lit("")))
+        ).withColumn("_texts", unfold_array(F.col(o), F.col("_texts")))
+        df = df.withColumn(
+            column,
+            # zipped, not looked up in a lambda: the texts are made once per row
+            F.zip_with(column, "_texts", lambda x, t: x.withField(field, t)),
+        ).drop("_texts")
+    return df

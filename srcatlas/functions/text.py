@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trim_ws(c: Column) -> Column:
     """Strip blanks, tabs and line ends on both sides (``trim`` strips spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "").cast("string")
 
 
 def normalize_newlines(c: Column) -> Column:
@@ -33,7 +33,3 @@ def unquote(c: Column) -> Column:
 def io_docs(params: Column, return_type: Column) -> Column:
     """The two-line docs text of methods and routes."""
     return F.concat(F.lit("Input: ("), params, F.lit(")\nOutput: "), return_type)
-
-
-def join_in_order(c: Column, sep: str = "") -> Column:
-    return F.array_join(c, sep)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import body, let, outline, unfold
+from srcatlas.functions.outline import argument, body, unfold, with_outline
 from srcatlas.functions.text import trim_ws
 
 _LITERAL = r"^(?:‹\d+›|-?\d[\w.]*|true|false)$"
 _LITERAL_TEXT = r"^(?:'[^']*'|\"[^\"]*\"|`[^`]*`|-?\d[\w.]*|true|false)$"
 _NAME = r"^[A-Za-z_$][\w$]*(?:\.[\w$]+)*$"
+_GENERIC = r"^[\w.]+«a(\d+)»$"
+_ARRAY = r"^Array«a(\d+)»$"
+_UNWRAPPED = "struct<base:string,is_array:boolean>"
 
 
 def kind_of_base(t: Column) -> Column:
@@ -30,21 +33,20 @@ def kind_of_base(t: Column) -> Column:
     )
 
 
-def classify_type(text: Column) -> Column:
-    """Kind of a type as written: a kind of ``kind_of_base``, union, array or generic."""
-    t = trim_ws(text)
-
-    def folded_kind(top: Column) -> Column:
-        return (
-            F.when(top.contains("|"), "union")
-            .when(top.endswith("[]") | top.rlike(r"^Array«a\d+»$"), "array")
-            .when(top.rlike(r"^[\w.]+«a\d+»$"), "generic")
-            .otherwise(kind_of_base(t))
-        )
-
-    # a bare name needs no look at its structure
-    return F.when(t.rlike(r"^\w+$"), kind_of_base(t)).otherwise(
-        let(outline(t)["top"], folded_kind)
+def classify_types(df: DataFrame, text: str) -> DataFrame:
+    """Add ``type_kind``: union, array, generic or a kind of ``kind_of_base``."""
+    t = trim_ws(F.col(text))
+    top = F.col("_t.top")
+    kind = (
+        F.when(top.contains("|"), "union")
+        .when(top.endswith("[]") | top.rlike(_ARRAY), "array")
+        .when(top.rlike(_GENERIC), "generic")
+        .otherwise(kind_of_base(t))
+    )
+    return (
+        with_outline(df.withColumn("_text", t), "_text", "_t")
+        .withColumn("type_kind", kind)
+        .drop("_t")
     )
 
 
@@ -54,83 +56,64 @@ def _has_symbol(member: Column) -> Column:
     return member.rlike(r"^[A-Za-z_$«]") & ~plain
 
 
-def first_argument(o: Column, token_id: Column) -> Column:
-    return trim_ws(F.get(F.split(body(o, token_id), ","), F.lit(0)))
-
-
-def unwrap_type(text: Column) -> Column:
-    """struct(base, is_array): the type that is left to look up.
+def unwrap_types(df: DataFrame, text: str) -> DataFrame:
+    """Add ``base`` and ``is_array``: the type that is left to look up.
 
     A union stands for its first member with a symbol ('' if there is none), an array
     for its element, a generic for its first argument; repeated until nothing is left
     to unwrap.  Every step removes a bracket pair, a bar or a keyword, so the number
     of those in the text bounds the steps.
     """
+    o = F.col("_t")
+
+    def step(acc: Column, _: Column) -> Column:
+        t = acc["base"]
+
+        def to(base: Column, is_array: Column = acc["is_array"]) -> Column:
+            return F.struct(base.alias("base"), is_array.alias("is_array"))
 
-    def one_step(o: Column):
-        def step(acc: Column, _: Column) -> Column:
-            t = acc["base"]
-
-            def to(base: Column, is_array: Column | None = None) -> Column:
-                return F.struct(
-                    trim_ws(base).alias("base"),
-                    (acc["is_array"] if is_array is None else is_array).alias("is_array"),
-                )
-
-            members = F.transform(F.split(t, r"\|"), trim_ws)
-            member = F.coalesce(
-                F.get(F.filter(members, _has_symbol), F.lit(0)), F.lit("")
-            )
-            argument = first_argument(o, F.regexp_extract(t, r"«a(\d+)»$", 1))
-            return (
-                F.when(t.contains("|"), to(member))
-                .when(t.rlike(r"^«p\d+»$"), to(body(o, F.regexp_extract(t, r"\d+", 0))))
-                .when(t.startswith("readonly "), to(F.substring(t, F.lit(10), F.length(t))))
-                .when(
-                    t.endswith("[]"),
-                    to(F.substring(t, F.lit(1), F.length(t) - 2), F.lit(True)),
-                )
-                .when(t.rlike(r"^Array«a\d+»$"), to(argument, F.lit(True)))
-                .when(t.rlike(r"^[\w.]+«a\d+»$"), to(argument))
-                .otherwise(acc)
-            )
-
-        return step
-
-    t = trim_ws(text)
-    passes = F.sequence(F.lit(0), F.regexp_count(t, F.lit(r"[|(<\[]|readonly ")))
-
-    def from_outline(o: Column) -> Column:
-        start = F.struct(o["top"].alias("base"), F.lit(False).alias("is_array"))
-        return F.aggregate(
-            passes,
-            start,
-            one_step(o),
-            lambda acc: F.struct(
-                unfold(o, acc["base"]).alias("base"), acc["is_array"].alias("is_array")
-            ),
+        members = F.transform(F.split(t, r"\|"), trim_ws)
+        member = F.coalesce(F.get(F.filter(members, _has_symbol), F.lit(0)), F.lit(""))
+        array = F.lit(True)
+        return (
+            F.when(t.contains("|"), to(member))
+            .when(t.rlike(r"^«p\d+»$"), to(trim_ws(body(o, F.regexp_extract(t, r"\d+", 0)))))
+            .when(t.startswith("readonly "), to(trim_ws(F.replace(t, F.lit("readonly "), F.lit("")))))
+            .when(t.endswith("[]"), to(trim_ws(F.regexp_replace(t, r"\[\]$", "")), array))
+            .when(t.rlike(_ARRAY), to(argument(o, F.regexp_extract(t, _ARRAY, 1)), array))
+            .when(t.rlike(_GENERIC), to(argument(o, F.regexp_extract(t, _GENERIC, 1))))
+            .otherwise(acc)
+            .cast(_UNWRAPPED)
         )
 
-    as_is = F.struct(t.alias("base"), F.lit(False).alias("is_array"))
-    return F.when(t.rlike(r"^\w*$"), as_is).otherwise(let(outline(t), from_outline))
+    trimmed = df.withColumn("_text", trim_ws(F.col(text)))
+    passes = F.sequence(F.lit(0), F.regexp_count(F.col(text), F.lit(r"[|(<\[]|readonly ")))
+    start = F.struct(o["top"].alias("base"), F.lit(False).alias("is_array"))
+    return (
+        with_outline(trimmed, "_text", "_t")
+        .withColumn("_u", F.aggregate(passes, start.cast(_UNWRAPPED), step))
+        .withColumn("base", trim_ws(unfold(o, F.col("_u.base"))))
+        .withColumn("is_array", F.col("_u.is_array"))
+        .drop("_t", "_u")
+    )
 
 
-def type_argument(text: Column) -> Column:
-    """First type argument of a type, or the type itself: ``Promise<T>`` gives ``T``."""
-    t = trim_ws(text)
+def type_arguments(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the first type argument of a type, or the type itself.
 
-    def pick(o: Column) -> Column:
-        top = o["top"]
-        return (
-            F.when(
-                top.rlike(r"^[\w.]+«a\d+»$"),
-                unfold(o, first_argument(o, F.regexp_extract(top, r"«a(\d+)»$", 1))),
-            )
-            .when(
-                top.endswith("[]") & ~top.contains("|"),
-                F.substring(t, F.lit(1), F.length(t) - 2),
-            )
-            .otherwise(t)
+    ``Promise<T>`` gives ``T``, ``T[]`` gives ``T``.
+    """
+    o, t = F.col("_t"), trim_ws(F.col(text))
+    top = F.col("_t.top")
+    picked = (
+        F.when(top.rlike(_GENERIC), argument(o, F.regexp_extract(top, _GENERIC, 1)))
+        .when(
+            top.endswith("[]") & ~top.contains("|"), F.regexp_replace(top, r"\[\]$", "")
         )
-
-    return F.when(t.rlike(r"^\w*$"), t).otherwise(let(outline(t), pick))
+        .otherwise(top)
+    )
+    return (
+        with_outline(df.withColumn("_text", t), "_text", "_t")
+        .withColumn(name, unfold(o, picked))
+        .drop("_t")
+    )

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import body, let, outline, unfold
+from srcatlas.functions.outline import argument, body, unfold_fields, with_outline
+from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import trim_ws, unquote
-from srcatlas.functions.typetext import first_argument, type_argument
+from srcatlas.functions.typetext import type_arguments
 
 _STACK = r"((?:@[\w.]+(?:«p\d+»)?\s*)+)"
 _CONTROLLER_CLASS = (
     _STACK + r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"
-    r"(?:[^;{}«]|«[aps]\d+»)*«b(\d+)»"
+    r"[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*«b(\d+)»"
 )
 _CONTROLLER = r"@Controller\b(?:«p(\d+)»)?"
 _HANDLER = (
@@ -27,130 +28,158 @@ _HANDLER = (
 )
 _VERB = r"@(" + "|".join(P.HTTP_DECORATORS) + r")\b(?:«p(\d+)»)?"
 _PARAMETER = (
-    r"^" + _STACK + r"(?:(?:public|private|protected|readonly)\s+)*"
+    r"^\s*" + _STACK + r"(?:(?:public|private|protected|readonly)\s+)*"
     r"(\w+|«[bs]\d+»)\??\s*(?::\s*([^=]+?))?\s*(?:=[\s\S]*)?$"
 )
 _FIRST_DECORATOR = r"^@(?:\w+\.)*(\w+)"
 
 
-def _argument_text(o: Column, token_id: Column) -> Column:
-    """First decorator argument as text without quotes; '' if there is none."""
-    return F.coalesce(unquote(unfold(o, first_argument(o, token_id))), F.lit(""))
+def _controller_outlines(sources: DataFrame, *keep: str) -> DataFrame:
+    """Outline and first controller class of every file that may hold one.
 
-
-def _controller_classes(o: Column) -> Column:
-    found = F.regexp_extract_all(o["top"], F.lit(_CONTROLLER_CLASS), F.lit(0))
-    return F.filter(
-        found, lambda c: F.regexp_extract(c, _CONTROLLER_CLASS, 1).rlike(_CONTROLLER)
+    The text test runs before the outline, which most files then never need.
+    """
+    o = F.col("o")
+    marked = sources.filter(F.col("content").contains("@Controller"))
+    found = F.filter(
+        F.regexp_extract_all(o["top"], F.lit(_CONTROLLER_CLASS), F.lit(0)),
+        lambda c: F.regexp_extract(c, _CONTROLLER_CLASS, 1).rlike(_CONTROLLER),
+    )
+    return (
+        with_outline(marked.select("project", "path", *keep, "content"))
+        .withColumn("classes", F.slice(found, 1, 1))
+        .withColumn("base", _base_route(o))
     )
 
 
-def file_controller(o: Column) -> Column:
-    """struct(name, base_route, text) of the first controller class, NULL if none."""
+def _base_route(o: Column) -> Column:
+    """array(struct(name, base_route, text)) of the controller found: one or none."""
 
     def read(c: Column) -> Column:
         stack = F.regexp_extract(c, _CONTROLLER_CLASS, 1)
-        return F.when(
-            c.isNotNull(),
-            F.struct(
-                F.regexp_extract(c, _CONTROLLER_CLASS, 2).alias("name"),
-                _argument_text(o, F.regexp_extract(stack, _CONTROLLER, 1)).alias(
-                    "base_route"
-                ),
-                body(o, F.regexp_extract(c, _CONTROLLER_CLASS, 3)).alias("text"),
-            ),
+        return F.struct(
+            F.regexp_extract(c, _CONTROLLER_CLASS, 2).alias("name"),
+            argument(o, F.regexp_extract(stack, _CONTROLLER, 1)).alias("base_route"),
+            body(o, F.regexp_extract(c, _CONTROLLER_CLASS, 3)).alias("text"),
         )
 
-    return let(F.get(_controller_classes(o), F.lit(0)), read)
+    return F.transform("classes", read)
 
 
-def _parameters(o: Column, token_id: Column) -> Column:
-    """Decorated parameters; a later one replaces an earlier one of the same key.
+def controllers(sources: DataFrame) -> DataFrame:
+    """First controller class of every file that has one."""
+    rows = unfold_fields(_controller_outlines(sources), "base", "base_route")
+    return rows.select("project", "path", F.explode(each("base")).alias("c")).select(
+        "project",
+        "path",
+        F.col("c.name").alias("controller"),
+        unquote(F.col("c.base_route")).alias("base_route"),
+    )
 
-    A key keeps the place of its first parameter.
+
+def file_endpoints(rows: DataFrame) -> DataFrame:
+    """Add ``handlers`` and ``params`` to controller outlines.
+
+    ``handlers``: array(struct(verb, method_name, route, return_type)).
+    ``params``: array(struct(handler, key, name, type)) of the decorated parameters
+    of all handlers.  Texts are still folded.
     """
-    pieces = F.filter(
-        F.transform(F.split(body(o, token_id), ","), trim_ws), lambda p: p.rlike(_PARAMETER)
+    o = F.col("o")
+    text = F.get(F.col("base"), F.lit(0))["text"]
+    found = F.coalesce(
+        F.filter(
+            F.regexp_extract_all(text, F.lit(_HANDLER), F.lit(0)),
+            lambda h: F.regexp_extract(h, _HANDLER, 1).rlike(_VERB),
+        ),
+        F.array().cast("array<string>"),
     )
 
-    def read(p: Column) -> Column:
-        type_ = unfold(o, F.regexp_extract(p, _PARAMETER, 3))
+    def handler(h: Column) -> Column:
+        stack = F.regexp_extract(h, _HANDLER, 1)
         return F.struct(
-            F.lower(F.regexp_extract(p, _FIRST_DECORATOR, 1)).alias("key"),
-            unfold(o, F.regexp_extract(p, _PARAMETER, 2)).alias("name"),
-            F.when(type_ == "", "any").otherwise(type_).alias("type"),
+            F.regexp_extract(stack, _VERB, 1).alias("verb"),
+            F.regexp_extract(h, _HANDLER, 2).alias("method_name"),
+            argument(o, F.regexp_extract(stack, _VERB, 2)).alias("route"),
+            F.regexp_extract(h, _HANDLER, 4).alias("return_type"),
+            F.split(body(o, F.regexp_extract(h, _HANDLER, 3)), ",").alias("pieces"),
         )
 
-    def last_of_key(params: Column) -> Column:
-        keys = F.array_distinct(F.transform(params, lambda p: p["key"]))
-        return F.transform(
-            keys,
-            lambda k: F.element_at(F.filter(params, lambda p: p["key"] == k), -1),
+    def parameter(p: Column, i: Column) -> Column:
+        type_ = trim_ws(F.regexp_extract(p, _PARAMETER, 3))
+        return F.struct(
+            i.alias("handler"),
+            F.lower(F.regexp_extract(trim_ws(p), _FIRST_DECORATOR, 1)).alias("key"),
+            F.regexp_extract(p, _PARAMETER, 2).alias("name"),
+            F.when(type_ == "", "any").otherwise(type_).alias("type"),
         )
 
-    return let(F.transform(pieces, read), last_of_key)
-
-
-def file_endpoints(o: Column) -> Column:
-    """Endpoints of the file's first controller, in order; empty if there is none."""
-
-    def read(c: Column) -> Column:
-        handlers = F.filter(
-            F.regexp_extract_all(c["text"], F.lit(_HANDLER), F.lit(0)),
-            lambda h: F.regexp_extract(h, _HANDLER, 1).rlike(_VERB),
+    params = F.flatten(
+        F.transform(
+            "handlers",
+            lambda h, i: F.transform(
+                F.filter(h["pieces"], lambda p: p.rlike(_PARAMETER)),
+                lambda p: parameter(p, i),
+            ),
         )
+    )
+    return (
+        rows.withColumn("found", found)
+        .withColumn("handlers", F.transform("found", handler))
+        .withColumn("params", params)
+    )
 
-        def endpoint(h: Column) -> Column:
-            stack = F.regexp_extract(h, _HANDLER, 1)
-            route = _argument_text(o, F.regexp_extract(stack, _VERB, 2))
-            returns = trim_ws(unfold(o, F.regexp_extract(h, _HANDLER, 4)))
-            return let(
-                F.struct(route.alias("route"), returns.alias("returns")),
-                lambda v: F.struct(
-                    c["name"].alias("controller"),
-                    F.concat(
-                        F.upper(F.regexp_extract(stack, _VERB, 1)),
-                        F.lit(" "),
-                        c["base_route"],
-                        F.when(v["route"].startswith("/"), "").otherwise("/"),
-                        v["route"],
-                    ).alias("route"),
-                    F.regexp_extract(h, _HANDLER, 2).alias("method_name"),
-                    _parameters(o, F.regexp_extract(h, _HANDLER, 3)).alias("params"),
-                    v["returns"].alias("return_type"),
-                    type_argument(v["returns"]).alias("response"),
-                ),
-            )
-
-        return F.transform(handlers, endpoint)
-
-    return let(file_controller(o), read)
 
+def _params_of(pos: Column) -> Column:
+    """Parameters of one handler; a later one replaces an earlier one of its key.
 
-def controllers(sources: DataFrame) -> DataFrame:
-    """First controller class of every file that has one."""
-    return (
-        sources.filter(F.col("content").contains("@Controller"))
-        .select("project", "path", outline(F.col("content")).alias("o"))
-        .select(
-            "project",
-            "path",
-            # a generator instead of a filter: the outline is not evaluated twice
-            F.explode(F.array(file_controller(F.col("o")))).alias("c"),
-        )
-        .filter(F.col("c").isNotNull())
-        .select("project", "path", F.col("c.name").alias("controller"), "c.base_route")
+    A key keeps the place of its first parameter.
+    """
+    own = F.filter("params", lambda p: p["handler"] == pos)
+    keys = F.array_distinct(F.transform(own, lambda p: p["key"]))
+    return F.transform(
+        keys,
+        lambda k: F.element_at(
+            F.filter("params", lambda p: (p["handler"] == pos) & (p["key"] == k)), -1
+        ),
     )
 
 
-def endpoints(sources: DataFrame) -> DataFrame:
+def endpoints(sources: DataFrame, *keep: str) -> DataFrame:
     """One row per endpoint, with its parameters as an ordered array."""
-    return (
-        sources.filter(F.col("content").contains("@Controller"))
-        .select("project", "path", outline(F.col("content")).alias("o"))
-        .select("project", "path", F.posexplode(file_endpoints(F.col("o"))).alias("pos", "e"))
-        .select("project", "path", "pos", "e.*")
+    rows = file_endpoints(_controller_outlines(sources, *keep))
+    rows = unfold_fields(rows, "base", "base_route")
+    rows = unfold_fields(rows, "handlers", "route", "return_type")
+    rows = unfold_fields(rows, "params", "name", "type")
+    base = F.get(F.col("base"), F.lit(0))
+    flat = rows.select(
+        "project",
+        "path",
+        *keep,
+        base["name"].alias("controller"),
+        unquote(base["base_route"]).alias("base_route"),
+        "params",
+        F.posexplode(each("handlers")).alias("pos", "h"),
+    )
+    route = unquote(F.col("h.route"))
+    full = F.concat(
+        F.upper("h.verb"),
+        F.lit(" "),
+        "base_route",
+        F.when(route.startswith("/"), "").otherwise("/"),
+        route,
     )
+    named = flat.select(
+        "project",
+        "path",
+        *keep,
+        "pos",
+        "controller",
+        full.alias("route"),
+        F.col("h.method_name").alias("method_name"),
+        _params_of(F.col("pos")).alias("params"),
+        trim_ws(F.col("h.return_type")).alias("return_type"),
+    )
+    return type_arguments(named, "return_type", "response")
 
 
 def endpoint_params(endpoint_rows: DataFrame) -> DataFrame:
@@ -159,8 +188,10 @@ def endpoint_params(endpoint_rows: DataFrame) -> DataFrame:
         "path",
         "pos",
         "method_name",
-        F.posexplode("params").alias("param_pos", "p"),
-    ).select("project", "path", "pos", "method_name", "param_pos", "p.*")
+        F.posexplode(each("params")).alias("param_pos", "p"),
+    ).select(
+        "project", "path", "pos", "method_name", "param_pos", "p.key", "p.name", "p.type"
+    )
 
 
 def endpoint_param_map(endpoint_rows: DataFrame) -> DataFrame:

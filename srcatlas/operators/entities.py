@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, let, outline, unfold
+from srcatlas.functions.outline import block, body, unfold_array, unfold_fields, with_outline
+from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import io_docs, slash_path, trim_ws
 
 _MODIFIERS = "public|private|protected|readonly|static|declare|override|abstract"
@@ -41,7 +42,10 @@ _MEMBER_PROPERTY = (
     r"(\w+)\s*[?!]?\s*:\s*([^;]+);"
 )
 _STACKED = r"@(?:\w+\.)*(\w+)(?:«p(\d+)»)?"
-_CLASS_BODY = r"\bclass\s+(\w+)[^;{}]*?«b(\d+)»"
+_CLASS_BODY = r"\bclass\s+(\w+)[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*«b(\d+)»"
+_RAW_HEAD = (
+    r"@\w+\s*(?:\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*[\w.]+|['\"]\w+['\"]))?"
+)
 _TARGET = r"^\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*(?:\w+\.)*(\w+)|['\"](\w+)['\"])"
 
 
@@ -54,15 +58,29 @@ def class_names(text: Column) -> Column:
     return _find(text, P.CLASS_HEADER, 1)
 
 
-def _class_body(o: Column, name: Column) -> Column:
-    """Folded body of the first class of that name, at any nesting level; '' if none."""
-    levels = F.concat(
-        F.array(o["top"]), F.filter(o["blocks"], lambda b: b.startswith("{"))
+def _with_bodies(rows: DataFrame) -> DataFrame:
+    """Add ``bodies``: for each of ``names`` the folded body of the first class of that
+    name, at any nesting level; '' if there is none."""
+    o = F.col("o")
+    levels = F.concat(F.array(o["top"]), F.filter(o["blocks"], lambda b: b.startswith("{")))
+    headers = F.col("_headers")
+
+    def one_body(name: Column) -> Column:
+        own = F.filter(headers, lambda h: F.regexp_extract(h, _CLASS_BODY, 1) == name)
+        token = F.regexp_extract(F.get(own, F.lit(0)), _CLASS_BODY, 2)
+        return F.coalesce(body(o, token), F.lit(""))
+
+    return (
+        rows.withColumn("_headers", _find(F.array_join(levels, "\n"), _CLASS_BODY))
+        # a second use of the headers keeps their search out of the lambda
+        .withColumn(
+            "bodies",
+            F.when(F.size(headers) == 0, F.transform("names", lambda _: F.lit(""))).otherwise(
+                F.transform("names", one_body)
+            ),
+        )
+        .drop("_headers")
     )
-    headers = F.flatten(F.transform(levels, lambda t: _find(t, _CLASS_BODY)))
-    hits = F.filter(headers, lambda h: F.regexp_extract(h, _CLASS_BODY, 1) == name)
-    token = F.regexp_extract(F.get(hits, F.lit(0)), _CLASS_BODY, 2)
-    return F.coalesce(body(o, token), F.lit(""))
 
 
 # --- methods -------------------------------------------------------------------
@@ -89,29 +107,38 @@ def file_methods(text: Column) -> Column:
     )
 
 
-def body_methods(o: Column, text: Column) -> Column:
-    """Annotated methods of one folded class body.
+def _with_body_methods(rows: DataFrame) -> DataFrame:
+    """Add ``methods``: array(struct(owner, name, params, return_type)) of all bodies.
 
     As in a whole text, a parameter list ends at its first closing parenthesis, so
     methods with parentheses among the parameters are left out, and the return type
     ends at the first opening brace.
     """
-
-    def read(m: Column) -> Column:
-        params = F.regexp_replace(
-            unfold(o, block(o, F.regexp_extract(m, _MEMBER_METHOD, 2))), r"^.|.$", ""
-        )
-        returns = unfold(o, F.regexp_extract(m, _MEMBER_METHOD, 3))
-        return _method(
-            F.regexp_extract(m, _MEMBER_METHOD, 1),
-            params,
-            trim_ws(F.regexp_extract(returns, r"^[^{]*", 0)),
+    o = F.col("o")
+
+    def of_body(text: Column, i: Column) -> Column:
+        return F.transform(
+            _find(text, _MEMBER_METHOD),
+            lambda m: F.struct(
+                i.alias("owner"),
+                F.regexp_extract(m, _MEMBER_METHOD, 1).alias("name"),
+                body(o, F.regexp_extract(m, _MEMBER_METHOD, 2)).alias("params"),
+                F.regexp_extract(m, _MEMBER_METHOD, 3).alias("return_type"),
+            ),
         )
 
-    found = F.transform(_find(text, _MEMBER_METHOD), read)
-    return F.filter(
-        found, lambda m: ~F.contains(m["params"], F.lit(")")) & (m["return_type"] != "")
+    rows = rows.withColumn("methods", F.flatten(F.transform("bodies", of_body)))
+    rows = unfold_fields(rows, "methods", "params", "return_type")
+    cut = F.transform(
+        "methods",
+        lambda m: m.withField(
+            "return_type", trim_ws(F.regexp_extract(m["return_type"], r"^[^{]*", 0))
+        ),
     )
+    kept = F.filter(
+        cut, lambda m: ~F.contains(m["params"], F.lit(")")) & (m["return_type"] != "")
+    )
+    return rows.withColumn("methods", kept)
 
 
 # --- properties and edges --------------------------------------------------------
@@ -139,28 +166,28 @@ def _strict_target(statement: Column) -> Column:
     return F.regexp_extract(statement, P.EMPTY_ARROW_TARGET, 1)
 
 
-def _edges(decorators: Column, target_of) -> Column:
-    """array(struct(to, type)) of the relations among (name, argument) pairs."""
-    relations = F.filter(decorators, lambda d: d["name"].isin(P.RELATION_DECORATORS))
-    edges = F.transform(
-        relations, lambda d: F.struct(target_of(d).alias("to"), d["name"].alias("type"))
+def _edges(decorators: Column) -> Column:
+    """array(struct(to, type)) of the relations among (name, target) pairs."""
+    relations = F.filter(
+        decorators, lambda d: d["name"].isin(P.RELATION_DECORATORS) & (d["target"] != "")
+    )
+    return F.transform(
+        relations, lambda d: F.struct(d["target"].alias("to"), d["name"].alias("type"))
     )
-    return F.filter(edges, lambda e: e["to"] != "")
 
 
-def _own_target(d: Column) -> Column:
+def _own_target(argument: Column) -> Column:
     return F.concat(
-        F.regexp_extract(d["argument"], _TARGET, 1),
-        F.regexp_extract(d["argument"], _TARGET, 2),
+        F.regexp_extract(argument, _TARGET, 1), F.regexp_extract(argument, _TARGET, 2)
     )
 
 
-def _property(name: Column, type_: Column, decorators: Column, edges: Column) -> Column:
+def _property(name: Column, type_: Column, decorators: Column) -> Column:
     return F.struct(
         name.alias("name"),
         type_.alias("type"),
         F.transform(decorators, lambda d: d["name"]).alias("decorators"),
-        edges.alias("edges"),
+        _edges(decorators).alias("edges"),
     )
 
 
@@ -170,57 +197,81 @@ def raw_properties(text: Column, decorators: str, targets: str) -> Column:
     def read(s: Column) -> Column:
         prefix = F.regexp_extract(s, P.PROPERTY, 1)
         heads = F.transform(
-            _find(prefix, r"@\w+\s*(?:\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*[\w.]+|['\"]\w+['\"]))?"),
+            _find(prefix, _RAW_HEAD),
             lambda h: F.struct(
                 F.regexp_extract(h, r"^@(\w+)", 1).alias("name"),
-                F.regexp_extract(h, r"^@\w+\s*(.*)$", 1).alias("argument"),
+                (
+                    _own_target(F.regexp_extract(h, r"^@\w+\s*(.*)$", 1))
+                    if targets == "any"
+                    else F.regexp_extract(s, P.EMPTY_ARROW_TARGET, 1)
+                ).alias("target"),
             ),
         )
         if decorators == "last":
             heads = F.slice(heads, F.greatest(F.size(heads), F.lit(1)), F.lit(1))
-        target_of = _own_target if targets == "any" else (lambda d: _strict_target(s))
         return _property(
             F.regexp_extract(s, P.PROPERTY, 2),
             trim_ws(F.regexp_extract(s, P.PROPERTY, 3)),
             heads,
-            _edges(heads, target_of),
         )
 
     return F.transform(F.filter(statements(text), lambda s: s.rlike(P.PROPERTY)), read)
 
 
-def body_properties(o: Column, text: Column, decorators: str, targets: str) -> Column:
-    """Decorated properties of one folded class body."""
+def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> DataFrame:
+    """Add ``properties``: array(struct(owner, name, type, decorators, edges))."""
+    o = F.col("o")
 
-    def read(m: Column) -> Column:
-        stack = F.regexp_extract(m, _MEMBER_PROPERTY, 1)
-        heads = F.transform(
-            _find(stack, _STACKED),
+    def of_body(text: Column, i: Column) -> Column:
+        return F.transform(
+            _find(text, _MEMBER_PROPERTY),
+            lambda m: F.struct(
+                i.alias("owner"),
+                F.regexp_extract(m, _MEMBER_PROPERTY, 2).alias("name"),
+                F.regexp_extract(m, _MEMBER_PROPERTY, 3).alias("type"),
+                _find(F.regexp_extract(m, _MEMBER_PROPERTY, 1), _STACKED).alias("stack"),
+                m.alias("statement"),
+            ),
+        )
+
+    def heads_of(p: Column, i: Column) -> Column:
+        stack = F.slice(p["stack"], -1, 1) if decorators == "last" else p["stack"]
+        return F.transform(
+            stack,
             lambda h: F.struct(
+                i.alias("owner"),
                 F.regexp_extract(h, _STACKED, 1).alias("name"),
-                F.coalesce(
-                    unfold(o, block(o, F.regexp_extract(h, _STACKED, 2))), F.lit("")
-                ).alias("argument"),
+                (
+                    block(o, F.regexp_extract(h, _STACKED, 2))
+                    if targets == "any"
+                    else p["statement"]
+                ).alias("target"),
             ),
         )
-        if decorators == "last":
-            heads = F.slice(heads, -1, 1)
-
-        def read_heads(hs: Column) -> Column:
-            if targets == "any":
-                edges = _edges(hs, _own_target)
-            else:
-                edges = _edges(hs, lambda d: _strict_target(unfold(o, m)))
-            return _property(
-                F.regexp_extract(m, _MEMBER_PROPERTY, 2),
-                trim_ws(unfold(o, F.regexp_extract(m, _MEMBER_PROPERTY, 3))),
-                hs,
-                edges,
-            )
-
-        return let(heads, read_heads)
 
-    return F.transform(_find(text, _MEMBER_PROPERTY), read)
+    rows = rows.withColumn("_found", F.flatten(F.transform("bodies", of_body)))
+    rows = rows.withColumn("_heads", F.flatten(F.transform("_found", heads_of)))
+    rows = unfold_fields(rows, "_heads", "target")
+    rows = unfold_fields(rows, "_found", "type")
+    heads = F.transform(
+        "_heads",
+        lambda h: h.withField(
+            "target",
+            _own_target(h["target"])
+            if targets == "any"
+            else F.regexp_extract(h["target"], P.EMPTY_ARROW_TARGET, 1),
+        ),
+    )
+    rows = rows.withColumn("_heads", heads)
+    own = F.col("_heads")
+    properties = F.transform(
+        "_found",
+        lambda p, i: _property(
+            p["name"], trim_ws(p["type"]), F.filter(own, lambda h: h["owner"] == i)
+        ).withField("owner", p["owner"]),
+    )
+    # `own` stands in two places of the lambda, so it stays a column of its own
+    return rows.withColumn("properties", properties).drop("_found", "_heads")
 
 
 # --- per-class records --------------------------------------------------------------
@@ -240,69 +291,61 @@ def class_records(
     ``methods`` and ``properties`` (each property carries its edges).
     """
     content = F.col("content")
-    base = sources.select(
+    wanted = [m for m in ("methods", "properties") if m in members]
+    kind = F.when(content.contains(P.ENTITY_MARKER), "entity").otherwise("class")
+    raw = "properties" in wanted and arguments == "raw"
+    own_file = scope == "file"
+    rows = sources.select(
         "project",
         "path",
-        F.when(content.contains(P.ENTITY_MARKER), "entity").otherwise("class").alias("kind"),
-        "content",
+        kind.alias("kind"),
+        class_names(content).alias("names"),
+        *([content.alias("text")] if own_file else []),
+        content,
     )
-    own_file = scope == "file"
-    folded = arguments == "strip"
-
-    def member_arrays(o: Column, text: Column) -> list[Column]:
-        """``text`` is a folded body, or raw text where nothing was folded."""
-        out = []
-        if "methods" in members:
-            made = file_methods(content) if own_file else body_methods(o, text)
-            out.append(made.alias("methods"))
-        if "properties" in members:
-            if folded:
-                made = body_properties(o, text, decorators, targets)
-            else:
-                raw = content if own_file else unfold(o, text)
-                made = raw_properties(raw, decorators, targets)
-            out.append(made.alias("properties"))
-        return out
-
-    keep = ["project", "path", "kind"]
-    if own_file:
-        # members once per file, shared by its classes
-        if folded and "properties" in members:
-            base = base.withColumn("o", outline(content))
-            bodies = F.array_join(
-                F.transform(class_names(content), lambda n: _class_body(F.col("o"), n)), "\n"
+    if wanted and not (own_file and (raw or "properties" not in wanted)):
+        rows = _with_bodies(with_outline(rows))
+    if "methods" in wanted:
+        if own_file:
+            rows = rows.withColumn("methods", file_methods(F.col("text")))
+        else:
+            rows = _with_body_methods(rows)
+    if "properties" in wanted:
+        if not raw:
+            rows = _with_body_properties(rows, decorators, targets)
+        elif own_file:
+            rows = rows.withColumn(
+                "properties", raw_properties(F.col("text"), decorators, targets)
             )
         else:
-            bodies = content
-        facts = base.select(
-            *keep, class_names(content).alias("names"), *member_arrays(F.col("o"), bodies)
-        )
-        wanted = [m for m in ("methods", "properties") if m in members]
-        rows = facts.select(
-            *keep, *wanted, F.posexplode("names").alias("class_pos", "name")
-        )
-    elif members:
-        with_outline = base.select(
-            *keep, class_names(content).alias("names"), outline(content).alias("o")
-        )
-
-        def one_class(name: Column) -> Column:
-            return let(
-                _class_body(F.col("o"), name),
-                lambda text: F.struct(
-                    name.alias("name"), *member_arrays(F.col("o"), text)
+            rows = rows.withColumn("bodies", unfold_array(F.col("o"), F.col("bodies")))
+            found = F.transform(
+                "bodies",
+                lambda t, i: F.transform(
+                    raw_properties(t, decorators, targets), lambda p: p.withField("owner", i)
                 ),
             )
+            rows = rows.withColumn("properties", F.flatten(found))
 
-        rows = with_outline.select(
-            *keep,
-            F.posexplode(F.transform("names", one_class)).alias("class_pos", "c"),
-        ).select(*keep, "class_pos", "c.*")
-    else:
-        rows = base.select(
-            *keep, F.posexplode(class_names(content)).alias("class_pos", "name")
+    pos = F.col("class_pos")
+
+    def own(member: str) -> Column:
+        if own_file:
+            made = F.transform(member, lambda m: m)
+        else:
+            made = F.filter(member, lambda m: m["owner"] == pos)
+        if member == "properties":
+            fields = ("name", "type", "decorators", "edges")
+            return F.transform(made, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
+        return F.transform(
+            made, lambda m: _method(m["name"], m["params"], m["return_type"])
         )
-    return rows.select(
+
+    keep = ["project", "path", "kind"]
+    per_class = rows.select(
+        *keep, *wanted, F.posexplode(each("names")).alias("class_pos", "name")
+    )
+    return per_class.select(
         "project",
         "path",
         "class_pos",
@@ -310,7 +353,7 @@ def class_records(
         "kind",
         slash_path(F.col("path")).alias("file_path"),
         F.lit(P.CLASS_DOCS).alias("docs"),
-        *[m for m in ("methods", "properties") if m in members],
+        *[own(m).alias(m) for m in wanted],
     )
 
 
@@ -333,7 +376,7 @@ def _exploded(records: DataFrame, column: str) -> DataFrame:
         "class_pos",
         F.col("name").alias("class"),
         "kind",
-        F.posexplode(column).alias("pos", "m"),
+        F.posexplode(each(column)).alias("pos", "m"),
     )
 
 
@@ -358,7 +401,7 @@ def property_decorators(sources: DataFrame, **reading: str) -> DataFrame:
         "class",
         F.col("pos").alias("property_pos"),
         F.col("name").alias("property"),
-        F.posexplode("decorators").alias("pos", "decorator"),
+        F.posexplode(each("decorators")).alias("pos", "decorator"),
     )
 
 
@@ -374,7 +417,7 @@ def relationships(sources: DataFrame, **reading: str) -> DataFrame:
         "class_pos",
         F.col("pos").alias("property_pos"),
         "class",
-        F.posexplode("m.edges").alias("pos", "e"),
+        F.posexplode(each("m.edges")).alias("pos", "e"),
     ).select(
         "project",
         "path",

@@ -6,103 +6,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import body, let, outline, unfold
-from srcatlas.functions.text import slash_path, trim_ws
-from srcatlas.functions.typetext import kind_of_base, unwrap_type
-from srcatlas.operators.api import file_endpoints
+from srcatlas.functions.outline import block, body, literal, unfold_fields, with_outline
+from srcatlas.functions.rows import each, settle
+from srcatlas.functions.text import slash_path, trim_ws, unquote
+from srcatlas.functions.typetext import kind_of_base, unwrap_types
+from srcatlas.operators.api import endpoints
 
 _DECLARATION = (
-    r"\b(class|interface|enum)\s+(\w+)(?:«a\d+»)?(?:[^;{}«]|«[aps]\d+»)*«b(\d+)»"
+    r"\b(class|interface|enum)\s+(\w+)[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*«b(\d+)»"
 )
 _FIELD = (
     r"(?md)(?:^|[;,])[ \t\f\r]*(?:@[\w.]+(?:«p\d+»)?\s*)*"
     r"(?:(?:public|private|protected|readonly|static|declare|override|abstract)\s+)*"
     r"(\w+|‹\d+›)[?!]?\s*:\s*([^;,\n=]+(?:\n[ \t]*[|&][^;,\n=]+)*)"
 )
-_IMPORT = r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?«b(\d+)»\s*from\s*(‹\d+›)"
-_IMPORTED = r"^(?:type\s+)?(\w+)(?:\s+as\s+(\w+))?$"
+_MEMBER = r"^\s*([\w$]+|‹\d+›)"
+_IMPORT = r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?«b(\d+)»\s*from\s*‹(\d+)›"
+_IMPORTED = r"^\s*(?:type\s+)?(\w+)(?:\s+as\s+(\w+))?\s*$"
+_TOKEN_ID = r"«[bpas](\d+)»"
+_IDS = "struct<all:array<string>,new:array<string>>"
 
 
 # --- declarations of one file -------------------------------------------------------
 
 
-def _fields(o: Column, text: Column) -> Column:
-    """array(struct(name, type)) of a folded declaration body."""
+def _file_declarations(o: Column) -> Column:
+    """array(struct(name, kind, text)) of top-level classes, interfaces and enums."""
     return F.transform(
-        F.regexp_extract_all(text, F.lit(_FIELD), F.lit(0)),
-        lambda m: F.struct(
-            F.translate(unfold(o, F.regexp_extract(m, _FIELD, 1)), "'\"", "").alias("name"),
-            trim_ws(unfold(o, F.regexp_extract(m, _FIELD, 2))).alias("type"),
+        F.regexp_extract_all(o["top"], F.lit(_DECLARATION), F.lit(0)),
+        lambda d: F.struct(
+            F.regexp_extract(d, _DECLARATION, 2).alias("name"),
+            F.regexp_extract(d, _DECLARATION, 1).alias("kind"),
+            body(o, F.regexp_extract(d, _DECLARATION, 3)).alias("text"),
         ),
     )
 
 
-def _enum_members(o: Column, text: Column) -> Column:
-    names = F.transform(
-        F.split(text, ","),
-        lambda m: unfold(o, F.regexp_extract(m, r"^\s*([\w$]+|‹\d+›)", 1)),
-    )
-    return F.filter(names, lambda n: n != "")
+def _declared_fields(declared: Column) -> Column:
+    """array(struct(owner, name, type)) of all declarations; owner is their index."""
+
+    def of_one(d: Column, i: Column) -> Column:
+        text = F.when(d["kind"] == "enum", "").otherwise(d["text"])
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(_FIELD), F.lit(0)),
+            lambda m: F.struct(
+                i.alias("owner"),
+                F.regexp_extract(m, _FIELD, 1).alias("name"),
+                F.regexp_extract(m, _FIELD, 2).alias("type"),
+            ),
+        )
+
+    return F.flatten(F.transform(declared, of_one))
 
 
-def file_declarations(o: Column) -> Column:
-    """Top-level classes, interfaces and enums of a file, in order."""
+def _declared_members(declared: Column) -> Column:
+    """array(struct(owner, name)) of all enum members."""
 
-    def read(d: Column) -> Column:
-        kind = F.regexp_extract(d, _DECLARATION, 1)
-        return let(
-            body(o, F.regexp_extract(d, _DECLARATION, 3)),
-            lambda text: F.struct(
-                F.regexp_extract(d, _DECLARATION, 2).alias("name"),
-                kind.alias("kind"),
-                F.when(kind == "enum", F.array().cast("array<struct<name:string,type:string>>"))
-                .otherwise(_fields(o, text))
-                .alias("fields"),
-                F.when(kind == "enum", _enum_members(o, text))
-                .otherwise(F.array().cast("array<string>"))
-                .alias("members"),
+    def of_one(d: Column, i: Column) -> Column:
+        pieces = F.filter(F.split(d["text"], ","), lambda p: p.rlike(_MEMBER))
+        return F.transform(
+            F.when(d["kind"] == "enum", pieces).otherwise(F.array().cast("array<string>")),
+            lambda p: F.struct(
+                i.alias("owner"), F.regexp_extract(p, _MEMBER, 1).alias("name")
             ),
         )
 
-    return F.transform(
-        F.regexp_extract_all(o["top"], F.lit(_DECLARATION), F.lit(0)), read
-    )
+    return F.flatten(F.transform(declared, of_one))
 
 
-def _declaration_rows(sources: DataFrame) -> DataFrame:
-    return (
-        sources.select("project", "path", outline(F.col("content")).alias("o"))
-        .select(
-            "project", "path", F.posexplode(file_declarations(F.col("o"))).alias("type_pos", "d")
-        )
-        .select("project", "path", "type_pos", "d.*")
+def _with_declarations(sources: DataFrame) -> DataFrame:
+    return with_outline(sources.select("project", "path", "content")).withColumn(
+        "declared", _file_declarations(F.col("o"))
     )
 
 
 def type_fields(sources: DataFrame) -> DataFrame:
     """Declared fields of every class and interface."""
-    rows = _declaration_rows(sources).select(
+    rows = _with_declarations(sources).withColumn(
+        "fields", _declared_fields(F.col("declared"))
+    )
+    rows = unfold_fields(rows, "fields", "name", "type")
+    per_type = rows.select(
+        "project", "path", "fields", F.posexplode(each("declared")).alias("type_pos", "d")
+    )
+    own = F.filter("fields", lambda f: f["owner"] == F.col("type_pos"))
+    return per_type.select(
+        "project",
+        "path",
+        "type_pos",
+        F.col("d.name").alias("type_name"),
+        F.col("d.kind").alias("kind"),
+        F.posexplode(each(own)).alias("pos", "f"),
+    ).select(
         "project",
         "path",
         "type_pos",
-        F.col("name").alias("type_name"),
+        "type_name",
         "kind",
-        F.posexplode("fields").alias("pos", "f"),
-    )
-    return rows.select(
-        "project", "path", "type_pos", "type_name", "kind", "pos", "f.name", "f.type"
+        "pos",
+        unquote(F.col("f.name")).alias("name"),
+        trim_ws(F.col("f.type")).alias("type"),
     )
 
 
 def enums(sources: DataFrame) -> DataFrame:
     """Members of every enum."""
-    rows = _declaration_rows(sources).filter(F.col("kind") == "enum")
+    marked = sources.filter(F.col("content").contains("enum"))
+    rows = _with_declarations(marked)
+    rows = rows.withColumn("declared", F.filter("declared", lambda d: d["kind"] == "enum"))
+    rows = rows.withColumn("members", _declared_members(F.col("declared")))
+    rows = unfold_fields(rows, "members", "name").select(
+        "project", "path", "members", F.posexplode(each("declared")).alias("owner", "d")
+    )
+    own = F.filter("members", lambda m: m["owner"] == F.col("owner"))
     return rows.select(
-        "project",
-        "path",
-        F.col("name").alias("enum"),
-        F.posexplode("members").alias("pos", "member"),
-    )
+        "project", "path", F.col("d.name").alias("enum"), F.posexplode(each(own)).alias("pos", "m")
+    ).select("project", "path", "enum", "pos", F.col("m.name").alias("member"))
 
 
 # --- interfaces -----------------------------------------------------------------------
@@ -110,18 +129,27 @@ def enums(sources: DataFrame) -> DataFrame:
 
 def interface_records(sources: DataFrame) -> DataFrame:
     """One row per top-level interface with its properties as an ordered array."""
-    return (
-        _declaration_rows(sources)
-        .filter(F.col("kind") == "interface")
-        .select(
-            "project",
-            "path",
-            "type_pos",
-            "name",
-            slash_path(F.col("path")).alias("file_path"),
-            F.lit(P.INTERFACE_DOCS).alias("docs"),
-            F.col("fields").alias("properties"),
-        )
+    marked = sources.filter(F.col("content").contains("interface"))
+    rows = _with_declarations(marked)
+    rows = rows.withColumn("fields", _declared_fields(F.col("declared")))
+    rows = unfold_fields(rows, "fields", "name", "type").select(
+        "project", "path", "fields", F.posexplode(each("declared")).alias("type_pos", "d")
+    )
+    own = F.filter("fields", lambda f: f["owner"] == F.col("type_pos"))
+    properties = F.transform(
+        own,
+        lambda f: F.struct(
+            unquote(f["name"]).alias("name"), trim_ws(f["type"]).alias("type")
+        ),
+    )
+    return rows.filter(F.col("d.kind") == "interface").select(
+        "project",
+        "path",
+        "type_pos",
+        F.col("d.name").alias("name"),
+        slash_path(F.col("path")).alias("file_path"),
+        F.lit(P.INTERFACE_DOCS).alias("docs"),
+        properties.alias("properties"),
     )
 
 
@@ -137,7 +165,7 @@ def interface_properties(sources: DataFrame) -> DataFrame:
             "path",
             "type_pos",
             F.col("name").alias("interface"),
-            F.posexplode("properties").alias("pos", "p"),
+            F.posexplode(each("properties")).alias("pos", "p"),
         )
         .select("project", "path", "type_pos", "interface", "pos", "p.name", "p.type")
     )
@@ -201,219 +229,201 @@ def module_path(importer: Column, module: Column) -> Column:
     return F.when(module.startswith(".") | module.startswith("src/"), with_suffix)
 
 
-def file_imports(o: Column, path: Column) -> Column:
-    """array(struct(name, local, module, target)) of the named imports of a file."""
+def _file_imports(o: Column) -> Column:
+    """array(struct(name, local, module)) of the named imports of a file."""
 
-    def one_statement(m: Column) -> Column:
-        module = F.translate(unfold(o, F.regexp_extract(m, _IMPORT, 2)), "'\"`", "")
-        names = F.transform(
-            F.split(body(o, F.regexp_extract(m, _IMPORT, 1)), ","), trim_ws
-        )
+    def of_statement(m: Column) -> Column:
+        names = F.split(body(o, F.regexp_extract(m, _IMPORT, 1)), ",")
+        module = literal(o, F.regexp_extract(m, _IMPORT, 2))
 
-        def one_name(module: Column, n: Column) -> Column:
-            alias = F.regexp_extract(n, _IMPORTED, 2)
-            name = F.regexp_extract(n, _IMPORTED, 1)
+        def one_name(n: Column) -> Column:
+            name, alias = (F.regexp_extract(n, _IMPORTED, g) for g in (1, 2))
             return F.struct(
                 name.alias("name"),
                 F.when(alias == "", name).otherwise(alias).alias("local"),
-                module.alias("module"),
-                module_path(path, module).alias("target"),
+                F.translate(module, "'\"`", "").alias("module"),
             )
 
-        return let(
-            module,
-            lambda mod: F.transform(
-                F.filter(names, lambda n: n.rlike(_IMPORTED)), lambda n: one_name(mod, n)
-            ),
-        )
+        return F.transform(F.filter(names, lambda n: n.rlike(_IMPORTED)), one_name)
+
+    found = F.regexp_extract_all(o["top"], F.lit(_IMPORT), F.lit(0))
+    return F.flatten(F.transform(found, of_statement))
+
 
-    return F.flatten(
-        F.transform(F.regexp_extract_all(o["top"], F.lit(_IMPORT), F.lit(0)), one_statement)
+def with_imports(rows: DataFrame) -> DataFrame:
+    """Add ``imported``: array(struct(name, local, module, target))."""
+    targets = F.transform(
+        "_named",
+        lambda i: i.withField("target", module_path(F.col("path"), i["module"])),
+    )
+    return (
+        rows.withColumn("_named", _file_imports(F.col("o")))
+        .withColumn("imported", targets)
+        .drop("_named")
     )
 
 
 def imports(sources: DataFrame) -> DataFrame:
-    return (
-        sources.select("project", "path", outline(F.col("content")).alias("o"))
-        .select(
-            "project",
-            "path",
-            F.posexplode(file_imports(F.col("o"), F.col("path"))).alias("pos", "i"),
-        )
-        .select("project", "path", "pos", "i.*")
+    marked = sources.filter(F.col("content").contains("import"))
+    rows = with_imports(with_outline(marked.select("project", "path", "content")))
+    return rows.select("project", "path", F.posexplode(each("imported")).alias("pos", "i")).select(
+        "project", "path", "pos", "i.*"
     )
 
 
 # --- what a type text refers to ------------------------------------------------------------
 
 
-def describe(type_: Column, path: Column, file_imports_: Column) -> Column:
-    """struct(base, is_array, kind, ref_path, ref_name) of a type written in a file.
+def describe(rows: DataFrame, text: str) -> DataFrame:
+    """Add base, is_array, type_kind, ref_path and ref_name of a type written in a file.
 
-    A name means its import if there is one, else a declaration of the same file.
-    An inline object type is its own declaration, named by its text.
+    Needs ``path`` and ``imported``.  A name means its import if there is one, else a
+    declaration of the same file.  An inline object type is its own declaration, named
+    by its text.
     """
-
-    def from_base(u: Column) -> Column:
-        base = u["base"]
-
-        def with_import(i: Column) -> Column:
-            kind = kind_of_base(base)
-            by_import = i.isNotNull()
-            return F.struct(
-                base.alias("base"),
-                u["is_array"].alias("is_array"),
-                kind.alias("kind"),
-                F.when(kind == "inline", path)
-                .when(kind == "ref", F.when(by_import, i["target"]).otherwise(path))
-                .alias("ref_path"),
-                F.when(kind == "inline", base)
-                .when(kind == "ref", F.when(by_import, i["name"]).otherwise(base))
-                .alias("ref_name"),
-            )
-
-        return let(
-            F.get(F.filter(file_imports_, lambda i: i["local"] == base), F.lit(0)),
-            with_import,
+    base, kind, path = F.col("base"), F.col("type_kind"), F.col("path")
+    hit = F.get(F.filter("imported", lambda i: i["local"] == base), F.lit(0))
+    imported = F.col("_import")
+    by_import = imported.isNotNull()
+    return (
+        unwrap_types(rows, text)
+        .withColumn("type_kind", kind_of_base(base))
+        .withColumn("_import", hit)
+        .withColumn(
+            "ref_path",
+            F.when(kind == "inline", path).when(
+                kind == "ref", F.when(by_import, imported["target"]).otherwise(path)
+            ),
+        )
+        .withColumn(
+            "ref_name",
+            F.when(kind == "inline", base).when(
+                kind == "ref", F.when(by_import, imported["name"]).otherwise(base)
+            ),
         )
+        .drop("_import")
+    )
 
-    return let(unwrap_type(type_), from_base)
 
+def _groups_below(texts: Column) -> Column:
+    """Ids of all groups reachable from the tokens in the given folded texts.
 
-def _object_fields(text: Column) -> Column:
-    """Fields of an inline object type given by its text."""
-    return let(
-        outline(text),
-        lambda o: _fields(o, body(o, F.regexp_extract(o["top"], r"^«b(\d+)»$", 1))),
-    )
+    Inner groups have lower ids than the group around them, so every step goes down
+    and the number of groups bounds the steps.
+    """
+    blocks = F.col("o")["blocks"]
 
+    def tokens(ts: Column) -> Column:
+        return F.array_distinct(
+            F.regexp_extract_all(F.array_join(ts, ""), F.lit(_TOKEN_ID), F.lit(1))
+        )
 
-def _inline_bases(field_types: Column) -> Column:
-    bases = F.transform(field_types, lambda t: unwrap_type(t)["base"])
-    return F.filter(bases, lambda b: b.startswith("{"))
+    def step(acc: Column, _: Column) -> Column:
+        inside = F.transform(acc["new"], lambda i: F.get(blocks, i.try_cast("int")))
+        new = F.array_except(tokens(inside), acc["all"])
+        more = F.struct(F.concat(acc["all"], new).alias("all"), new.alias("new"))
+        return F.when(F.size(acc["new"]) == 0, acc).otherwise(more).cast(_IDS)
 
+    start = F.struct(tokens(texts).alias("all"), tokens(texts).alias("new")).cast(_IDS)
+    passes = F.sequence(F.lit(0), F.size(blocks))
+    return F.aggregate(passes, start, step, lambda acc: acc["all"])
 
-def inline_closure(texts: Column) -> Column:
-    """Inline object types reachable from the given ones, those included.
 
-    Each step goes one brace level deeper, so the number of opening braces bounds
-    the steps.
-    """
-    start = F.struct(
-        F.array_distinct(texts).alias("all"), F.array_distinct(texts).alias("new")
+def _inline_declarations(ids: Column) -> Column:
+    """Brace groups among the given ids, as declarations named by their token."""
+    o = F.col("o")
+    braces = F.filter(ids, lambda i: block(o, i).startswith("{"))
+    return F.transform(
+        braces,
+        lambda i: F.struct(
+            F.concat(F.lit("«b"), i, F.lit("»")).alias("name"),
+            F.lit("inline").alias("kind"),
+            body(o, i).alias("text"),
+        ),
     )
 
-    def step(acc: Column, _: Column) -> Column:
-        inner = F.flatten(
-            F.transform(
-                acc["new"],
-                lambda t: _inline_bases(
-                    F.transform(_object_fields(t), lambda f: f["type"])
-                ),
-            )
-        )
-        return F.when(F.size(acc["new"]) == 0, acc).otherwise(
-            let(
-                F.array_except(inner, acc["all"]),
-                lambda new: F.struct(
-                    F.concat(acc["all"], new).alias("all"), new.alias("new")
-                ),
-            )
-        )
 
-    passes = F.sequence(
-        F.lit(0), F.regexp_count(F.array_join(texts, ""), F.lit(r"\{"))
-    )
-    return F.when(F.size(texts) == 0, F.array().cast("array<string>")).otherwise(
-        F.aggregate(passes, start, step, lambda acc: acc["all"])
-    )
+_API_TEXT = r"(?md)(?:«p\d+»|\w)(?:\s*:\s*)([^;\n=,]*)"
 
 
 def type_graph(sources: DataFrame) -> DataFrame:
-    """One row per declared or inline type, with its described fields.
+    """Fields of every declared or inline type, each with what it refers to.
 
-    Columns: project, path, name, kind, shown_name, fields, members; unique on
-    (project, path, name).  Each field carries the key of the type it refers to, so
-    one join per level walks the graph.  A class comes before an interface of the
-    same name.
+    Columns: project, path, name, kind, shown_name, members, pos, field, type_text and
+    the ``describe`` columns; one row per field, and one with a NULL ``pos`` for a
+    type without fields.  (project, path, name) is the key of a type; together
+    with (ref_path, ref_name) one join per level walks the graph.  A class goes
+    before an interface of the same name.
     """
-    path = F.col("path")
-    per_file = sources.select("project", "path", outline(F.col("content")).alias("o")).select(
-        "project",
-        "path",
-        file_declarations(F.col("o")).alias("declared"),
-        file_imports(F.col("o"), path).alias("imported"),
-        F.when(F.col("o.top").contains("@Controller"), file_endpoints(F.col("o"))).alias(
-            "endpoints"
-        ),
-    )
-    field_types = F.flatten(
-        F.transform("declared", lambda d: F.transform(d["fields"], lambda f: f["type"]))
-    )
-    api_types = F.flatten(
-        F.transform(
-            F.col("endpoints"),
-            lambda e: F.concat(
-                F.transform(e["params"], lambda p: p["type"]), F.array(e["response"])
-            ),
+    o = F.col("o")
+
+    def by_kind(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)
         )
-    )
-    texts = F.concat(
-        _inline_bases(field_types),
-        F.coalesce(_inline_bases(api_types), F.array().cast("array<string>")),
-    )
 
-    def first_of_name(declared: Column) -> Column:
-        ordered = F.array_sort(
-            declared,
-            lambda a, b: F.when(a["kind"] < b["kind"], -1)
-            .when(a["kind"] > b["kind"], 1)
-            .otherwise(0),
+    # inline types can stand in fields, parameters and return types; what looks like
+    # a type annotation anywhere in a top-level body or a parameter list is a root
+    bodies = F.transform("declared", lambda d: d["text"])
+    lists = F.filter(o["blocks"], lambda b: b.startswith("("))
+    roots = F.regexp_extract_all(
+        F.array_join(F.concat(bodies, lists), "\n"), F.lit(_API_TEXT), F.lit(1)
+    )
+    rows = (
+        with_imports(_with_declarations(sources))
+        .withColumn("_ids", _groups_below(F.filter(roots, lambda t: t.contains("«"))))
+        .withColumn(
+            "declared",
+            # sorting is stable, so equal kinds stay in source order
+            F.array_sort(F.concat("declared", _inline_declarations(F.col("_ids"))), by_kind),
         )
-        return let(
-            ordered,
-            lambda ds: F.filter(
-                ds,
-                lambda d, i: F.array_position(F.transform(ds, lambda x: x["name"]), d["name"])
-                == i + 1,
+        .withColumn("fields", _declared_fields(F.col("declared")))
+        .withColumn("members", _declared_members(F.col("declared")))
+        .drop("_ids")
+    )
+    rows = unfold_fields(rows, "declared", "name")
+    rows = unfold_fields(rows, "fields", "name", "type")
+    rows = unfold_fields(rows, "members", "name")
+    rows = rows.withColumn(
+        "owners",
+        F.transform("declared", lambda d, i: F.struct(i.alias("owner"), d["name"], d["kind"])),
+    ).withColumn("names", F.transform("declared", lambda d: d["name"]))
+    # the first declaration of a name is the one that counts
+    firsts = F.filter(
+        "owners", lambda d: F.array_position("names", d["name"]) == d["owner"] + 1
+    )
+    owner = F.col("d.owner")
+    per_type = (
+        rows.select(
+            "project", "path", "imported", "fields", "members", F.explode(each(firsts)).alias("d")
+        )
+        .select(
+            "project",
+            "path",
+            "imported",
+            F.col("d.name").alias("name"),
+            F.col("d.kind").alias("kind"),
+            F.transform(
+                F.filter("members", lambda m: m["owner"] == owner), lambda m: m["name"]
+            ).alias("members"),
+            F.posexplode_outer(F.filter("fields", lambda f: f["owner"] == owner)).alias(
+                "pos", "f"
             ),
         )
-
-    inline = F.transform(
-        inline_closure(texts),
-        lambda t: F.struct(
-            t.alias("name"),
-            F.lit("inline").alias("kind"),
-            _object_fields(t).alias("fields"),
-            F.array().cast("array<string>").alias("members"),
-        ),
     )
-    rows = per_file.select(
+    flat = per_type.select(
         "project",
         "path",
         "imported",
-        F.explode(F.concat(first_of_name(F.col("declared")), inline)).alias("d"),
-    )
-    described = F.transform(
-        F.col("d.fields"),
-        lambda f, i: F.struct(
-            i.alias("pos"),
-            f["name"].alias("field"),
-            f["type"].alias("type_text"),
-            describe(f["type"], path, F.col("imported")).alias("t"),
-        ),
-    )
-    return rows.select(
-        "project",
-        "path",
-        "d.name",
-        "d.kind",
-        F.when(F.col("d.kind") == "inline", "__type").otherwise(F.col("d.name")).alias(
-            "shown_name"
-        ),
-        described.alias("fields"),
-        "d.members",
+        "name",
+        "kind",
+        F.when(F.col("kind") == "inline", "__type").otherwise(F.col("name")).alias("shown_name"),
+        "members",
+        "pos",
+        unquote(F.col("f.name")).alias("field"),
+        trim_ws(F.col("f.type")).alias("type_text"),
     )
+    return describe(flat, "type_text").drop("imported")
 
 
 def endpoint_types(sources: DataFrame) -> DataFrame:
@@ -422,93 +432,94 @@ def endpoint_types(sources: DataFrame) -> DataFrame:
     ``slot`` is the parameter's place, or -1 for the response; a handler without a
     return annotation has no response row.
     """
-    path = F.col("path")
-    o = F.col("o")
-    rows = (
-        sources.filter(F.col("content").contains("@Controller"))
-        .select("project", "path", outline(F.col("content")).alias("o"))
-        .select(
-            "project",
-            "path",
-            file_imports(o, path).alias("imported"),
-            F.posexplode(file_endpoints(o)).alias("pos", "e"),
-        )
-    )
+    marked = sources.filter(F.col("content").contains("@Controller"))
+    text = F.col("content").alias("text")
+    imported = with_imports(
+        with_outline(marked.select("project", "path", text, "content"))
+    ).select("project", "path", F.col("text").alias("content"), "imported")
+    rows = endpoints(imported, "imported")
     no_key = F.lit(None).cast("string")
     slots = F.concat(
         F.transform(
-            "e.params",
+            "params",
             lambda p, i: F.struct(
-                i.alias("slot"), p["key"].alias("key"), p["name"].alias("name"), p["type"].alias("type")
+                i.alias("slot"),
+                p["key"].alias("key"),
+                p["name"].alias("name"),
+                p["type"].alias("type"),
             ),
         ),
         F.when(
-            F.col("e.return_type") != "",
+            F.col("return_type") != "",
             F.array(
                 F.struct(
                     F.lit(-1).alias("slot"),
                     no_key.alias("key"),
                     no_key.alias("name"),
-                    F.col("e.response").alias("type"),
+                    F.col("response").alias("type"),
                 )
             ),
         ).otherwise(
             F.array().cast("array<struct<slot:int,key:string,name:string,type:string>>")
         ),
     )
-    return rows.select(
-        "project",
-        "path",
-        "pos",
-        F.col("e.route").alias("route"),
-        F.col("e.controller").alias("controller"),
-        F.col("e.method_name").alias("method_name"),
-        "imported",
-        F.explode(slots).alias("s"),
-    ).select(
-        "project",
-        "path",
-        "pos",
-        "route",
-        "controller",
-        "method_name",
-        "s.*",
-        describe(F.col("s.type"), path, F.col("imported")).alias("t"),
+    keep = ["project", "path", "pos", "route", "controller", "method_name"]
+    flat = rows.select(*keep, "imported", F.explode(each(slots)).alias("s")).select(
+        *keep, "imported", "s.*"
     )
+    return describe(flat, "type").drop("imported")
 
 
 def type_references(sources: DataFrame) -> DataFrame:
     """Every field and endpoint type that names another type, with the key it names."""
-    fields = (
-        type_graph(sources)
-        .select(
-            "project", "path", F.col("name").alias("owner"), F.explode("fields").alias("f")
-        )
-        .select("project", "path", "owner", F.col("f.field").alias("place"), "f.t.*")
+    described = ["base", "type_kind", "ref_path", "ref_name"]
+    fields = type_graph(sources).select(
+        "project",
+        "path",
+        F.col("name").alias("owner"),
+        F.col("field").alias("place"),
+        *described,
     )
     api = endpoint_types(sources).select(
         "project",
         "path",
         F.col("method_name").alias("owner"),
         F.coalesce("key", F.lit("response")).alias("place"),
-        "t.*",
+        *described,
     )
-    return fields.unionByName(api).filter(F.col("kind") == "ref")
+    is_ref = lambda r: r["type_kind"] == "ref"
+    return settle(fields, is_ref).unionByName(settle(api, is_ref))
 
 
-def resolve_types(sources: DataFrame) -> DataFrame:
-    """Type names with the declaration they mean; ``declared`` is NULL if none.
+def declared_types(sources: DataFrame) -> DataFrame:
+    """One row per type that can be referred to: (project, path, name, kind, members)."""
+    return (
+        type_graph(sources)
+        .filter(F.col("pos").isNull() | (F.col("pos") == 0))
+        .select("project", "path", "name", "kind", "shown_name", "members")
+    )
+
 
-    The declaration side is unique on the join key, so a name that a large share of
-    all references carries only lengthens the other side, which can be split.
+def with_declaration(refs: DataFrame, declared: DataFrame) -> DataFrame:
+    """References with the declaration they mean; its columns are NULL if there is none.
+
+    ``declared`` is unique on the join key, so a name that a large share of all
+    references carries only lengthens the left side, whose partition can be split.
     """
-    declared = type_graph(sources).select(
+    found = declared.select(
         "project",
         F.col("path").alias("ref_path"),
         F.col("name").alias("ref_name"),
         F.col("kind").alias("declared"),
+        F.col("shown_name").alias("type_name"),
+        "members",
     )
+    return refs.join(found, ["project", "ref_path", "ref_name"], "left")
+
+
+def resolve_types(sources: DataFrame) -> DataFrame:
+    """Type names with the kind of the declaration they mean, NULL if there is none."""
     refs = type_references(sources).select(
         "project", "path", "owner", "place", "base", "ref_path", "ref_name"
     )
-    return refs.join(declared, ["project", "ref_path", "ref_name"], "left")
+    return with_declaration(refs, declared_types(sources)).drop("type_name", "members")
