@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
 from srcatlas.functions.outline import argument, body, unfold_fields, with_outline
-from srcatlas.functions.rows import each, settle
+from srcatlas.functions.rows import each
 from srcatlas.functions.text import trim_ws, unquote
 from srcatlas.functions.typetext import type_arguments
+from srcatlas.operators.imports import with_imports
 
 _STACK = r"((?:@[\w.]+(?:«p\d+»)?\s*)+)"
 _CONTROLLER_CLASS = (
@@ -34,7 +35,7 @@ _PARAMETER = (
 _FIRST_DECORATOR = r"^@(?:\w+\.)*(\w+)"
 
 
-def _controller_outlines(sources: DataFrame, *keep: str) -> DataFrame:
+def _controller_outlines(sources: DataFrame, imported: bool = False) -> DataFrame:
     """Outline and first controller class of every file that may hold one.
 
     The text test runs before the outline, which most files then never need.
@@ -45,10 +46,11 @@ def _controller_outlines(sources: DataFrame, *keep: str) -> DataFrame:
         F.regexp_extract_all(o["top"], F.lit(_CONTROLLER_CLASS), F.lit(0)),
         lambda c: F.regexp_extract(c, _CONTROLLER_CLASS, 1).rlike(_CONTROLLER),
     )
-    return (
-        with_outline(marked.select("project", "path", *keep, "content"))
-        .withColumn("classes", F.slice(found, 1, 1))
-        .withColumn("base", _base_route(o))
+    rows = with_outline(marked.select("project", "path", "content"))
+    if imported:
+        rows = with_imports(rows)
+    return rows.withColumn("classes", F.slice(found, 1, 1)).withColumn(
+        "base", _base_route(o)
     )
 
 
@@ -144,9 +146,13 @@ def _params_of(pos: Column) -> Column:
     )
 
 
-def endpoints(sources: DataFrame, *keep: str) -> DataFrame:
-    """One row per endpoint, with its parameters as an ordered array."""
-    rows = file_endpoints(_controller_outlines(sources, *keep))
+def endpoints(sources: DataFrame, imported: bool = False) -> DataFrame:
+    """One row per endpoint, with its parameters as an ordered array.
+
+    ``imported`` adds the imports of its file.
+    """
+    keep = ["imported"] if imported else []
+    rows = file_endpoints(_controller_outlines(sources, imported))
     rows = unfold_fields(rows, "base", "base_route")
     rows = unfold_fields(rows, "handlers", "route", "return_type")
     rows = unfold_fields(rows, "params", "name", "type")

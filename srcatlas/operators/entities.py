@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
 from srcatlas.functions.outline import block, body, unfold_array, unfold_fields, with_outline
-from srcatlas.functions.rows import each, settle
+from srcatlas.functions.rows import each
 from srcatlas.functions.text import io_docs, slash_path, trim_ws
 
 _MODIFIERS = "public|private|protected|readonly|static|declare|override|abstract"

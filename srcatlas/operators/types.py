@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, literal, unfold_fields, with_outline
+from srcatlas.functions.outline import block, body, unfold_fields, with_outline
 from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import slash_path, trim_ws, unquote
 from srcatlas.functions.typetext import kind_of_base, unwrap_types
 from srcatlas.operators.api import endpoints
+from srcatlas.operators.imports import with_imports
 
 _DECLARATION = (
     r"\b(class|interface|enum)\s+(\w+)[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*«b(\d+)»"
@@ -21,8 +22,6 @@ _FIELD = (
     r"(\w+|‹\d+›)[?!]?\s*:\s*([^;,\n=]+(?:\n[ \t]*[|&][^;,\n=]+)*)"
 )
 _MEMBER = r"^\s*([\w$]+|‹\d+›)"
-_IMPORT = r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?«b(\d+)»\s*from\s*‹(\d+)›"
-_IMPORTED = r"^\s*(?:type\s+)?(\w+)(?:\s+as\s+(\w+))?\s*$"
 _TOKEN_ID = r"«[bpas](\d+)»"
 _IDS = "struct<all:array<string>,new:array<string>>"
 
@@ -206,71 +205,6 @@ def interface_refs(sources: DataFrame) -> DataFrame:
     )
 
 
-# --- imports ----------------------------------------------------------------------------
-
-
-def module_path(importer: Column, module: Column) -> Column:
-    """File a module path names, seen from the importing file; NULL for packages."""
-    folder = F.regexp_replace(importer, r"[^/]*$", "")
-    parts = F.split(
-        F.when(module.startswith("."), F.concat(folder, module)).otherwise(module), "/"
-    )
-    walked = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(p.isin("", "."), acc)
-        .when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(p))),
-    )
-    target = F.array_join(walked, "/")
-    with_suffix = F.when(target.endswith(".ts"), target).otherwise(
-        F.concat(target, F.lit(".ts"))
-    )
-    return F.when(module.startswith(".") | module.startswith("src/"), with_suffix)
-
-
-def _file_imports(o: Column) -> Column:
-    """array(struct(name, local, module)) of the named imports of a file."""
-
-    def of_statement(m: Column) -> Column:
-        names = F.split(body(o, F.regexp_extract(m, _IMPORT, 1)), ",")
-        module = literal(o, F.regexp_extract(m, _IMPORT, 2))
-
-        def one_name(n: Column) -> Column:
-            name, alias = (F.regexp_extract(n, _IMPORTED, g) for g in (1, 2))
-            return F.struct(
-                name.alias("name"),
-                F.when(alias == "", name).otherwise(alias).alias("local"),
-                F.translate(module, "'\"`", "").alias("module"),
-            )
-
-        return F.transform(F.filter(names, lambda n: n.rlike(_IMPORTED)), one_name)
-
-    found = F.regexp_extract_all(o["top"], F.lit(_IMPORT), F.lit(0))
-    return F.flatten(F.transform(found, of_statement))
-
-
-def with_imports(rows: DataFrame) -> DataFrame:
-    """Add ``imported``: array(struct(name, local, module, target))."""
-    targets = F.transform(
-        "_named",
-        lambda i: i.withField("target", module_path(F.col("path"), i["module"])),
-    )
-    return (
-        rows.withColumn("_named", _file_imports(F.col("o")))
-        .withColumn("imported", targets)
-        .drop("_named")
-    )
-
-
-def imports(sources: DataFrame) -> DataFrame:
-    marked = sources.filter(F.col("content").contains("import"))
-    rows = with_imports(with_outline(marked.select("project", "path", "content")))
-    return rows.select("project", "path", F.posexplode(each("imported")).alias("pos", "i")).select(
-        "project", "path", "pos", "i.*"
-    )
-
-
 # --- what a type text refers to ------------------------------------------------------------
 
 
@@ -343,7 +277,12 @@ def _inline_declarations(ids: Column) -> Column:
     )
 
 
-_API_TEXT = r"(?md)(?:«p\d+»|\w)(?:\s*:\s*)([^;\n=,]*)"
+# What stands after the colon of a field, a parameter or a method head, without the
+# body that may follow a return type.
+_ANNOTATION = (
+    r"(?:«p\d+»|\w)\??\s*:\s*"
+    r"(«b\d+»|[^;\n=,«]*(?:«[aps]\d+»[^;\n=,«]*)*(?:[|&]\s*«b\d+»)?)"
+)
 
 
 def type_graph(sources: DataFrame) -> DataFrame:
@@ -367,7 +306,7 @@ def type_graph(sources: DataFrame) -> DataFrame:
     bodies = F.transform("declared", lambda d: d["text"])
     lists = F.filter(o["blocks"], lambda b: b.startswith("("))
     roots = F.regexp_extract_all(
-        F.array_join(F.concat(bodies, lists), "\n"), F.lit(_API_TEXT), F.lit(1)
+        F.array_join(F.concat(bodies, lists), "\n"), F.lit(_ANNOTATION), F.lit(1)
     )
     rows = (
         with_imports(_with_declarations(sources))
@@ -432,12 +371,7 @@ def endpoint_types(sources: DataFrame) -> DataFrame:
     ``slot`` is the parameter's place, or -1 for the response; a handler without a
     return annotation has no response row.
     """
-    marked = sources.filter(F.col("content").contains("@Controller"))
-    text = F.col("content").alias("text")
-    imported = with_imports(
-        with_outline(marked.select("project", "path", text, "content"))
-    ).select("project", "path", F.col("text").alias("content"), "imported")
-    rows = endpoints(imported, "imported")
+    rows = endpoints(sources, imported=True)
     no_key = F.lit(None).cast("string")
     slots = F.concat(
         F.transform(
