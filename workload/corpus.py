@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files at hand give fewer splits than cores.
+
+    Generated text costs far more to read than its key columns cost to move.  Tables
+    with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fill(template: str, **values: Column) -> Column:
     """Template with ``<<name>>`` places as one concat expression."""
     parts = re.split(r"<<(\w+)>>", template)
@@ -69,7 +79,7 @@ import { N<<n>> } from './n<<n>>.entity';
 
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    df = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     head = F.when(k % 10 == 0, "export abstract ").otherwise("@Entity()\nexport ")
     column = F.when(k % 2 == 1, "@Column()").otherwise("@Column({ type: 'varchar' })")
@@ -98,7 +108,7 @@ export class O<<k>> {
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    df = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return _file(
         df, _by_project(c), fill("src/orders/o<<k>>.entity.ts", k=k), fill(_ORDER, k=k, c=c)
@@ -131,7 +141,7 @@ export class P<<k>>Controller {
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    df = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     k = F.col("p_partkey")
     pk = F.expr("((p_partkey div 25) div 2) * 25 + p_partkey % 25")
     imports = F.when(pk == k, "").otherwise(
@@ -235,7 +245,7 @@ export class Second<<k>>Controller {
 
 
 def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    df = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     dropped = fill("export class X<<k>> {\n}\n", k=k)
     far = fill("export class Far<<k>> {\n  deep: string;\n}\n", k=k)
@@ -266,7 +276,7 @@ export class T<<k>> {
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole prose texts as comments: long, full of quotes, no code."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     k = F.col("doc_id")
     text = F.replace(F.col("text"), F.lit("*/"), F.lit("* /"))
     text = F.replace(text, F.lit("\n"), F.lit("\n * "))
@@ -289,7 +299,7 @@ export class V<<k>> {
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole web pages as template literals: brackets and quotes that are not code."""
-    df = table(spark, sf_dir, "pages").select("page_id", "html")
+    df = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     k = F.col("page_id")
     html = F.regexp_replace(F.col("html"), r"[`\\]", "")
     return _file(
@@ -352,7 +362,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One documentation request per customer; some empty, some unknown."""
-    df = table(spark, sf_dir, "customer").select("c_custkey")
+    df = spread(table(spark, sf_dir, "customer").select("c_custkey"))
     k = F.col("c_custkey")
     path = (
         F.when(k % 10 == 0, F.lit(""))
