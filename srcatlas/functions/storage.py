@@ -14,12 +14,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="srcatlas-")
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="srcatlas-"))
+    return context.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -267,7 +267,7 @@ def tree_section(files: DataFrame, projects: DataFrame) -> DataFrame:
 def toc(lines: DataFrame) -> DataFrame:
     """Headings of levels 1 to 3, in document order."""
     return lines.filter(F.col("style").isin("heading1", "heading2", "heading3")).select(
-        *ORDER, F.substring("style", -1, 1).cast("int").alias("level"), "text"
+        *ORDER, F.regexp_extract("style", r"\d", 0).try_cast("int").alias("level"), "text"
     )
 
 

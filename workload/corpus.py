@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.functions.storage import fresh_dir
+
 N_PROJECTS = 25
 
 
@@ -326,22 +328,36 @@ def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- inputs of the operators ---------------------------------------------------
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ``.ts`` file, those that scans drop included."""
-    families = [
-        customer_files,
-        order_files,
-        part_files,
-        interface_files,
-        supplier_files,
-        document_files,
-        page_files,
-    ]
-    return reduce(DataFrame.unionByName, [f(spark, sf_dir) for f in families])
+FAMILIES = [
+    customer_files,
+    order_files,
+    part_files,
+    interface_files,
+    supplier_files,
+    document_files,
+    page_files,
+    plain_files,
+]
+_written: dict[tuple[str, str], str] = {}
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir).unionByName(plain_files(spark, sf_dir))
+    """All files of all projects: the table the operators start from.
+
+    Written once per application to the shared folder, as a project table would be.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        target = fresh_dir(spark, "files")
+        frames = [f(spark, sf_dir) for f in FAMILIES]
+        reduce(DataFrame.unionByName, frames).write.parquet(target)
+        _written[key] = target
+    return spark.read.parquet(_written[key])
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``.ts`` file, those that scans drop included."""
+    return files(spark, sf_dir).filter(F.col("path").endswith(".ts"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

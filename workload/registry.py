@@ -243,8 +243,8 @@ def _text_functions(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         # scans
-        "scan_sources": _on_scanned(lambda s: s.select("project", "path", F.length("content").alias("n"))),
-        "scan_src_only": _on_src(lambda s: s.select("project", "path", F.length("content").alias("n"))),
+        "scan_sources": _on_scanned(lambda s: s.select("project", "path")),
+        "scan_src_only": _on_src(lambda s: s.select("project", "path")),
         "detect_orm": lambda spark, d: orm.detect_orm(corpus.manifests(spark, d)),
         "has_prisma_schema": _has_prisma,
         "validate_requests": _validated,
