@@ -32,6 +32,7 @@ def differences(spark, sf_dir: str, query, sql: str) -> str | None:
     a, b = _rows(got), _rows(want)
     if a == b:
         return None
-    only_got = [r for r in a if r not in set(b)][:3]
-    only_want = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_got = [r for r in a if r not in in_b][:3]
+    only_want = [r for r in b if r not in in_a][:3]
     return f"{len(a)} rows, expected {len(b)}; only got {only_got}; only expected {only_want}"

@@ -332,7 +332,7 @@ tnd AS (
   FROM (SELECT project, string_split(path, '/') parts, unnest(range(1, len(string_split(path, '/')) + 1)) i FROM fil)),
 tfl AS (SELECT *, name = max(name) OVER (PARTITION BY project, parent) is_last FROM tnd),
 tre AS (
-  SELECT t.project, t.node, t.depth, t.name, coalesce(string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth), '')
+  SELECT t.project, t.node, t.depth, t.name, coalesce(string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth) FILTER (a.depth IS NOT NULL), '')
       || CASE WHEN t.is_last THEN '└── ' ELSE '├── ' END || t.name AS line
     FROM tfl t LEFT JOIN tfl a ON a.project = t.project AND a.depth < t.depth AND starts_with(t.node, a.node || '/')
     GROUP BY t.project, t.node, t.depth, t.name, t.is_last
