@@ -17,7 +17,7 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.ts") -> DataFram
     # file paths come URL-encoded; a plus sign there is a plus sign
     decoded = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
     return df.select(
-        "content", F.substring_index(decoded, F.lit(base), -1).alias("inside")
+        "content", F.substring_index(decoded, base, -1).alias("inside")
     ).select(
         F.substring_index("inside", "/", 1).alias("project"),
         F.expr("substring(inside, instr(inside, '/') + 1)").alias("path"),
