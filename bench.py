@@ -22,14 +22,11 @@ HEADLINE = [
     "methods",
     "routes",
     "decorated_statements",
+    "imports",
     "properties",
-    "relationships",
     "endpoints",
     "type_fields",
-    "imports",
     "folder_tree",
-    "erd_text",
-    "type_closure",
 ]
 
 
