@@ -31,3 +31,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table into the shared folder, and read back from there."""
+    target = fresh_dir(df.sparkSession, name)
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
