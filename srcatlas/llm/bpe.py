@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from srcatlas.llm.words import blocks, listed
+from srcatlas.llm.words import blocks, listed, mapped
 
 #: Texts between white space that a worker remembers; a memory only, results do not depend on it.
 REMEMBERED = 200_000
@@ -67,7 +67,8 @@ class Vocabulary:
             raise ValueError(f"not a vocabulary of the kind that is read here: {path}")
         vocab: dict[str, int] = model["vocab"]
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special = special
+        #: by a name that no piece of a text can have, because it holds a blank
+        self.special = {f" {x}": i for x, i in special.items()}
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         longest_first = sorted(special, key=len, reverse=True)
         self.control = regex.compile("|".join(map(regex.escape, longest_first))) if special else None
@@ -214,7 +215,7 @@ class Vocabulary:
         at = 0
         for found in self.control.finditer(text):
             out += self._plain(text[at : found.start()])
-            out.append(found.group())
+            out.append(f" {found.group()}")
             at = found.end()
         return out + self._plain(text[at:])
 
@@ -277,7 +278,7 @@ def _with(df: DataFrame, added: dict[str, str], made) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), *values], [*names, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return df.mapInArrow(run, ", ".join([*fields, *(f"`{n}` {k}" for n, k in added.items())]))
+    return mapped(df, run, ", ".join([*fields, *(f"`{n}` {k}" for n, k in added.items())]))
 
 
 def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -144,5 +144,7 @@ def mixed(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
 def draw(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
     """``documents``, each row as often as the mixture draws it."""
     rows = documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
-    drawn = _draws(documents, plan(stored(rows, "tokens"), entropy, repeats))
-    return drawn.withColumn("_block", F.explode("_blocks")).select(*(f"`{c}`" for c in documents.columns))
+    # struct fields: a column of the input may have any name
+    whole = documents.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"))
+    drawn = _draws(whole, plan(stored(rows, "tokens"), entropy, repeats)).withColumn("_block", F.explode("_blocks"))
+    return drawn.select(*(F.col(f"_row.`{c}`").alias(c) for c in documents.columns))

@@ -1,3 +1,134 @@
-"""Expected results as DuckDB SQL, where SQL can express them."""
+"""Expected results as DuckDB SQL, where SQL can express them; written from the contracts, not from the operators."""
 
-SQL: dict[str, str] = {}
+OP1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, m.n, n.n
+  HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l ON l.node = d.doc_id
+"""
+
+OP4 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), first AS (
+  SELECT h, min(doc_id) AS least FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i
+  FROM (SELECT x.doc_id, x.i FROM windows x JOIN first f ON f.h = x.h WHERE f.least < x.doc_id), range(50) t(k)
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), cut AS (
+  SELECT e.doc_id, count(g.i) AS n_removed,
+    string_agg(CASE WHEN g.i IS NULL THEN e.word END, ' ' ORDER BY e.i) AS kept
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+  GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(c.n_removed, 0) AS n_removed,
+  sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN cut c USING (doc_id)
+"""
+
+OP6 = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+), sources AS (
+  SELECT source, sum(n_tokens)::BIGINT AS t FROM tokens GROUP BY source
+), used AS (
+  SELECT source, t, t / (SELECT sum(t)::DOUBLE FROM sources) AS p FROM sources WHERE t > 0
+), shares AS (
+  SELECT list(p) AS ps, count(*) AS n, max(p) AS most, min(p) AS least FROM used
+), flat(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+  FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      ln(list_sum([pow(p, (lo + hi) / 2) FOR p IN ps]))
+        - (lo + hi) / 2 * list_sum([pow(p, (lo + hi) / 2) * ln(p) FOR p IN ps])
+          / list_sum([pow(p, (lo + hi) / 2) FOR p IN ps]) <= 0.98 * ln(n) + 1e-12 AS ok
+    FROM flat, shares WHERE i < 44
+  )
+), rare(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+  FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(most / least, 1 - (lo + hi) / 2) <= 2.0 + 1e-12 AS ok
+    FROM rare, shares WHERE i < 44
+  )
+), chosen AS (
+  SELECT round(greatest((SELECT hi FROM flat WHERE i = 44), (SELECT hi FROM rare WHERE i = 44)), 9) AS alpha
+), plan AS (
+  SELECT source, t, round(pow(p, alpha) / (SELECT sum(pow(p, alpha)) FROM used, chosen), 9) AS weight,
+    pow((SELECT max(p) FROM used) / p, 1 - alpha) AS epochs,
+    floor(t * pow((SELECT max(p) FROM used) / p, 1 - alpha) + 0.5)::BIGINT AS budget
+  FROM used, chosen
+), planned AS (
+  SELECT s.source, coalesce(p.weight, 0.0) AS weight, coalesce(p.epochs, 1.0) AS epochs,
+    coalesce(p.budget // p.t, 1) AS blocks, coalesce(p.budget % p.t, 0) AS rest
+  FROM sources s LEFT JOIN plan p ON p.source IS NOT DISTINCT FROM s.source
+), whole AS (
+  SELECT d.doc_id, d.source, d.n_tokens, p.weight, p.epochs, unnest(range(p.blocks)) AS block
+  FROM tokens d JOIN planned p ON p.source IS NOT DISTINCT FROM d.source
+), part AS (
+  SELECT doc_id, source, n_tokens, weight, epochs, block
+  FROM (
+    SELECT d.doc_id, d.source, d.n_tokens, p.weight, p.epochs, p.blocks AS block, p.rest,
+      sum(d.n_tokens) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || p.blocks || ':' || d.doc_id)) AS run
+    FROM tokens d JOIN planned p ON p.source IS NOT DISTINCT FROM d.source WHERE p.rest > 0
+  ) WHERE run <= rest
+), drawn AS (
+  SELECT * FROM whole UNION ALL SELECT * FROM part
+)
+SELECT doc_id, source, n_tokens, weight, block::INTEGER AS block,
+  round((block + ('0x' || left(md5('mix-1:' || block || ':' || doc_id), 8))::BIGINT / 4294967296.0::DOUBLE) / epochs, 6) AS place
+FROM drawn
+"""
+
+OP7 = r"""
+WITH turns AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(k)
+), sized AS (
+  SELECT *, 12 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) + 1
+    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS n
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {
+    "op1_near_duplicates": OP1,
+    "op4_substring_dedup": OP4,
+    "op6_mixing": OP6,
+    "op7_chat_format": OP7,
+}

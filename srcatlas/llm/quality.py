@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import stored
-from srcatlas.llm.words import Texts, blocks, per_text
+from srcatlas.llm.words import Texts, blocks, mapped, per_text
 
 TREES = 128
 SAMPLE = 64
@@ -185,7 +185,7 @@ def statistics(df: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, " + ", ".join(
         [*(f"{name} long" for name in COUNTS), *(f"{name} double" for name in FEATURES)]
     )
-    return df.select("doc_id", "text").mapInArrow(made, schema)
+    return mapped(df.select("doc_id", "text"), made, schema)
 
 
 def base_failed(n_words, n_repeat_words):
@@ -215,7 +215,7 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields]
-    return stats.mapInArrow(made, ", ".join([*fields, "score double"]))
+    return mapped(stats, made, ", ".join([*fields, "score double"]))
 
 
 def threshold(scores: DataFrame, labels: DataFrame) -> float:
@@ -271,4 +271,4 @@ def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 good = ~base_failed(values["n_words"], values["n_repeat_words"]) & (score <= limit)
                 yield batch[block.rows].filter(pa.array(good))
 
-    return documents if forest is None else documents.mapInArrow(made, documents.schema)
+    return documents if forest is None else mapped(documents, made, documents.schema)

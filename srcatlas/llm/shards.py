@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcatlas.functions.shipping import ship
 from srcatlas.functions.storage import stored
 
 SHARDS = 16
@@ -102,6 +103,7 @@ def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     )
     rows = numbered(rows, ["doc_id", "text_crc32", "size"])
+    ship(documents.sparkSession)
     n = rows.count()
     if n == 0:
         return rows.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import stored
-from srcatlas.llm.words import Words, blocks, signed
+from srcatlas.llm.words import Words, blocks, mapped, signed
 
 WINDOW = 50
 PERIOD = 31
@@ -74,7 +74,7 @@ def digests(df: DataFrame) -> DataFrame:
                     ["doc_id", "row_hash", "n_words", "words_sha256"],
                 )
 
-    return _named(df).mapInArrow(made, f"doc_id {_kind(df)}, row_hash long, n_words long, words_sha256 string")
+    return mapped(_named(df), made, f"doc_id {_kind(df)}, row_hash long, n_words long, words_sha256 string")
 
 
 def anchors(df: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def anchors(df: DataFrame) -> DataFrame:
                 )
 
     known = df.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return known.mapInArrow(made, f"doc_id {_kind(df)}, pos int, anchor long")
+    return mapped(known, made, f"doc_id {_kind(df)}, pos int, anchor long")
 
 
 def _candidates(words: Words, i: int, shared: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ def windows(suspects: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {_kind(suspects)}, row_hash long, pos int, high long, low long"
-    return suspects.select("doc_id", "row_hash", "text", "shared").mapInArrow(made, schema)
+    return mapped(suspects.select("doc_id", "row_hash", "text", "shared"), made, schema)
 
 
 class Found:
@@ -201,7 +201,7 @@ def kept_texts(rows: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {_kind(rows)}, row_hash long, n_removed long, kept string"
-    return rows.select("doc_id", "row_hash", "text", "starts").mapInArrow(made, schema)
+    return mapped(rows.select("doc_id", "row_hash", "text", "starts"), made, schema)
 
 
 def dedup_digests(documents: DataFrame) -> DataFrame:

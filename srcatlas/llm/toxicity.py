@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm.words import LOWER, Texts, U, blocks, mixed
+from srcatlas.llm.words import LOWER, Texts, U, blocks, mapped, mixed
 
 TOXIC = 1200
 CLEAN = 2400
@@ -284,7 +284,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     ["doc_id", "score", "spans"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, score double, spans {spans}")
+    return mapped(documents.select("doc_id", "text"), made, f"doc_id {kind}, score double, spans {spans}")
 
 
 def _spans(block: Texts, tokens: Tokens, marginal: np.ndarray) -> pa.Array:
@@ -292,10 +292,10 @@ def _spans(block: Texts, tokens: Tokens, marginal: np.ndarray) -> pa.Array:
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) > 1) | (tokens.doc[hit[1:]] != tokens.doc[hit[:-1]])
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(hit)) - 1
-    doc = tokens.doc[hit[begin]] if len(hit) else np.zeros(0, np.int64)
+    last = np.append(begin[1:], len(hit))[: len(begin)] - 1
+    doc = tokens.doc[hit[begin]]
     points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-    base = points[block.offsets[:-1]][doc] if len(hit) else np.zeros(0, np.int64)
+    base = points[block.offsets[:-1]][doc]
     start = points[tokens.start[hit[begin]]] - base
     end = points[tokens.end[hit[last]]] - base
     most = np.maximum.reduceat(marginal[hit], begin) if len(hit) else np.zeros(0)

@@ -6,11 +6,15 @@ of ``[^\\x20\\x09-\\x0D]+``. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from srcatlas.functions.shipping import ship
 
 U = np.uint64
 #: A block of texts that is worked on at once has about so many bytes, or one text if that is longer.
@@ -154,3 +158,9 @@ def distinct(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, n
     ends = np.searchsorted(doc, np.arange(n + 1))
     kept = [np.unique(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return np.concatenate(kept) if kept else np.zeros(0, values.dtype), np.array([len(x) for x in kept], np.int64)
+
+
+def mapped(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``made`` of the batches of each partition, where the executors know this library."""
+    ship(df.sparkSession)
+    return df.mapInArrow(made, schema)
