@@ -23,8 +23,10 @@ normalizes a higher-order function together with everything below it, at a cost
 that doubles with every level of nesting.  For the same reason texts are unfolded
 many at a time (``unfold_fields``), not inside further lambdas.
 
-Limits: regular-expression literals holding quotes or brackets, and template
-literals nested in template literals, are not told apart from code.
+String, template and regular-expression literals are told apart from code and comments
+in one left-to-right scan; templates may nest ``TEMPLATE_DEPTH`` deep.  A text whose brackets
+still do not close (``whole`` is false) is read line by line instead, and listed by
+``operators.entities.rejects``.
 """
 
 from __future__ import annotations
@@ -34,10 +36,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Each alternative is a negated class, so matching never recurses on the JVM
-# stack, whatever the length of a comment or a literal.
-_STRING = r"'[^'\n]*'|\"[^\"\n]*\"|`[^`]*`"
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+from srcatlas.functions.storage import stored
+
+TEMPLATE_DEPTH = 3
+
+# Repetitions are possessive and begin with a negated class, so matching never recurses
+# on the JVM stack, whatever the length of a comment or a literal.
+_STRING = r"'[^'\n]*+'|\"[^\"\n]*+\""
+_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
+
+
+def _template(depth: int) -> str:
+    """A template literal; code in its places holds strings, braces and further templates."""
+    if depth == 0:
+        code = r"[^`{}]*+"
+    else:
+        inner = rf"{_STRING}|\{{[^{{}}`]*+\}}|{_template(depth - 1)}|['\"]"
+        code = rf"[^`{{}}'\"]*+(?:(?:{inner})[^`{{}}'\"]*+)*+"
+    return rf"`[^`$]*+(?:(?:\$\{{{code}\}}|\$)[^`$]*+)*+`"
+
+
+# A slash that cannot divide: nothing before it on its line but what a value may follow.
+_REGEX = (
+    r"/(?<=(?:^|[(,=:\[!&|?{};+\n>]|\breturn)[ \t]{0,40}/)(?![*/])"
+    r"[^/\\\n\[]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\n\[]*+)*+/[a-z]*+"
+)
+_LITERAL = f"{_STRING}|{_template(TEMPLATE_DEPTH)}|{_REGEX}"
 _GROUP = (
     r"(?=[{(<\[])(?:\{[^{}()]*\}"
     r"|\([^{}()]*\)"
@@ -49,7 +73,13 @@ _MARK = "\u0002"  # put around matches so that one scan yields both sides
 _SEPARATOR = "\u0003"  # between texts that are unfolded together
 
 # Escaped quotes and backslashes, each held as one private-use character.
-_ESCAPES = [("\\\\", "\ue000"), ("\\'", "\ue001"), ('\\"', "\ue002"), ("\\`", "\ue003")]
+_ESCAPES = [
+    ("\\\\", "\ue000"),
+    ("\\'", "\ue001"),
+    ('\\"', "\ue002"),
+    ("\\`", "\ue003"),
+    ("\\$", "\ue004"),
+]
 
 
 _FOLDED = "struct<text:string,blocks:array<string>,done:boolean>"
@@ -65,23 +95,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _code_pieces(text: Column) -> Column:
-    """Code without comments, cut at its literals: odd pieces are the literals.
+    """Code cut at its literals and comments: odd pieces are the literals, and '' for comments.
 
     Comment signs inside literals stay.
     """
     hidden = text
     for plain, private in _ESCAPES:
         hidden = F.replace(hidden, F.lit(plain), F.lit(private))
-    code = F.regexp_replace(hidden, f"({_STRING})|{_COMMENT}", "$1")
-    marked = F.regexp_replace(code, _STRING, f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace(hidden, f"({_LITERAL})|{_COMMENT}", f"{_MARK}$1{_MARK}")
     return F.split(marked, _MARK, -1)
 
 
 def _masked(pieces: Column) -> Column:
-    """Code with every literal replaced by its index."""
+    """Code with every literal replaced by its index, without comments."""
     slots = F.transform(
         pieces,
-        lambda s, i: F.when(i % 2 == 0, s).otherwise(
+        lambda s, i: F.when((i % 2 == 0) | (s == ""), s).otherwise(
             F.concat(F.lit("‹"), F.floor(i / 2).cast("string"), F.lit("›"))
         ),
     )
@@ -133,8 +162,13 @@ def _fold(masked: Column) -> Column:
 
 
 def with_outline(df: DataFrame, text: str = "content", name: str = "o") -> DataFrame:
-    """Replace a text column with its outline, struct(top, blocks, pieces)."""
+    """Replace a text column with its outline, struct(top, blocks, pieces, whole).
+
+    ``whole``: every bracket has been folded.  Rows that bring an outline along keep it.
+    """
     kept = [c for c in df.columns if c != text]
+    if name in kept:
+        return df.select(*kept)
     return (
         df.select(*kept, _code_pieces(F.col(text)).alias("_pieces"))
         .select(*kept, "_pieces", _masked(F.col("_pieces")).alias("_masked"))
@@ -145,11 +179,23 @@ def with_outline(df: DataFrame, text: str = "content", name: str = "o") -> DataF
                 F.col("_folded.text").alias("top"),
                 F.col("_folded.blocks").alias("blocks"),
                 F.col("_pieces").alias("pieces"),
+                (~F.col("_folded.text").rlike(r"[{}()]")).alias("whole"),
             ).alias(name),
         )
     )
 
 
+def narrow(sources: DataFrame) -> DataFrame:
+    """What extraction reads of a sources table, the outline included if it is there."""
+    return sources.select("project", "path", "content", *(["o"] if "o" in sources.columns else []))
+
+
+def stored_outline(sources: DataFrame) -> DataFrame:
+    """``sources`` with their outline ``o``, folded once and written down: for plans that read it many times."""
+    copied = narrow(sources).withColumn("_folded_text", F.col("content"))
+    return stored(with_outline(copied, "_folded_text"), "outline")
+
+
 def block(o: Column, token_id: Column) -> Column:
     """Content of a folded group with its brackets, inner groups still folded."""
     return F.get(o["blocks"], token_id.try_cast("int"))

@@ -1,11 +1,6 @@
-"""Regular expressions and word lists used by the extractors.
+"""Word lists, lookup tables and document wording used by the extractors.
 
-The word lists, lookup tables and document wording in the first block are fixed
-values: results are only right if they are exactly these.
-
-The expressions are written for the JVM dialect.  ``(?d)`` makes ``\\n`` the only
-line end and ``[ \\t\\f\\r]`` stands for same-line blanks, so that no pattern needs
-two adjacent unbounded blank runs (which backtrack quadratically).
+These are fixed values: results are only right if they are exactly these.
 """
 
 # --- fixed values -----------------------------------------------------------
@@ -22,56 +17,14 @@ ENTITY_MARKER = "@Entity"
 TREE_EXCLUDES = ["node_modules", "dist", ".git", "output"]
 CLASS_DOCS = "Parsed with Go regex + esbuild"
 INTERFACE_DOCS = "Parsed from TypeScript interface"
+METHOD_DOCS = ("Input: (", ")\nOutput: ")  # around the parameters, before the return type
 SCALAR_TYPES = ["string", "number", "boolean", "undefined", "null", "void", "File"]
 OPAQUE_TYPES = ["any", "unknown", "{}"]
-# --- end of fixed values ----------------------------------------------------
-
-_VERBS = "|".join(HTTP_DECORATORS)
-
-# Line-start class header; group 1 is the class name.
-CLASS_HEADER = r"(?md)^[ \t\f\r]*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"
-
-# Line-start method with a return annotation: name, parameters, return type.
-METHOD = (
-    r"(?md)^[ \t\f\r]*(?:(?:public|private|protected)\s*)?(?:async\s+)?"
-    r"(\w+)\s*\(([^)]*)\)\s*:\s*([^{\n]+)"
-)
-
-# Route decorator with a quoted path, then the next method signature:
-# verb, path, name, parameters, return type.
-ROUTE = (
-    r"(?d)@(" + _VERBS + r")\(['\"]([^'\"]+)['\"]\)[\s\S]*?"
-    r"(\w+)\s*\(([^)]*)\)\s*:\s*([^{\n]+)"
-)
-# Zero-width position in front of every route decorator.
-ROUTE_START = r"(?=@(?:" + _VERBS + r")\()"
-
-# A statement that starts with "@" at the start of a line and runs through the
-# end of the first line holding a semicolon.
-DECORATED_STATEMENT = r"(?md)^[ \t\f\r]*(@[^;]*;[^\n]*)"
-
-# On a one-line statement: text in front of the property, name, type.
-PROPERTY = (
-    r"^(@\w+\(?.*?)\s*(?:(?:public|private|protected)\s*)?"
-    r"(\w+)\s*:\s*([^\n;]+);"
-)
-# The same once decorator arguments are gone; also allows name?: and name!:.
-PROPERTY_STRIPPED = (
-    r"^(@\w+.*?)\s*(?:\b(?:public|private|protected)\s+)?"
-    r"\b(\w+)\s*[?!]?\s*:\s*([^\n;]+);"
-)
-
-DECORATOR_NAME = r"@(\w+)"
-EMPTY_ARROW_TARGET = r"\(\s*\(\s*\)\s*=>\s*(\w+)"
-# First argument of a relation: () => X, x => X, (x) => X, 'X' or "X".
-RELATION_ARGUMENT = (
-    r"@(?:" + "|".join(RELATION_DECORATORS) + r")\s*\(\s*"
-    r"(?:(?:\([^()]*\)|\w+)\s*=>\s*(?:\w+\.)*\w+|['\"]\w+['\"])"
-)
-RELATION_PARTS = (
-    r"^@(\w+)\s*\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*(?:\w+\.)*)?['\"]?(\w+)['\"]?$"
-)
-
+# Words that may stand in front of the names of classes and methods that are listed.
+CLASS_WORDS = ["export", "abstract"]
+ACCESS_WORDS = ["public", "private", "protected"]
+METHOD_WORDS = [*ACCESS_WORDS, "async"]
 # Interface references.
 INTERFACE_REF = r"^(I[A-Z]\w+)"
 INTERFACE_TUPLE_REF = r"\[(I[A-Z]\w+)\]"
+# --- end of fixed values ----------------------------------------------------

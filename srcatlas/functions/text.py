@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from srcatlas.functions.patterns import METHOD_DOCS
+
 
 def trim_ws(c: Column) -> Column:
     """Strip blanks, tabs and line ends on both sides (``trim`` strips spaces only)."""
@@ -32,4 +34,5 @@ def unquote(c: Column) -> Column:
 
 def io_docs(params: Column, return_type: Column) -> Column:
     """The two-line docs text of methods and routes."""
-    return F.concat(F.lit("Input: ("), params, F.lit(")\nOutput: "), return_type)
+    before, between = METHOD_DOCS
+    return F.concat(F.lit(before), params, F.lit(between), return_type)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import argument, body, unfold_fields, with_outline
+from srcatlas.functions.outline import argument, body, unfold_fields, narrow, with_outline
 from srcatlas.functions.rows import each
 from srcatlas.functions.text import trim_ws, unquote
 from srcatlas.functions.typetext import type_arguments
@@ -46,7 +46,7 @@ def _controller_outlines(sources: DataFrame, imported: bool = False) -> DataFram
         F.regexp_extract_all(o["top"], F.lit(_CONTROLLER_CLASS), F.lit(0)),
         lambda c: F.regexp_extract(c, _CONTROLLER_CLASS, 1).rlike(_CONTROLLER),
     )
-    rows = with_outline(marked.select("project", "path", "content"))
+    rows = with_outline(narrow(marked))
     if imported:
         rows = with_imports(rows)
     return rows.withColumn("classes", F.slice(found, 1, 1)).withColumn(

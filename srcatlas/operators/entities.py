@@ -21,12 +21,15 @@ Two readings are offered:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions import lines as L
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, unfold_array, unfold_fields, with_outline
-from srcatlas.functions.rows import each
+from srcatlas.functions.outline import block, body, narrow, unfold_array, unfold_fields, with_outline
+from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import io_docs, slash_path, trim_ws
 
 _MODIFIERS = "public|private|protected|readonly|static|declare|override|abstract"
@@ -53,11 +56,6 @@ def _find(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def class_names(text: Column) -> Column:
-    """Names of line-start class declarations, in order."""
-    return _find(text, P.CLASS_HEADER, 1)
-
-
 def _with_bodies(rows: DataFrame) -> DataFrame:
     """Add ``bodies``: for each of ``names`` the folded body of the first class of that
     name, at any nesting level; '' if there is none."""
@@ -97,14 +95,7 @@ def _method(name: Column, params: Column, returns: Column) -> Column:
 
 def file_methods(text: Column) -> Column:
     """Annotated methods of a whole text, in order."""
-    return F.transform(
-        _find(text, P.METHOD),
-        lambda m: _method(
-            F.regexp_extract(m, P.METHOD, 1),
-            F.regexp_extract(m, P.METHOD, 2),
-            trim_ws(F.regexp_extract(m, P.METHOD, 3)),
-        ),
-    )
+    return F.transform(L.methods(text), lambda m: _method(m["name"], m["params"], m["return_type"]))
 
 
 def _with_body_methods(rows: DataFrame) -> DataFrame:
@@ -144,28 +135,6 @@ def _with_body_methods(rows: DataFrame) -> DataFrame:
 # --- properties and edges --------------------------------------------------------
 
 
-def statements(text: Column) -> Column:
-    """Decorated statements as one line each.
-
-    A statement starts at a line that begins with ``@`` and closes with the first
-    line that holds a semicolon; its lines are trimmed and joined with blanks.
-    Without a semicolon there is no statement.
-    """
-    return F.transform(
-        _find(text, P.DECORATED_STATEMENT, 1),
-        lambda s: F.concat(
-            F.regexp_replace(
-                F.regexp_replace(s, r"[ \t\f\r]*\n[ \t\f\r]*", " "), r"\s+$", ""
-            ),
-            F.lit(" "),
-        ),
-    )
-
-
-def _strict_target(statement: Column) -> Column:
-    return F.regexp_extract(statement, P.EMPTY_ARROW_TARGET, 1)
-
-
 def _edges(decorators: Column) -> Column:
     """array(struct(to, type)) of the relations among (name, target) pairs."""
     relations = F.filter(
@@ -195,27 +164,27 @@ def raw_properties(text: Column, decorators: str, targets: str) -> Column:
     """Properties of the decorated statements of a text, searched as they stand."""
 
     def read(s: Column) -> Column:
-        prefix = F.regexp_extract(s, P.PROPERTY, 1)
-        heads = F.transform(
-            _find(prefix, _RAW_HEAD),
+        return F.struct(s["found"]["name"], s["found"]["type"], heads(s).alias("heads"))
+
+    def heads(s: Column) -> Column:
+        found = F.transform(
+            _find(s["found"]["prefix"], _RAW_HEAD),
             lambda h: F.struct(
                 F.regexp_extract(h, r"^@(\w+)", 1).alias("name"),
                 (
                     _own_target(F.regexp_extract(h, r"^@\w+\s*(.*)$", 1))
                     if targets == "any"
-                    else F.regexp_extract(s, P.EMPTY_ARROW_TARGET, 1)
+                    else L.arrow_target(s["statement"])
                 ).alias("target"),
             ),
         )
-        if decorators == "last":
-            heads = F.slice(heads, F.greatest(F.size(heads), F.lit(1)), F.lit(1))
-        return _property(
-            F.regexp_extract(s, P.PROPERTY, 2),
-            trim_ws(F.regexp_extract(s, P.PROPERTY, 3)),
-            heads,
-        )
+        return F.slice(found, F.greatest(F.size(found), F.lit(1)), F.lit(1)) if decorators == "last" else found
 
-    return F.transform(F.filter(statements(text), lambda s: s.rlike(P.PROPERTY)), read)
+    searched = F.transform(
+        L.statements(text), lambda s: F.struct(s.alias("statement"), L.property_of(s).alias("found"))
+    )
+    made = F.transform(F.filter(searched, lambda s: s["found"].isNotNull()), read)
+    return F.transform(made, lambda p: _property(p["name"], p["type"], p["heads"]))
 
 
 def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> DataFrame:
@@ -259,7 +228,7 @@ def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> Dat
             "target",
             _own_target(h["target"])
             if targets == "any"
-            else F.regexp_extract(h["target"], P.EMPTY_ARROW_TARGET, 1),
+            else L.arrow_target(h["target"]),
         ),
     )
     rows = rows.withColumn("_heads", heads)
@@ -274,6 +243,39 @@ def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> Dat
     return rows.withColumn("properties", properties).drop("_found", "_heads")
 
 
+# --- files whose brackets do not close --------------------------------------------------
+
+
+def _section_methods(text: Column) -> Column:
+    return F.transform(
+        file_methods(text), lambda m: F.struct(m["name"], m["params"], m["return_type"])
+    )
+
+
+def _recovered(rows: DataFrame, member: str, read: Callable[[Column], Column]) -> DataFrame:
+    """``member`` read line by line, from each class declaration to the next, where the outline is not whole."""
+    fields = [f.name for f in rows.schema[member].dataType.elementType.fields]
+    by_lines = F.flatten(
+        F.transform(
+            L.class_sections(F.col("text")),
+            lambda t, i: F.transform(read(t), lambda m: m.withField("owner", i)),
+        )
+    )
+    made = F.transform(by_lines, lambda m: F.struct(*(m[f].alias(f) for f in fields)))
+    kind = rows.schema[member].dataType
+    return rows.withColumn(member, F.when(F.col("o.whole"), F.col(member)).otherwise(made.cast(kind)))
+
+
+def rejects(sources: DataFrame) -> DataFrame:
+    """Files that are not read by their brackets but line by line, and why: (project, path, reason).
+
+    Of these files, classes keep the members that line by line reading gives; declared types, interfaces,
+    controllers and imports that stand before the fault or behind it are found, those around it are not.
+    """
+    rows = settle(with_outline(narrow(sources)).select("project", "path", "o.whole"), lambda r: ~r["whole"])
+    return rows.select("project", "path", F.lit("brackets do not close").alias("reason"))
+
+
 # --- per-class records --------------------------------------------------------------
 
 
@@ -295,13 +297,15 @@ def class_records(
     kind = F.when(content.contains(P.ENTITY_MARKER), "entity").otherwise("class")
     raw = "properties" in wanted and arguments == "raw"
     own_file = scope == "file"
-    rows = sources.select(
+    # files without a class declaration have no rows; the test reaches the scan
+    rows = sources.filter(content.contains("class")).select(
         "project",
         "path",
         kind.alias("kind"),
-        class_names(content).alias("names"),
-        *([content.alias("text")] if own_file else []),
+        L.class_names(content).alias("names"),
+        content.alias("text"),
         content,
+        *(["o"] if "o" in sources.columns else []),
     )
     if wanted and not (own_file and (raw or "properties" not in wanted)):
         rows = _with_bodies(with_outline(rows))
@@ -309,10 +313,13 @@ def class_records(
         if own_file:
             rows = rows.withColumn("methods", file_methods(F.col("text")))
         else:
-            rows = _with_body_methods(rows)
+            rows = _recovered(_with_body_methods(rows), "methods", _section_methods)
     if "properties" in wanted:
         if not raw:
             rows = _with_body_properties(rows, decorators, targets)
+            rows = _recovered(
+                rows, "properties", lambda t: raw_properties(t, decorators, targets)
+            )
         elif own_file:
             rows = rows.withColumn(
                 "properties", raw_properties(F.col("text"), decorators, targets)
@@ -444,7 +451,7 @@ def decorated_statements(sources: DataFrame) -> DataFrame:
     return sources.select(
         "project",
         "path",
-        F.posexplode(statements(F.col("content"))).alias("pos", "statement"),
+        F.posexplode(L.statements(F.col("content"))).alias("pos", "statement"),
     )
 
 
@@ -454,27 +461,19 @@ def file_routes(text: Column, search: str = "nearest") -> Column:
     ``search='nearest'`` looks for the handler only up to the next route decorator;
     ``'lazy'`` goes on past it, so a handler may get an earlier decorator's route.
     """
-    if search == "nearest":
-        # a zero-width split keeps each decorator at the start of its piece
-        pieces = F.split(text, P.ROUTE_START, -1)
-        found = F.transform(pieces, lambda s: F.regexp_extract(s, P.ROUTE, 0))
-        found = F.filter(found, lambda m: m != "")
-    else:
-        found = _find(text, P.ROUTE)
 
     def read(m: Column) -> Column:
-        params = F.regexp_extract(m, P.ROUTE, 4)
-        returns = trim_ws(F.regexp_extract(m, P.ROUTE, 5))
+        params, returns = m["found"]["params"], m["found"]["return_type"]
         return F.struct(
-            F.regexp_extract(m, P.ROUTE, 3).alias("name"),
-            F.upper(F.regexp_extract(m, P.ROUTE, 1)).alias("method"),
-            F.regexp_extract(m, P.ROUTE, 2).alias("route"),
+            m["found"]["name"].alias("name"),
+            F.upper(m["verb"]).alias("method"),
+            m["route"].alias("route"),
             params.alias("params"),
             returns.alias("return_type"),
             io_docs(params, returns).alias("docs"),
         )
 
-    return F.transform(found, read)
+    return F.transform(L.routes(text, search), read)
 
 
 def routes(sources: DataFrame, search: str = "nearest") -> DataFrame:

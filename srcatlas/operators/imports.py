@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.functions.outline import body, literal, with_outline
+from srcatlas.functions.outline import body, literal, narrow, with_outline
 from srcatlas.functions.rows import each
 
 _IMPORT = r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?«b(\d+)»\s*from\s*‹(\d+)›"
@@ -68,7 +68,7 @@ def with_imports(rows: DataFrame) -> DataFrame:
 
 def imports(sources: DataFrame) -> DataFrame:
     marked = sources.filter(F.col("content").contains("import"))
-    rows = with_imports(with_outline(marked.select("project", "path", "content")))
+    rows = with_imports(with_outline(narrow(marked)))
     return rows.select("project", "path", F.posexplode(each("imported")).alias("pos", "i")).select(
         "project", "path", "pos", "i.*"
     )

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-
-MAX_BROADCAST_PROJECTS = 1_000_000  # project names only: some tens of MB
+from srcatlas.functions.rows import settle
 
 
 def detect_orm(manifests: DataFrame) -> DataFrame:
@@ -48,13 +47,9 @@ def for_kind(
 ) -> DataFrame:
     """Facts of the projects of one kind.
 
-    With few enough projects their names are broadcast and files of other projects
-    are dropped before anything is read out of them.  Otherwise facts are extracted
-    first and then joined: shuffling facts is far cheaper than shuffling file
-    contents, and no file content ever moves.
+    Facts are extracted first and then joined with the project names: shuffling facts is far cheaper than
+    shuffling file contents, and no file content ever moves.  Where the names are few the join is a broadcast
+    one, by their size at run time.
     """
     wanted = detect_orm(manifests).filter(F.col("kind") == kind).select("project")
-    n = wanted.limit(MAX_BROADCAST_PROJECTS + 1).count()
-    if n <= MAX_BROADCAST_PROJECTS:
-        return extract(sources.join(F.broadcast(wanted), "project", "left_semi"))
-    return extract(sources).join(wanted, "project", "left_semi")
+    return settle(extract(sources)).join(wanted, "project", "left_semi")

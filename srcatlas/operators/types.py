@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, unfold_fields, with_outline
+from srcatlas.functions.outline import block, body, unfold_fields, narrow, with_outline
 from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import slash_path, trim_ws, unquote
 from srcatlas.functions.typetext import kind_of_base, unwrap_types
@@ -73,15 +73,21 @@ def _declared_members(declared: Column) -> Column:
     return F.flatten(F.transform(declared, of_one))
 
 
+def _declaring(sources: DataFrame) -> DataFrame:
+    """Files that may declare a class or an interface; the test reaches the scan."""
+    content = F.col("content")
+    return sources.filter(content.contains("class") | content.contains("interface"))
+
+
 def _with_declarations(sources: DataFrame) -> DataFrame:
-    return with_outline(sources.select("project", "path", "content")).withColumn(
+    return with_outline(narrow(sources)).withColumn(
         "declared", _file_declarations(F.col("o"))
     )
 
 
 def type_fields(sources: DataFrame) -> DataFrame:
     """Declared fields of every class and interface."""
-    rows = _with_declarations(sources).withColumn(
+    rows = _with_declarations(_declaring(sources)).withColumn(
         "fields", _declared_fields(F.col("declared"))
     )
     rows = unfold_fields(rows, "fields", "name", "type")

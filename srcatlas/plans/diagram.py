@@ -90,7 +90,3 @@ def erd_text(edges: DataFrame, projects: DataFrame) -> DataFrame:
         )
     )
     return head.unionByName(pieces)
-
-
-def diagram_inputs(sources: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return project_edges(sources, manifests), supported_projects(manifests).select("project")

@@ -12,14 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions.outline import stored_outline
 from srcatlas.functions.rows import each, settle
+from srcatlas.functions.storage import checkpointed
 from srcatlas.operators.api import endpoints
-from srcatlas.operators.closure import OBJECT_KINDS, expand_types, tree_lines
+from srcatlas.operators.closure import OBJECT_KINDS, Types, printed_types, tree_lines
 from srcatlas.operators.entities import class_records, routes
 from srcatlas.operators.orm import for_kind, supported_projects
 from srcatlas.operators.tree import folder_tree
 from srcatlas.operators.types import interface_records
 from srcatlas.plans.diagram import erd_lines, project_edges
+from srcatlas.sources.scan import code_files, filter_sources, src_only
 
 # --- fixed values: document wording -------------------------------------------
 TITLE = "📘 Project Documentation"
@@ -143,7 +146,8 @@ def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark") -> Data
 
     ``ord`` is (endpoint, part, slot, place in the type tree...).
     """
-    used, nodes = expand_types(sources)
+    types = Types(sources)
+    used = types.used
     heads = endpoints(sources).select("project", "path", "pos", "route", "controller", "method_name", "params")
     head_lines = F.array(
         _line("heading2", F.concat(F.lit("Endpoint: "), "route")),
@@ -182,7 +186,7 @@ def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark") -> Data
         F.array("pos", F.lit(2)),
         F.array(_line("normal", "Response:")),
     )
-    trees = tree_lines(nodes, circular_style).select(
+    trees = tree_lines(printed_types(types), circular_style).select(
         "project",
         F.col("root_path").alias("ref_path"),
         F.col("root_name").alias("ref_name"),
@@ -271,22 +275,21 @@ def toc(lines: DataFrame) -> DataFrame:
     )
 
 
-def document_lines(
-    files: DataFrame,
-    sources: DataFrame,
-    src_sources: DataFrame,
-    manifests: DataFrame,
-    run_date: str,
-    **reading: str,
-) -> DataFrame:
-    """All lines of the documents of all supported projects."""
+def document_lines(files: DataFrame, manifests: DataFrame, run_date: str, **reading: str) -> DataFrame:
+    """All lines of the documents of all supported projects.
+
+    Source texts are folded once; every section projects from that.
+    """
     projects = supported_projects(manifests).select("project")
+    code = stored_outline(code_files(files))
+    sources, src_sources = filter_sources(code), src_only(code)
     known = lambda df: settle(df).join(projects, "project", "left_semi")
     typeorm = lambda extract: for_kind(sources, manifests, "typeorm", extract)
+    edges = checkpointed(project_edges(sources, manifests, **reading))
     sections = [
         _headings(projects, run_date),
         tree_section(files, projects),
-        diagram_lines(project_edges(sources, manifests, **reading), projects),
+        diagram_lines(edges, projects),
         entity_table_rows(entity_records(sources, src_sources, manifests)),
         class_doc_lines(typeorm(_plain_class_records)),
         function_doc_lines(typeorm(routes)),

@@ -54,6 +54,13 @@ def src_only(df: DataFrame) -> DataFrame:
     )
 
 
+def code_files(files: DataFrame) -> DataFrame:
+    """Every file that ``filter_sources`` or ``src_only`` keeps."""
+    path = F.col("path")
+    wanted = path.endswith(".ts") & (path.startswith("src/") | ~path.contains("node_modules"))
+    return files.filter(wanted).withColumn("content", normalize_newlines(F.col("content")))
+
+
 def list_paths(files: DataFrame) -> DataFrame:
     """All file paths; file contents are never read."""
     return files.select("project", "path")
@@ -73,17 +80,19 @@ def validate_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
     """Requests with the project they name, whether accepted, and if not why.
 
     ``requests`` has a ``project_path``; ``projects`` one row per known project.
-    Many requests may name one project: ``projects`` is unique on the join key, so a
-    skewed partition of requests can be split without changing the result.
+    Requests without a path are refused before the join, so they do not meet on one key. Many
+    others may name one project: ``projects`` is unique on the join key, so a skewed partition of
+    requests can be split without changing the result.
     """
     path = F.col("project_path")
+    none = path.isNull() | (F.trim(path) == "")
     named = requests.withColumn("project", base_name(path))
     known = projects.select(F.col("project"), F.lit(True).alias("known"))
-    joined = named.join(known, "project", "left")
+    looked_up = named.filter(~none).join(known, "project", "left").select(*named.columns, "known")
+    refused = named.filter(none).withColumn("known", F.lit(None).cast("boolean"))
     reason = (
         F.when(path.isNull() | (path == ""), "empty project path")
         .when(F.col("known").isNull(), "project path not found")
     )
-    return joined.withColumn("reason", reason).withColumn(
-        "accepted", F.col("reason").isNull()
-    ).drop("known")
+    checked = looked_up.unionByName(refused).withColumn("reason", reason)
+    return checked.withColumn("accepted", F.col("reason").isNull()).drop("known")

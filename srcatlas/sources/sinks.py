@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions.storage import stored
+
 ORDER = ["project", "section", "part", "path", "ord", "line"]
 
 
@@ -12,8 +14,10 @@ def write_documents(lines: DataFrame, target: str) -> None:
     """Lines as parquet in ``target/project=<name>/``, in order within each file.
 
     Range partitioning on the whole order key spreads a large project over many
-    tasks, and keeps the files of a project in order by their part number.
+    tasks, and keeps the files of a project in order by their part number.  The lines are written down before, so
+    that sampling the order does not make them a second time.
     """
+    lines = stored(lines, "lines")
     ordered = lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
     ordered.write.partitionBy("project").parquet(target)
 
@@ -21,6 +25,6 @@ def write_documents(lines: DataFrame, target: str) -> None:
 def write_erd(erd: DataFrame, edges: DataFrame, target: str) -> None:
     """Diagram pieces of the projects that have edges, in ``target/project=<name>/``."""
     with_edges = edges.select("project").distinct()
-    kept = erd.join(with_edges, "project", "left_semi")
+    kept = stored(erd.join(with_edges, "project", "left_semi"), "diagrams")
     ordered = kept.repartitionByRange("project", "path").sortWithinPartitions("project", "path")
     ordered.select("project", "path", F.col("text")).write.partitionBy("project").parquet(target)

@@ -159,13 +159,25 @@ def test_hidden_first_occurrences_do_not_count(one_file):
         "class K {\n  v: string;\n}\nclass Z {\n  v: string;\n}\n"
         "@Controller('c')\nclass C {\n  @Get('g')\n  g(): R {\n  }\n}\n"
     )
-    found = closure.tree_lines(closure.type_closure(df)).orderBy("node", "line")
+    found = closure.tree_lines(closure.printed_types(closure.Types(df))).orderBy("node", "line")
     assert [r.text for r in found.collect()] == [
         "- a: A1", "- k: K", "- v: string", "- b: B1", "- k: K (circular ref)", "- z: Z",
         "- v: string", "- z: Z (circular ref)",
     ]
 
 
+def test_diamond_chain_prints_each_type_once(one_file):
+    """Two fields of the next class at every level: 2 to the 20 paths, 4 lines a level."""
+    depth = 12
+    classes = "".join(f"class T{i} {{\n  l: T{i + 1};\n  r: T{i + 1};\n}}\n" for i in range(depth))
+    df = one_file(
+        classes + f"class T{depth} {{\n  v: string;\n}}\n@Controller('c')\nclass C {{\n  @Get('g')\n  g(): T0 {{\n  }}\n}}\n"
+    )
+    found = [r.text for r in closure.tree_lines(closure.printed_types(closure.Types(df))).collect()]
+    assert found.count(f"- l: T{depth}") == 1 and found.count(f"- l: T{depth} (circular ref)") == 1
+    assert len(found) == 2 + 4 * (depth - 1) + 2
+
+
 def test_folder_tree(spark):
     paths = ["src/a.ts", "src/b/c.ts", "src/distance/x.ts", "z.md", ".hid", "output/x"]
     df = spark.createDataFrame([("p", x) for x in paths], "project string, path string")

@@ -17,21 +17,14 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import fresh_dir
 
-N_PROJECTS = 25
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files at hand give fewer splits than cores.
-
-    Generated text costs far more to read than its key columns cost to move.  Tables
-    with enough splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def n_projects(spark: SparkSession, sf_dir: str) -> int:
+    """One project for each supplier, so that projects grow with the data."""
+    return table(spark, sf_dir, "supplier").count()
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -53,8 +46,8 @@ def _file(df: DataFrame, project: Column, path: Column, content: Column) -> Data
     )
 
 
-def _by_project(key: Column) -> Column:
-    return key % N_PROJECTS
+def _by_project(key: Column, n: int) -> Column:
+    return F.pmod(key, F.lit(n))
 
 
 # --- one family per table ----------------------------------------------------
@@ -74,20 +67,22 @@ import { N<<n>> } from './n<<n>>.entity';
   nation: N<<n>>;
 
   total(): number {
+    const plain = this.name.replace(/\\(/g, '').replace(/[{]/g, "'");
     return 1;
   }
 }
 <<helper>>"""
 
 
-def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+def customer_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     head = F.when(k % 10 == 0, "export abstract ").otherwise("@Entity()\nexport ")
     column = F.when(k % 2 == 1, "@Column()").otherwise("@Column({ type: 'varchar' })")
     helper = F.when(k % 2 == 1, fill("class H<<k>> {\n}\n", k=k)).otherwise("")
     text = fill(_CUSTOMER, k=k, n=n, head=head, column=column, helper=helper)
-    return _file(df, n, fill("src/entities/c<<k>>.entity.ts", k=k), text)
+    path = fill("src/entities/c<<k>>.entity.ts", k=k)
+    return _file(df, _by_project(k, projects), path, text)
 
 
 _ORDER = """\
@@ -103,17 +98,18 @@ export class O<<k>> {
   public lines: L<<k>>[];
 
   async total(tax: number, rate: number): Promise<number> {
-    return tax * rate;
+    const note = `${tax}: ${rate > 1 ? `x{${rate}` : '}'}`;
+    return /['"`]/.test(note) ? 0 : tax * rate;
   }
 }
 """
 
 
-def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+def order_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return _file(
-        df, _by_project(c), fill("src/orders/o<<k>>.entity.ts", k=k), fill(_ORDER, k=k, c=c)
+        df, _by_project(c, projects), fill("src/orders/o<<k>>.entity.ts", k=k), fill(_ORDER, k=k, c=c)
     )
 
 
@@ -138,26 +134,27 @@ export class P<<k>>Controller {
   put<<k>>(@Body() body: D<<k>>, @Param('id') id: string): Promise<void> {
     return null;
   }
+  private readonly mark = /[)}]\\/\\(/g;
 }
 """
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+def part_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     k = F.col("p_partkey")
-    pk = F.expr("((p_partkey div 25) div 2) * 25 + p_partkey % 25")
+    pk = F.expr(f"((p_partkey div {projects}) div 2) * {projects} + p_partkey % {projects}")
     imports = F.when(pk == k, "").otherwise(
         fill("import { D<<pk>> } from './d<<pk>>.dto';\n", pk=pk)
     )
     dto = _file(
         df,
-        _by_project(k),
+        _by_project(k, projects),
         fill("src/dto/d<<k>>.dto.ts", k=k),
         fill(_DTO, k=k, pk=pk, imports=imports),
     )
     controller = _file(
         df,
-        _by_project(k),
+        _by_project(k, projects),
         fill("src/api/p<<k>>.controller.ts", k=k),
         fill(_PART_CONTROLLER, k=k, s=F.col("p_size")),
     )
@@ -174,12 +171,12 @@ export interface IUser<<u>> {
 """
 
 
-def interface_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interface_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
     df = table(spark, sf_dir, "events").select("user_id").distinct()
     u = F.col("user_id")
     return _file(
         df,
-        _by_project(u),
+        _by_project(u, projects),
         fill("src/models/u<<u>>.ts", u=u),
         fill(_INTERFACE, u=u, v=u + 1),
     )
@@ -232,6 +229,8 @@ export class S<<k>>Controller {
     return 1;
   }
 
+  private readonly open = [/\\{/, /[(]/g, `${'`'}{`];
+
   helper(a: number): string {
     return 'h';
   }
@@ -246,9 +245,9 @@ export class Second<<k>>Controller {
 """
 
 
-def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
-    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+def supplier_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
+    df = table(spark, sf_dir, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey")
     dropped = fill("export class X<<k>> {\n}\n", k=k)
     far = fill("export class Far<<k>> {\n  deep: string;\n}\n", k=k)
     files = [
@@ -258,7 +257,7 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("src/shapes/far/f<<k>>.dto.ts", far),
     ]
     return reduce(
-        DataFrame.unionByName, [_file(df, n, fill(p, k=k), text) for p, text in files]
+        DataFrame.unionByName, [_file(df, k, fill(p, k=k), text) for p, text in files]
     )
 
 
@@ -271,25 +270,54 @@ export class T<<k>> {
   body: string;
 
   /* { ( ' */
-  size(): number { return 1; }
+  size(): number { return this.body.split(/['"{]/).length; }
 }
 """
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
     """Whole prose texts as comments: long, full of quotes, no code."""
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     text = F.replace(F.col("text"), F.lit("*/"), F.lit("* /"))
     text = F.replace(text, F.lit("\n"), F.lit("\n * "))
     return _file(
         df,
-        _by_project(k),
+        _by_project(k, projects),
         fill("src/docs/t<<k>>.ts", k=k),
         fill(_DOCUMENT, k=k, text=text),
     )
 
 
+_BROKEN = """\
+@Entity()
+export class B<<k>> {
+  @Column()
+  z: string;
+
+  @ManyToOne(() => C<<k>>)
+  owner: C<<k>>;
+
+  count(a: number): number {
+    if (a > 1) {
+    return a;
+  }
+}
+export class Rest<<k>> {
+  after(): string {
+    return '';
+  }
+}
+"""
+
+
+def broken_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
+    """A brace is missing: these files can only be read line by line."""
+    k = F.col("s_suppkey")
+    df = table(spark, sf_dir, "supplier").select("s_suppkey").filter(k % 3 == 0)
+    return _file(df, k, fill("src/broken/b<<k>>.ts", k=k), fill(_BROKEN, k=k))
+
+
 _PAGE = """\
 export const html<<k>> = `<<html>>`;
 export class V<<k>> {
@@ -299,23 +327,25 @@ export class V<<k>> {
 """
 
 
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
     """Whole web pages as template literals: brackets and quotes that are not code."""
-    df = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    df = table(spark, sf_dir, "pages").select("page_id", "html")
     k = F.col("page_id")
-    html = F.regexp_replace(F.col("html"), r"[`\\]", "")
+    # as a template literal is written: its own signs are escaped
+    html = F.replace(F.col("html"), F.lit("\\"), F.lit("\\\\"))
+    html = F.replace(F.replace(html, F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
     return _file(
         df,
-        _by_project(k),
+        _by_project(k, projects),
         fill("src/pages/v<<k>>.ts", k=k),
         fill(_PAGE, k=k, html=html),
     )
 
 
-def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
     """Files that are not sources: they matter for path-only operators."""
-    df = table(spark, sf_dir, "nation").select("n_nationkey")
-    n = F.col("n_nationkey")
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"))
+    n = F.col("n")
     empty = F.lit("")
     always = [".github/ci.yml", "dist/main.js", "src/distance/near.md", "README.md"]
     frames = [_file(df, n, F.lit(p), empty) for p in always]
@@ -334,6 +364,7 @@ FAMILIES = [
     part_files,
     interface_files,
     supplier_files,
+    broken_files,
     document_files,
     page_files,
     plain_files,
@@ -349,11 +380,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         target = fresh_dir(spark, "files")
-        frames = [f(spark, sf_dir) for f in FAMILIES]
-        # files of equal row counts: generated text compresses so unevenly that
-        # packing by stored size would give some tasks most of the text
-        writer = reduce(DataFrame.unionByName, frames).write
-        writer.option("maxRecordsPerFile", 2000).parquet(target)
+        projects = n_projects(spark, sf_dir)
+        frames = [f(spark, sf_dir, projects) for f in FAMILIES]
+        # tables come in few files; generated text is far larger than what it is made from
+        reduce(DataFrame.unionByName, frames).hint("rebalance").write.parquet(target)
         _written[key] = target
     return spark.read.parquet(_written[key])
 
@@ -364,8 +394,9 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select("n_nationkey")
-    n = F.col("n_nationkey")
+    """One manifest for each project but those whose key ends with 9."""
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n")).filter("n % 10 <> 9")
+    n = F.col("n")
     deps = (
         F.when(n % 5 == 0, '"typeorm":"1"')
         .when(n % 5 == 1, '"sequelize":"1"')
@@ -381,13 +412,14 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One documentation request per customer; some empty, some unknown."""
-    df = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    df = table(spark, sf_dir, "customer").select("c_custkey")
+    projects = n_projects(spark, sf_dir)
     k = F.col("c_custkey")
     path = (
         F.when(k % 10 == 0, F.lit(""))
         .when(k % 10 == 1, F.lit(None).cast("string"))
         .when(k % 10 == 2, F.lit("   "))
         .when(k % 10 == 3, fill("/srv/gone<<k>>", k=k))
-        .otherwise(fill("/srv/p<<n>>", n=_by_project(k)))
+        .otherwise(fill("/srv/p<<n>>", n=_by_project(k, projects)))
     )
     return df.select(k.alias("request_id"), path.alias("project_path"))

@@ -6,28 +6,35 @@ key must hold, so an extractor that misreads a file cannot agree by accident.
 
 from __future__ import annotations
 
-from srcatlas.functions import patterns as P
-from srcatlas.plans import document as D
+# The wording and the tables that results must hold, written out here on purpose: the library has its own.
+CLASS_DOCS = "Parsed with Go regex + esbuild"
+INTERFACE_DOCS = "Parsed from TypeScript interface"
+SYMBOLS = [("OneToOne", "||--||"), ("ManyToOne", "o|--||"), ("OneToMany", "||--|o"), ("ManyToMany", "o|--|o")]
+ERD_HINT = "(Paste into https://mermaid.live to visualize)"
+TABLE_HEADER = "Column | Type | Decorators"
 
 FILES = """
-cust AS (SELECT c_custkey k, c_nationkey n, 'p' || c_nationkey project,
-         'src/entities/c' || c_custkey || '.entity.ts' path FROM customer),
-ord AS (SELECT o_orderkey k, o_custkey c, 'p' || (o_custkey % 25) project,
-        'src/orders/o' || o_orderkey || '.entity.ts' path FROM orders),
-par AS (SELECT p_partkey k, p_size s, ((p_partkey // 25) // 2) * 25 + p_partkey % 25 pk,
-        'p' || (p_partkey % 25) project, 'src/dto/d' || p_partkey || '.dto.ts' dto,
-        'src/api/p' || p_partkey || '.controller.ts' path FROM part),
-usr AS (SELECT u, u + 1 v, 'p' || (u % 25) project, 'src/models/u' || u || '.ts' path
-        FROM (SELECT DISTINCT user_id u FROM events)),
-sup AS (SELECT s_suppkey k, 'p' || s_nationkey project,
+num AS (SELECT count(*) n FROM supplier),
+cust AS (SELECT c_custkey k, c_nationkey n, 'p' || (c_custkey % num.n) project,
+         'src/entities/c' || c_custkey || '.entity.ts' path FROM customer, num),
+ord AS (SELECT o_orderkey k, o_custkey c, 'p' || (o_custkey % n) project,
+        'src/orders/o' || o_orderkey || '.entity.ts' path FROM orders, num),
+par AS (SELECT p_partkey k, p_size s, ((p_partkey // n) // 2) * n + p_partkey % n pk,
+        'p' || (p_partkey % n) project, 'src/dto/d' || p_partkey || '.dto.ts' dto,
+        'src/api/p' || p_partkey || '.controller.ts' path FROM part, num),
+usr AS (SELECT u, u + 1 v, 'p' || (u % n) project, 'src/models/u' || u || '.ts' path
+        FROM (SELECT DISTINCT user_id u FROM events), num),
+sup AS (SELECT s_suppkey k, 'p' || s_suppkey project,
         'src/shapes/s' || s_suppkey || '.controller.ts' path,
         'src/shapes/far/f' || s_suppkey || '.dto.ts' far FROM supplier),
-doc AS (SELECT doc_id k, 'p' || (doc_id % 25) project, 'src/docs/t' || doc_id || '.ts' path,
-        text FROM documents),
-pag AS (SELECT page_id k, 'p' || (page_id % 25) project, 'src/pages/v' || page_id || '.ts' path,
-        html FROM pages),
-prj AS (SELECT 'p' || n_nationkey project, CASE n_nationkey % 5 WHEN 0 THEN 'typeorm'
-        WHEN 1 THEN 'sequelize' WHEN 2 THEN 'mongoose' WHEN 3 THEN 'typeorm' END kind FROM nation),
+bro AS (SELECT s_suppkey k, 'p' || s_suppkey project, 'src/broken/b' || s_suppkey || '.ts' path
+        FROM supplier WHERE s_suppkey % 3 = 0),
+doc AS (SELECT doc_id k, 'p' || (doc_id % n) project, 'src/docs/t' || doc_id || '.ts' path,
+        text FROM documents, num),
+pag AS (SELECT page_id k, 'p' || (page_id % n) project, 'src/pages/v' || page_id || '.ts' path,
+        html FROM pages, num),
+prj AS (SELECT 'p' || s_suppkey project, CASE s_suppkey % 5 WHEN 0 THEN 'typeorm'
+        WHEN 1 THEN 'sequelize' WHEN 2 THEN 'mongoose' WHEN 3 THEN 'typeorm' END kind FROM supplier WHERE s_suppkey % 10 <> 9),
 """
 
 
@@ -58,14 +65,18 @@ cls AS (
   UNION ALL SELECT project, path, pos, {_k('nm')}, 'class' FROM sup, {_values(list(enumerate(SUP_CLASSES)), 'pos, nm')}
   UNION ALL SELECT project, far, 0, 'Far' || k, 'class' FROM sup
   UNION ALL SELECT project, path, 0, 'T' || k, 'class' FROM doc
-  UNION ALL SELECT project, path, 0, 'V' || k, 'class' FROM pag),
+  UNION ALL SELECT project, path, 0, 'V' || k, 'class' FROM pag
+  UNION ALL SELECT project, path, 0, 'B' || k, 'entity' FROM bro
+  UNION ALL SELECT project, path, 1, 'Rest' || k, 'entity' FROM bro),
 mth AS (
   SELECT project, path, 0 class_pos, 0 pos, 0 file_pos, 'total' AS name, '' params, 'number' ret FROM cust
   UNION ALL SELECT project, path, 0, 0, 0, 'total', 'tax: number, rate: number', 'Promise<number>' FROM ord
   UNION ALL SELECT project, path, 0, 0, 0, 'get' || k, 'id: string', 'Promise<D' || k || '>' FROM par
   UNION ALL SELECT project, path, 3, 0, 0, 'helper', 'a: number', 'string' FROM sup
   UNION ALL SELECT project, path, 4, 0, 1, 'no', 'id: string', 'string' FROM sup
-  UNION ALL SELECT project, path, 0, 0, 0, 'size', '', 'number' FROM doc),
+  UNION ALL SELECT project, path, 0, 0, 0, 'size', '', 'number' FROM doc
+  UNION ALL SELECT project, path, 0, 0, 0, 'count', 'a: number', 'number' FROM bro
+  UNION ALL SELECT project, path, 1, 0, 1, 'after', '', 'string' FROM bro),
 prp AS (
   SELECT project, path, 0 class_pos, pos, nm AS name, CASE nm WHEN 'nation' THEN 'N' || n ELSE ty END AS type, dec
     FROM cust, {_values([(0, 'id', 'number', 'PrimaryGeneratedColumn'), (1, 'name', 'string', 'Column'), (2, 'nation', '', 'ManyToOne,JoinColumn')], 'pos, nm, ty, dec')}
@@ -73,11 +84,14 @@ prp AS (
   UNION ALL SELECT project, path, 0, 1, 'customer', 'C' || c, 'ManyToOne' FROM ord
   UNION ALL SELECT project, path, 0, 2, 'lines', 'L' || k || '[]', 'OneToMany' FROM ord
   UNION ALL SELECT project, path, 0, 0, 'body', 'string', 'Column' FROM doc
-  UNION ALL SELECT project, path, 0, 0, 'page', 'string', 'Column' FROM pag),
+  UNION ALL SELECT project, path, 0, 0, 'page', 'string', 'Column' FROM pag
+  UNION ALL SELECT project, path, 0, 0, 'z', 'string', 'Column' FROM bro
+  UNION ALL SELECT project, path, 0, 1, 'owner', 'C' || k, 'ManyToOne' FROM bro),
 edg AS (
   SELECT project, path, 0 class_pos, 2 property_pos, 0 pos, 'C' || k AS "from", 'N' || n AS "to", 'ManyToOne' AS type FROM cust WHERE k % 10 <> 0
   UNION ALL SELECT project, path, 0, 1, 0, 'O' || k, 'C' || c, 'ManyToOne' FROM ord
-  UNION ALL SELECT project, path, 0, 2, 0, 'O' || k, 'L' || k, 'OneToMany' FROM ord),
+  UNION ALL SELECT project, path, 0, 2, 0, 'O' || k, 'L' || k, 'OneToMany' FROM ord
+  UNION ALL SELECT project, path, 0, 1, 0, 'B' || k, 'C' || k, 'ManyToOne' FROM bro),
 ife AS (
   SELECT project, path, 0 class_pos, pos property_pos, 0 pos, 'IUser' || u AS "from", replace(replace(nm, '#', u::VARCHAR), '%', v::VARCHAR) AS "to", ty AS type
     FROM usr, {_values([(1, 'IUser%', 'Ref'), (2, 'ITag#', 'RefArray'), (3, 'IUser%', 'Ref')], 'pos, nm, ty')}),
@@ -89,7 +103,7 @@ rou AS (
 IO = "'Input: (' || params || ')' || chr(10) || 'Output: ' || {}"
 CLASS_COLS = (
     "project, path, class_pos::INT class_pos, name, kind, '/' || path file_path, "
-    f"'{P.CLASS_DOCS}' docs"
+    f"'{CLASS_DOCS}' docs"
 )
 FULL = (
     "async full(@Param('id') id: string, @Body() body: Pair#, @Query('m') mode: 'a' | 'b', "
@@ -122,7 +136,9 @@ raw AS (
   UNION ALL SELECT project, path, 1, 'body', 'D' || k || ', @Param(''id'') id: string): Promise<void> {{ return null', 'Body' FROM par
   UNION ALL SELECT project, path, pos, nm, {_k('ty')}, dec FROM sup, {_values(SUP_RAW, 'pos, nm, ty, dec')}
   UNION ALL SELECT project, path, 0, 'comment', '{DOC_RAW}', 'Column' FROM doc
-  UNION ALL SELECT project, path, 0, 'page', 'string', 'Column' FROM pag),
+  UNION ALL SELECT project, path, 0, 'page', 'string', 'Column' FROM pag
+  UNION ALL SELECT project, path, 0, 'z', 'string', 'Column' FROM bro
+  UNION ALL SELECT project, path, 1, 'owner', 'C' || k, 'ManyToOne' FROM bro),
 """
 
 # ----- types ---------------------------------------------------------------------------------
@@ -265,7 +281,7 @@ ENDPOINT_LINES = """
 
 # ----- diagrams and documents ----------------------------------------------------------------------
 
-_SYMBOLS = _values(list(P.RELATION_SYMBOLS.items()), "type, symbol")
+_SYMBOLS = _values(SYMBOLS, "type, symbol")
 ALL_EDGES = f"""
 pre AS (
   SELECT e.* FROM edg e JOIN prj USING (project) WHERE prj.kind = 'typeorm'
@@ -278,7 +294,7 @@ ERD_LINES = f"""
   SELECT project, 4 section, 0 part, '' path, '1' ord, 0 line, 'courier' style, 'erDiagram' AS text FROM spr
   UNION ALL SELECT project, 4, 0, '', '1', 1, 'courier', '    %% No relationships found' FROM spr WHERE NOT has
   UNION ALL SELECT project, 4, 0, path, '1.' || class_pos || '.' || property_pos || '.' || pos, 0, 'courier', line FROM dra
-  UNION ALL SELECT project, 4, 1, '', '', 0, 'quote', '{D.ERD_HINT}' FROM spr
+  UNION ALL SELECT project, 4, 1, '', '', 0, 'quote', '{ERD_HINT}' FROM spr
 """
 ERD_TEXT = """
   SELECT project, '' path, CASE WHEN has THEN 'erDiagram' || chr(10) ELSE 'erDiagram' || chr(10) || '    %% No relationships found' END AS text FROM spr
@@ -294,12 +310,12 @@ ena AS (SELECT * FROM ent UNION ALL SELECT DISTINCT f.project, f.path, f.type_po
 """
 ENTITY_TABLES = f"""
   SELECT project, 4 section, 2 part, path, pos::VARCHAR ord, 0 line, 'heading2' style, 'Entity: ' || name AS text FROM ena
-  UNION ALL SELECT project, 4, 2, path, pos::VARCHAR, 1, 'table', '{D.TABLE_HEADER}' FROM ena
+  UNION ALL SELECT project, 4, 2, path, pos::VARCHAR, 1, 'table', '{TABLE_HEADER}' FROM ena
   UNION ALL SELECT project, 4, 2, path, pos::VARCHAR, 2 + ppos, 'table', name || ' | ' || type || ' | ' || dec FROM enp
 """
 CLASS_LINES = f"""
   SELECT project, 5 section, 1 part, path, class_pos::VARCHAR ord, 0 line, 'heading2' style, 'Class: ' || name AS text FROM cls WHERE kind = 'class'
-  UNION ALL SELECT project, 5, 1, path, class_pos::VARCHAR, 1, 'normal', '{P.CLASS_DOCS}' FROM cls WHERE kind = 'class'
+  UNION ALL SELECT project, 5, 1, path, class_pos::VARCHAR, 1, 'normal', '{CLASS_DOCS}' FROM cls WHERE kind = 'class'
   UNION ALL SELECT m.project, 5, 1, m.path, class_pos::VARCHAR, 2 + 3 * m.pos + i, CASE i WHEN 0 THEN 'heading3' ELSE 'normal' END,
     CASE i WHEN 0 THEN 'Method: ' || m.name WHEN 1 THEN 'Input: (' || params || ')' ELSE 'Output: ' || ret END
     FROM mth m JOIN cls USING (project, path, class_pos), range(3) r(i) WHERE cls.kind = 'class'
@@ -310,23 +326,24 @@ FUNCTION_LINES = """
     FROM rou, range(3) r(i)
 """
 HEADINGS = [
-    (1, 0, "title", D.TITLE),
-    (1, 1, "quote", D.PROJECT_LINE),
-    (1, 2, "quote", D.DATE_LINE + "2024-01-31"),
-    (2, 0, "heading1", D.CONTENTS),
-    (3, 0, "heading1", D.FOLDERS),
-    (4, 0, "heading1", D.SCHEMA),
-    (4, 1, "heading2", D.ERD_HEADING),
-    (5, 0, "heading1", D.DETAILS),
-    (6, 0, "heading1", D.ENDPOINTS),
+    (1, 0, "title", "📘 Project Documentation"),
+    (1, 1, "quote", "Project: Project Documentation"),
+    (1, 2, "quote", "Generated on: 2024-01-31"),
+    (2, 0, "heading1", "Table of Contents"),
+    (3, 0, "heading1", "Folder Structure"),
+    (4, 0, "heading1", "Database Schema"),
+    (4, 1, "heading2", "Mermaid ER Diagram Syntax"),
+    (5, 0, "heading1", "Class & Function Details"),
+    (6, 0, "heading1", "API Endpoints"),
 ]
 ALL_PATHS = """
 fil AS (
   SELECT project, path FROM cust UNION ALL SELECT project, path FROM ord UNION ALL SELECT project, path FROM par
   UNION ALL SELECT project, dto FROM par UNION ALL SELECT project, path FROM usr UNION ALL SELECT project, path FROM sup
   UNION ALL SELECT project, far FROM sup UNION ALL SELECT project, path FROM doc UNION ALL SELECT project, path FROM pag
-  UNION ALL SELECT project, 'src/s' || k || '.d.ts' FROM sup UNION ALL SELECT project, 'README.md' FROM prj
-  UNION ALL SELECT 'p' || n_nationkey, 'prisma/schema.prisma' FROM nation WHERE n_nationkey % 7 = 0),
+  UNION ALL SELECT project, path FROM bro
+  UNION ALL SELECT project, 'src/s' || k || '.d.ts' FROM sup UNION ALL SELECT project, 'README.md' FROM sup
+  UNION ALL SELECT project, 'prisma/schema.prisma' FROM sup WHERE k % 7 = 0),
 tnd AS (
   SELECT DISTINCT project, array_to_string(parts[1:i], '/') node, i depth, parts[i] AS name, array_to_string(parts[1:i-1], '/') parent
   FROM (SELECT project, string_split(path, '/') parts, unnest(range(1, len(string_split(path, '/')) + 1)) i FROM fil)),
@@ -336,7 +353,7 @@ tre AS (
       || CASE WHEN t.is_last THEN '└── ' ELSE '├── ' END || t.name AS line
     FROM tfl t LEFT JOIN tfl a ON a.project = t.project AND a.depth < t.depth AND starts_with(t.node, a.node || '/')
     GROUP BY t.project, t.node, t.depth, t.name, t.is_last
-  UNION ALL SELECT project, '', 0, project, project FROM prj),
+  UNION ALL SELECT project, '', 0, project, project FROM sup),
 """
 
 
@@ -381,21 +398,25 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT project, path, '@Post() put' || k || '(@Body() body: D' || k || ', @Param(''id'') id: string): Promise<void> { return null; ', 1 FROM par
       UNION ALL SELECT project, path, '@Column({ comment: ''}'' }) // it''s "{" here body: string; ', 0 FROM doc
       UNION ALL SELECT project, path, '@Column() page: string; ', 0 FROM pag
+      UNION ALL SELECT project, path, '@Entity() export class B' || k || ' { @Column() z: string; ', 0 FROM bro
+      UNION ALL SELECT project, path, '@ManyToOne(() => C' || k || ') owner: C' || k || '; ', 1 FROM bro
     """ + f" UNION ALL SELECT project, path, {_k('tx')}, pos FROM sup, {_values(SUP_STATEMENTS, 'pos, tx')}"
     scan = """
       SELECT project, path FROM cust UNION ALL SELECT project, path FROM ord UNION ALL SELECT project, path FROM par
       UNION ALL SELECT project, dto FROM par UNION ALL SELECT project, path FROM usr UNION ALL SELECT project, path FROM sup
-      UNION ALL SELECT project, far FROM sup UNION ALL SELECT project, path FROM doc UNION ALL SELECT project, path FROM pag"""
+      UNION ALL SELECT project, far FROM sup UNION ALL SELECT project, path FROM doc UNION ALL SELECT project, path FROM pag
+      UNION ALL SELECT project, path FROM bro"""
     out = {
         "detect_orm": _q("SELECT project, kind FROM prj"),
-        "has_prisma_schema": "SELECT 'p' || n_nationkey project FROM nation WHERE n_nationkey % 7 = 0",
+        "has_prisma_schema": "SELECT 'p' || s_suppkey project FROM supplier WHERE s_suppkey % 7 = 0",
         "validate_requests": """
-          SELECT c_custkey request_id, project_path, CASE WHEN project_path IS NULL THEN NULL WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 2 THEN '   ' WHEN c_custkey % 10 = 3 THEN 'gone' || c_custkey ELSE 'p' || (c_custkey % 25) END project,
-            CASE WHEN c_custkey % 10 IN (0, 1) THEN 'empty project path' WHEN c_custkey % 10 IN (2, 3) THEN 'project path not found' END reason,
-            c_custkey % 10 > 3 accepted
-          FROM (SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '   ' WHEN 3 THEN '/srv/gone' || c_custkey ELSE '/srv/p' || (c_custkey % 25) END project_path FROM customer)""",
+          SELECT c_custkey request_id, project_path, CASE WHEN project_path IS NULL THEN NULL WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 2 THEN '   ' WHEN c_custkey % 10 = 3 THEN 'gone' || c_custkey ELSE 'p' || (c_custkey % n) END project,
+            CASE WHEN c_custkey % 10 IN (0, 1) THEN 'empty project path' WHEN c_custkey % 10 IN (2, 3) OR (c_custkey % n) % 10 = 9 THEN 'project path not found' END reason,
+            c_custkey % 10 > 3 AND (c_custkey % n) % 10 <> 9 accepted
+          FROM (SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '   ' WHEN 3 THEN '/srv/gone' || c_custkey ELSE '/srv/p' || (c_custkey % n) END project_path, n FROM customer, (SELECT count(*) n FROM supplier))""",
         "unsupported_projects": """
-          SELECT 'p' || n_nationkey project, CASE n_nationkey WHEN 24 THEN 'no readable manifest' ELSE 'no supported parser' END reason FROM nation WHERE n_nationkey % 5 = 4""",
+          SELECT 'p' || s_suppkey project, CASE s_suppkey % 10 WHEN 9 THEN 'no readable manifest' ELSE 'no supported parser' END reason FROM supplier WHERE s_suppkey % 5 = 4""",
+        "rejects": _q("SELECT project, path, 'brackets do not close' reason FROM bro"),
         "folder_tree": _q("SELECT project, node, depth::INT AS depth, name, line FROM tre", ALL_PATHS),
         "classes": _q(f"SELECT {CLASS_COLS} FROM cls", CLS),
         "entities": _q(f"SELECT {CLASS_COLS} FROM cls WHERE kind = 'entity'", CLS),
@@ -413,8 +434,8 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN (SELECT project, path, class_pos, string_agg(name || ':' || ret, ';' ORDER BY pos) ms FROM mth GROUP BY ALL) USING (project, path, class_pos)
           LEFT JOIN (SELECT project, path, class_pos, string_agg(name || ':' || type || '@' || replace(dec, ',', '@'), ';' ORDER BY pos) ps FROM prp GROUP BY ALL) USING (project, path, class_pos)""", CLS),
         "relationships": _q("SELECT * FROM edg", CLS),
-        "relationships_by_file": _q("SELECT * FROM edg WHERE property_pos = 1", CLS),
-        "interfaces": _q(f"SELECT DISTINCT project, path, type_pos, type_name AS name, '/' || path file_path, '{P.INTERFACE_DOCS}' docs FROM fld WHERE kind = 'interface'", *types_ctes),
+        "relationships_by_file": _q("SELECT * FROM edg WHERE property_pos = 1 UNION ALL SELECT project, path, 1, 1, 0, 'Rest' || k, 'C' || k, 'ManyToOne' FROM bro", CLS),
+        "interfaces": _q(f"SELECT DISTINCT project, path, type_pos, type_name AS name, '/' || path file_path, '{INTERFACE_DOCS}' docs FROM fld WHERE kind = 'interface'", *types_ctes),
         "interface_properties": _q("SELECT project, path, type_pos, type_name interface, pos, name, type FROM fld WHERE kind = 'interface'", *types_ctes),
         "interface_refs": _q('SELECT project, path, class_pos type_pos, property_pos, pos, "from", "to", type FROM ife', CLS),
         "controllers": _q("SELECT project, path, 'P' || k || 'Controller' controller, 'parts' base_route FROM par UNION ALL SELECT project, path, 'S' || k || 'Controller', '{ path: shapes }' FROM sup"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import text as X
-from srcatlas.functions.storage import fresh_dir
+from srcatlas.functions.storage import checkpointed, fresh_dir
 from srcatlas.functions.typetext import classify_types, type_arguments, unwrap_types
 from srcatlas.operators import api, closure, entities, imports, orm, types
 from srcatlas.operators.tree import folder_tree
@@ -64,9 +64,7 @@ def _validated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unsupported(spark: SparkSession, d: str) -> DataFrame:
-    # a project without a manifest: the last one's is left out
-    known = corpus.manifests(spark, d).filter(F.col("project") != "p24")
-    return orm.unsupported_projects(corpus.files(spark, d), known)
+    return orm.unsupported_projects(corpus.files(spark, d), corpus.manifests(spark, d))
 
 
 def _class_records(spark: SparkSession, d: str) -> DataFrame:
@@ -131,13 +129,13 @@ def _nodes(df: DataFrame) -> DataFrame:
 
 
 def _tree_lines(spark: SparkSession, d: str, only: str | None = None, **style: str) -> DataFrame:
-    nodes = closure.type_closure(_src(spark, d))
-    made = closure.enum_lines(nodes) if only else closure.tree_lines(nodes, **style)
+    printed = closure.printed_types(closure.Types(_src(spark, d)))
+    made = closure.enum_lines(printed) if only else closure.tree_lines(printed, **style)
     return made.withColumn("node", _dotted("node"))
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return diagram.project_edges(_scanned(spark, d), corpus.manifests(spark, d))
+    return checkpointed(diagram.project_edges(_scanned(spark, d), corpus.manifests(spark, d)))
 
 
 def _projects(spark: SparkSession, d: str) -> DataFrame:
@@ -177,13 +175,7 @@ def _function_docs(sources: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return document.document_lines(
-        corpus.files(spark, d),
-        _scanned(spark, d),
-        _src(spark, d),
-        corpus.manifests(spark, d),
-        RUN_DATE,
-    )
+    return document.document_lines(corpus.files(spark, d), corpus.manifests(spark, d), RUN_DATE)
 
 
 def _readable(df: DataFrame) -> DataFrame:
@@ -268,6 +260,7 @@ def queries() -> dict[str, Query]:
         "class_records": _class_records,
         "relationships": _on_scanned(entities.relationships),
         "relationships_by_file": _on_scanned(lambda s: entities.relationships(s, **RAW)),
+        "rejects": _on_scanned(entities.rejects),
         # interfaces
         "interfaces": _on_src(types.interfaces),
         "interface_properties": _on_src(types.interface_properties),
