@@ -375,6 +375,73 @@ def _all_lines() -> str:
 """
 
 
+# ----- catalogue documents --------------------------------------------------------------------------
+
+
+def _json_list(items: str, order: str) -> str:
+    return f"'[' || coalesce(string_agg({items}, ',' ORDER BY {order}), '') || ']'"
+
+
+_METHOD_JSON = f"""'{{"name":' || to_json(m.name) || ',"docs":' || to_json({IO.format('m.ret').replace('params', 'm.params')}) || ',"returnType":' || to_json(m.ret) || '}}'"""
+_PROPERTY_JSON = """'{"name":' || to_json(p.name) || ',"type":' || to_json(p.type) || ',"decorators":' || to_json(CASE WHEN p.dec = '' THEN [] ELSE string_split(p.dec, ',') END) || '}'"""
+CATALOGUE = f"""
+  cjs AS (
+    SELECT c.project, c.path, c.class_pos pos, c.kind,
+      '{{"name":' || to_json(c.name) || ',"filePath":' || to_json('/' || c.path) || ',"docs":' || to_json('{CLASS_DOCS}') ||
+      ',"methods":' || coalesce((SELECT {_json_list(_METHOD_JSON, 'm.pos')} FROM mth m WHERE m.project = c.project AND m.path = c.path AND m.class_pos = c.class_pos), '[]') ||
+      ',"properties":' || coalesce((SELECT {_json_list(_PROPERTY_JSON, 'p.pos')} FROM prp p WHERE p.project = c.project AND p.path = c.path AND p.class_pos = c.class_pos), '[]') || '}}' js
+    FROM cls c JOIN prj USING (project) WHERE prj.kind = 'typeorm'
+  ), ijs AS (
+    SELECT f.project, f.path, f.type_pos pos,
+      '{{"name":' || to_json(f.type_name) || ',"filePath":' || to_json('/' || f.path) || ',"docs":' || to_json('{INTERFACE_DOCS}') || ',"methods":[],"properties":' ||
+      '[' || string_agg('{{"name":' || to_json(f.name) || ',"type":' || to_json(f.type) || ',"decorators":[]}}', ',' ORDER BY f.pos) || ']}}' js
+    FROM fld f JOIN prj USING (project) WHERE f.kind = 'interface' AND prj.kind = 'mongoose' GROUP BY f.project, f.path, f.type_pos, f.type_name
+  ), ejs AS (
+    SELECT project, path, '[' || string_agg('{{"from":' || to_json("from") || ',"to":' || to_json("to") || ',"type":' || to_json(type) || '}}', ',' ORDER BY class_pos, property_pos, pos) || ']' js
+    FROM (SELECT * FROM edg UNION ALL SELECT * FROM ife) GROUP BY project, path
+  ), rjs AS (
+    SELECT project, path, '[' || string_agg('{{"name":' || to_json(name) || ',"method":' || to_json(method) || ',"route":' || to_json(route) || ',"docs":' || to_json({IO.format('return_type')}) || ',"returnType":' || to_json(return_type) || '}}', ',' ORDER BY pos) || ']' js
+    FROM rou GROUP BY project, path
+  ), alljs AS (
+    SELECT project, '' path, '[]' en, '[]' cl, '[]' fu, '[]' re FROM prj WHERE kind IS NOT NULL
+    UNION ALL
+    SELECT c.project, c.path, '[' || coalesce(string_agg(c.js, ',' ORDER BY c.pos) FILTER (c.kind = 'entity'), '') || ']',
+      '[' || coalesce(string_agg(c.js, ',' ORDER BY c.pos) FILTER (c.kind = 'class'), '') || ']', coalesce(any_value(r.js), '[]'), coalesce(any_value(e.js), '[]')
+    FROM cjs c LEFT JOIN rjs r USING (project, path) LEFT JOIN ejs e USING (project, path) GROUP BY c.project, c.path
+    UNION ALL
+    SELECT i.project, i.path, '[' || string_agg(i.js, ',' ORDER BY i.pos) || ']', '[]', '[]', coalesce(any_value(e.js), '[]')
+    FROM ijs i LEFT JOIN ejs e USING (project, path) GROUP BY i.project, i.path
+  ),
+"""
+PROJECT_JSON_ROWS = """
+  SELECT project, path, '{"entities":' || en || ',"classes":' || cl || ',"functions":' || fu || ',"relationships":' || re || '}' AS json FROM alljs
+"""
+PARSED_JSON = """
+          SELECT project, '' path, true valid, 0 n_entities, 0 n_classes, 0 n_functions, 0 n_relationships, '' entity_names FROM prj WHERE kind IS NOT NULL
+          UNION ALL SELECT c.project, c.path, true, sum((c.kind = 'entity')::INT)::INT, sum((c.kind = 'class')::INT)::INT, coalesce(any_value(nr), 0)::INT, coalesce(any_value(ne), 0)::INT, coalesce(string_agg(c.name, ',' ORDER BY class_pos) FILTER (c.kind = 'entity'), '')
+            FROM cls c JOIN prj USING (project) LEFT JOIN (SELECT project, path, count(*) nr FROM rou GROUP BY ALL) USING (project, path) LEFT JOIN (SELECT project, path, count(*) ne FROM edg GROUP BY ALL) USING (project, path) WHERE prj.kind = 'typeorm' GROUP BY c.project, c.path
+          UNION ALL SELECT f.project, f.path, true, count(DISTINCT type_name)::INT, 0, 0, coalesce(any_value(ni), 0)::INT, any_value(type_name) FROM fld f JOIN prj USING (project) LEFT JOIN (SELECT project, path, count(*) ni FROM ife GROUP BY ALL) USING (project, path) WHERE f.kind = 'interface' AND prj.kind = 'mongoose' GROUP BY f.project, f.path"""
+
+
+CUSTOMER_TEXT = """import { N% } from './n%.entity';
+
+@@class C# {
+  @PrimaryGeneratedColumn()
+  id: number;
+
+  ^
+  name: string;
+
+  @ManyToOne(() => N%)
+  @JoinColumn()
+  nation: N%;
+
+  total(): number {
+    const plain = this.name.replace(/\\(/g, '').replace(/[{]/g, "'");
+    return 1;
+  }
+}"""
+
 LINE_COLS = "project, section::INT section, part::INT part, path, ord, line::INT line, style, text"
 
 
@@ -461,11 +528,13 @@ def oracle_sql() -> dict[str, str]:
         "erd_text": _q(ERD_TEXT, CLS, ALL_EDGES),
         "erd_lines": _q(f"SELECT {LINE_COLS} FROM ({ERD_LINES})", CLS, ALL_EDGES),
         "write_erd": _q(f"SELECT e.* FROM ({ERD_TEXT}) e JOIN spr USING (project) WHERE has", CLS, ALL_EDGES),
-        "parse_project_json": _q("""
-          SELECT project, '' path, true valid, 0 n_entities, 0 n_classes, 0 n_functions, 0 n_relationships, '' entity_names FROM prj WHERE kind IS NOT NULL
-          UNION ALL SELECT c.project, c.path, true, sum((c.kind = 'entity')::INT)::INT, sum((c.kind = 'class')::INT)::INT, coalesce(any_value(nr), 0)::INT, coalesce(any_value(ne), 0)::INT, coalesce(string_agg(c.name, ',' ORDER BY class_pos) FILTER (c.kind = 'entity'), '')
-            FROM cls c JOIN prj USING (project) LEFT JOIN (SELECT project, path, count(*) nr FROM rou GROUP BY ALL) USING (project, path) LEFT JOIN (SELECT project, path, count(*) ne FROM edg GROUP BY ALL) USING (project, path) WHERE prj.kind = 'typeorm' GROUP BY c.project, c.path
-          UNION ALL SELECT f.project, f.path, true, count(DISTINCT type_name)::INT, 0, 0, coalesce(any_value(ni), 0)::INT, any_value(type_name) FROM fld f JOIN prj USING (project) LEFT JOIN (SELECT project, path, count(*) ni FROM ife GROUP BY ALL) USING (project, path) WHERE f.kind = 'interface' AND prj.kind = 'mongoose' GROUP BY f.project, f.path""", CLS, FLD),
+        "parse_project_json": _q(
+            f"SELECT parsed.*, js.json again FROM ({PARSED_JSON}) parsed JOIN ({PROJECT_JSON_ROWS}) js USING (project, path)",
+            CLS,
+            FLD,
+            CATALOGUE,
+        ),
+        "project_json": _q(PROJECT_JSON_ROWS, CLS, FLD, CATALOGUE),
         "entity_table_rows": _q(f"SELECT {LINE_COLS} FROM ({ENTITY_TABLES})", CLS, FLD, ENT),
         "class_doc_lines": _q(f"SELECT {LINE_COLS} FROM ({CLASS_LINES})", CLS),
         "function_doc_lines": _q(f"SELECT {LINE_COLS} FROM ({FUNCTION_LINES})", CLS),
@@ -481,6 +550,13 @@ def oracle_sql() -> dict[str, str]:
             len(regexp_extract_all(p_name, '\\w+'))::INT n_found, regexp_matches(p_name, '^[a-z]') starts_lower, '2024-01-31' stamp, p_partkey::VARCHAR key_text, ' ' || chr(9) || p_name || chr(10) || ' ' newlines
           FROM part""",
     }
+    out["text_functions_documents"] = """
+      SELECT k, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13))) trimmed, md5(t) newlines, md5(replace(replace(t, '"', ''), chr(39), '')) unquoted,
+        md5('/a/' || replace(t, chr(92), '/')) as_path, len(string_split(t, chr(10)))::INT n_lines, contains(t, 'the') has_the
+      FROM (SELECT doc_id k, text t FROM documents UNION ALL SELECT -1 - n_nationkey, n_name FROM nation)"""
+    out["read_tree"] = _q("""
+      SELECT project, path, md5(CASE WHEN k % 10 = 0 THEN replace(x, '@@', 'export abstract ') ELSE replace(x, '@@', '@Entity()' || chr(10) || 'export ') END || CASE WHEN k % 2 = 1 THEN chr(10) || 'class H' || k || ' {' || chr(10) || '}' ELSE '' END) AS content
+      FROM (SELECT project, path, k, replace(replace(replace(CUSTOMER_TEXT, '#', k::VARCHAR), '%', n::VARCHAR), '^', CASE WHEN k % 2 = 1 THEN '@Column()' ELSE '@Column({ type: ''varchar'' })' END) x FROM cust)""".replace("CUSTOMER_TEXT", "'" + CUSTOMER_TEXT.replace("'", "''") + "'"))
     out["scan_sources"] = _q(f"SELECT project, path FROM ({scan})")
     out["scan_src_only"] = _q(f"SELECT project, path FROM ({scan} UNION ALL SELECT project, 'src/s' || k || '.d.ts' FROM sup)")
     return out

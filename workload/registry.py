@@ -200,7 +200,10 @@ def _parse_json(spark: SparkSession, d: str) -> DataFrame:
     parsed = catalogue.parse_project_json(_project_json(spark, d))
     sizes = [F.size(n).alias(f"n_{n}") for n in catalogue.LISTS]
     names = F.array_join(F.transform("entities", lambda e: e["name"]), ",")
-    return parsed.select("project", "path", "valid", *sizes, names.alias("entity_names"))
+    again = F.to_json(F.struct(*catalogue.LISTS), {"ignoreNullFields": "false"})
+    return parsed.select(
+        "project", "path", "valid", *sizes, names.alias("entity_names"), again.alias("again")
+    )
 
 
 def _text_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -232,6 +235,39 @@ def _text_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _text_functions_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same helpers on long texts in four languages, and on names of countries."""
+    docs = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    nations = corpus.table(spark, d, "nation").select((-1 - F.col("n_nationkey")).alias("k"), F.col("n_name").alias("t"))
+    t = F.col("t")
+    return docs.union(nations).select(
+        F.col("k").cast("long").alias("k"),
+        F.md5(X.trim_ws(F.concat(F.lit(" \t"), t, F.lit("\r\n ")))).alias("trimmed"),
+        F.md5(X.normalize_newlines(F.replace(t, F.lit("\n"), F.lit("\r\n")))).alias("newlines"),
+        F.md5(X.unquote(F.concat(F.lit('"'), t, F.lit("'")))).alias("unquoted"),
+        F.md5(X.slash_path(F.concat(F.lit("a\\"), t))).alias("as_path"),
+        F.size(F.split(t, "\n")).alias("n_lines"),
+        F.contains(t, F.lit("the")).alias("has_the"),
+    )
+
+
+def _read_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A project tree written as files and read back: every customer's file."""
+    target = fresh_dir(spark, "tree")
+    rows = corpus.customer_files(spark, d, corpus.n_projects(spark, d))
+    # one folder for each file; the writer names the file itself
+    rows.select(F.concat_ws("/", "project", "path").alias("where"), F.col("content").alias("value")).write.partitionBy(
+        "where"
+    ).text(target)
+    read = scan.read_tree(spark, target, "*.txt")
+    inside = F.url_decode(F.replace(F.regexp_extract("project", "^where=(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    return read.select(
+        F.substring_index(inside, "/", 1).alias("project"),
+        F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
+        F.md5(X.trim_ws(F.col("content"))).alias("content"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         # scans
@@ -302,4 +338,6 @@ def queries() -> dict[str, Query]:
         "toc": lambda spark, d: _readable(_ord(document.toc(_lines(spark, d)))),
         "write_documents": _write_documents,
         "text_functions": _text_functions,
+        "text_functions_documents": _text_functions_documents,
+        "read_tree": _read_tree,
     }
