@@ -382,8 +382,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         target = fresh_dir(spark, "files")
         projects = n_projects(spark, sf_dir)
         frames = [f(spark, sf_dir, projects) for f in FAMILIES]
-        # tables come in few files; generated text is far larger than what it is made from
-        reduce(DataFrame.unionByName, frames).hint("rebalance").write.parquet(target)
+        # the tables come in few files, but generated text is far larger than what it is made from
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        reduce(DataFrame.unionByName, frames).repartition(parts, "path").write.parquet(target)
         _written[key] = target
     return spark.read.parquet(_written[key])
 
