@@ -82,6 +82,8 @@ _ESCAPES = [
 ]
 
 
+#: Folding passes that are tried before the state is looked at again.
+_GROUPED = 32
 _FOLDED = "struct<text:string,blocks:array<string>,done:boolean>"
 
 
@@ -157,8 +159,15 @@ def _fold(masked: Column) -> Column:
         folded = let(F.split(marked, _MARK, -1), replace_found)
         return F.when(acc["done"], acc).otherwise(folded).cast(_FOLDED)
 
-    passes = F.sequence(F.lit(0), F.regexp_count(masked, F.lit(r"[{(<\[]")))
-    return F.aggregate(passes, start.cast(_FOLDED), one_pass)
+    # a step after the last pass copies the state, so steps are grouped: a group costs one copy once all is folded
+    opened = F.regexp_count(masked, F.lit(r"[{(<\[]"))
+    group = F.sequence(F.lit(1), F.lit(_GROUPED))
+
+    def passes(acc: Column, _: Column) -> Column:
+        more = F.aggregate(group, acc, one_pass)
+        return F.when(acc["done"], acc).otherwise(more).cast(_FOLDED)
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(opened / _GROUPED)), start.cast(_FOLDED), passes)
 
 
 def with_outline(df: DataFrame, text: str = "content", name: str = "o") -> DataFrame:
@@ -242,9 +251,15 @@ def unfold(o: Column, text: Column) -> Column:
         opened = _put_back(acc, "«", "»", 1, lambda i: block(o, i))
         return F.when(F.contains(acc, F.lit("«")), opened).otherwise(acc).cast("string")
 
-    # inner groups have lower numbers, so every pass lowers the highest one left
-    passes = F.sequence(F.lit(0), F.size(o["blocks"]))
-    plain = F.aggregate(passes, text, one_pass)
+    # inner groups have lower numbers, so every pass lowers the highest one left; whether one is left is looked at
+    # once for each group of passes
+    group = F.sequence(F.lit(1), F.lit(_GROUPED))
+
+    def passes(acc: Column, _: Column) -> Column:
+        more = F.aggregate(group, acc, one_pass)
+        return F.when(F.contains(acc, F.lit("«")), more).otherwise(acc).cast("string")
+
+    plain = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(o["blocks"]) / _GROUPED)), text, passes)
     code = _put_back(plain, "‹", "›", 0, lambda i: literal(o, i))
     out = F.replace(code, F.lit("⇒"), F.lit("=>"))
     for plain_sign, private in _ESCAPES:

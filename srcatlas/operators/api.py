@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import argument, body, unfold_fields, narrow, with_outline
+from srcatlas.functions.outline import argument, body, narrow, unfold_fields, with_outline
 from srcatlas.functions.rows import each
 from srcatlas.functions.text import trim_ws, unquote
 from srcatlas.functions.typetext import type_arguments

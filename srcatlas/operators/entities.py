@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions import lines as L
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, narrow, unfold_array, unfold_fields, with_outline
+from srcatlas.functions.outline import block, body, let, narrow, unfold_array, unfold_fields, with_outline
 from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import io_docs, slash_path, trim_ws
 
@@ -61,23 +61,26 @@ def _with_bodies(rows: DataFrame) -> DataFrame:
     name, at any nesting level; '' if there is none."""
     o = F.col("o")
     levels = F.concat(F.array(o["top"]), F.filter(o["blocks"], lambda b: b.startswith("{")))
-    headers = F.col("_headers")
+    found = _find(F.array_join(levels, "\n"), _CLASS_BODY)
+    heads = F.transform(
+        "_found",
+        lambda h: F.struct(
+            F.regexp_extract(h, _CLASS_BODY, 1).alias("name"), F.regexp_extract(h, _CLASS_BODY, 2).alias("token")
+        ),
+    )
+
+    def bodies(heads: Column) -> Column:
+        def one_body(name: Column) -> Column:
+            # array_position is 0 for a name without a body, and an index of -1 gives NULL
+            place = F.array_position(heads["name"], name).cast("int") - 1
+            return F.coalesce(body(o, F.get(heads["token"], place)), F.lit(""))
 
-    def one_body(name: Column) -> Column:
-        own = F.filter(headers, lambda h: F.regexp_extract(h, _CLASS_BODY, 1) == name)
-        token = F.regexp_extract(F.get(own, F.lit(0)), _CLASS_BODY, 2)
-        return F.coalesce(body(o, token), F.lit(""))
+        return F.transform("names", one_body)
 
     return (
-        rows.withColumn("_headers", _find(F.array_join(levels, "\n"), _CLASS_BODY))
-        # a second use of the headers keeps their search out of the lambda
-        .withColumn(
-            "bodies",
-            F.when(F.size(headers) == 0, F.transform("names", lambda _: F.lit(""))).otherwise(
-                F.transform("names", one_body)
-            ),
-        )
-        .drop("_headers")
+        rows.withColumn("_found", found)
+        .withColumn("bodies", let(F.struct(heads["name"].alias("name"), heads["token"].alias("token")), bodies))
+        .drop("_found")
     )
 
 
@@ -187,6 +190,11 @@ def raw_properties(text: Column, decorators: str, targets: str) -> Column:
     return F.transform(made, lambda p: _property(p["name"], p["type"], p["heads"]))
 
 
+def _taken(found: Column, decorators: str) -> Column:
+    """How many decorators of a property count."""
+    return F.least(F.size(found["stack"]), F.lit(1)) if decorators == "last" else F.size(found["stack"])
+
+
 def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> DataFrame:
     """Add ``properties``: array(struct(owner, name, type, decorators, edges))."""
     o = F.col("o")
@@ -232,14 +240,26 @@ def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> Dat
         ),
     )
     rows = rows.withColumn("_heads", heads)
-    own = F.col("_heads")
-    properties = F.transform(
-        "_found",
-        lambda p, i: _property(
-            p["name"], trim_ws(p["type"]), F.filter(own, lambda h: h["owner"] == i)
-        ).withField("owner", p["owner"]),
+    # heads stand in the order of their properties, so each property's are a slice
+    properties = let(
+        F.struct(
+            F.col("_found").alias("found"),
+            F.col("_heads").alias("heads"),
+            F.transform("_found", lambda p: _taken(p, decorators)).alias("sizes"),
+        ),
+        lambda s: F.transform(
+            s["found"],
+            lambda p, i: _property(
+                p["name"],
+                trim_ws(p["type"]),
+                F.slice(
+                    s["heads"],
+                    F.aggregate(F.slice(s["sizes"], F.lit(1), i), F.lit(1), lambda n, k: n + k),
+                    F.get(s["sizes"], i),
+                ),
+            ).withField("owner", p["owner"]),
+        ),
     )
-    # `own` stands in two places of the lambda, so it stays a column of its own
     return rows.withColumn("properties", properties).drop("_found", "_heads")
 
 
@@ -334,33 +354,33 @@ def class_records(
             )
             rows = rows.withColumn("properties", F.flatten(found))
 
-    pos = F.col("class_pos")
-
-    def own(member: str) -> Column:
-        if own_file:
-            made = F.transform(member, lambda m: m)
-        else:
-            made = F.filter(member, lambda m: m["owner"] == pos)
+    def own(members: Column, member: str, pos: Column) -> Column:
+        made = members[member] if own_file else F.filter(members[member], lambda m: m["owner"] == pos)
         if member == "properties":
             fields = ("name", "type", "decorators", "edges")
             return F.transform(made, lambda m: F.struct(*[m[f].alias(f) for f in fields]))
-        return F.transform(
-            made, lambda m: _method(m["name"], m["params"], m["return_type"])
-        )
-
-    keep = ["project", "path", "kind"]
+        return F.transform(made, lambda m: _method(m["name"], m["params"], m["return_type"]))
+
+    # members are put into their class before classes become rows, so that no row carries those of others
+    nested = let(
+        F.struct(F.col("names").alias("names"), *wanted),
+        lambda all_: F.transform(
+            all_["names"],
+            lambda name, i: F.struct(name.alias("name"), *[own(all_, m, i).alias(m) for m in wanted]),
+        ),
+    )
     per_class = rows.select(
-        *keep, *wanted, F.posexplode(each("names")).alias("class_pos", "name")
+        "project", "path", "kind", F.posexplode(each(nested)).alias("class_pos", "c")
     )
     return per_class.select(
         "project",
         "path",
         "class_pos",
-        "name",
+        F.col("c.name").alias("name"),
         "kind",
         slash_path(F.col("path")).alias("file_path"),
         F.lit(P.CLASS_DOCS).alias("docs"),
-        *[own(m).alias(m) for m in wanted],
+        *[F.col(f"c.{m}").alias(m) for m in wanted],
     )
 
 

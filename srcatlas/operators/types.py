@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, unfold_fields, narrow, with_outline
+from srcatlas.functions.outline import block, body, let, narrow, unfold_fields, with_outline
 from srcatlas.functions.rows import each, settle
 from srcatlas.functions.text import slash_path, trim_ws, unquote
 from srcatlas.functions.typetext import kind_of_base, unwrap_types
@@ -85,6 +85,21 @@ def _with_declarations(sources: DataFrame) -> DataFrame:
     )
 
 
+def _nested(declared: str, parts: str) -> Column:
+    """array(struct(name, kind, own)): each declaration with its own parts, so that no row carries those of others."""
+    return let(
+        F.struct(F.col(declared).alias("d"), F.col(parts).alias("p")),
+        lambda all_: F.transform(
+            all_["d"],
+            lambda d, i: F.struct(
+                d["name"].alias("name"),
+                d["kind"].alias("kind"),
+                F.filter(all_["p"], lambda p: p["owner"] == i).alias("own"),
+            ),
+        ),
+    )
+
+
 def type_fields(sources: DataFrame) -> DataFrame:
     """Declared fields of every class and interface."""
     rows = _with_declarations(_declaring(sources)).withColumn(
@@ -92,16 +107,15 @@ def type_fields(sources: DataFrame) -> DataFrame:
     )
     rows = unfold_fields(rows, "fields", "name", "type")
     per_type = rows.select(
-        "project", "path", "fields", F.posexplode(each("declared")).alias("type_pos", "d")
+        "project", "path", F.posexplode(each(_nested("declared", "fields"))).alias("type_pos", "d")
     )
-    own = F.filter("fields", lambda f: f["owner"] == F.col("type_pos"))
     return per_type.select(
         "project",
         "path",
         "type_pos",
         F.col("d.name").alias("type_name"),
         F.col("d.kind").alias("kind"),
-        F.posexplode(each(own)).alias("pos", "f"),
+        F.posexplode(each("d.own")).alias("pos", "f"),
     ).select(
         "project",
         "path",
@@ -121,11 +135,10 @@ def enums(sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("declared", F.filter("declared", lambda d: d["kind"] == "enum"))
     rows = rows.withColumn("members", _declared_members(F.col("declared")))
     rows = unfold_fields(rows, "members", "name").select(
-        "project", "path", "members", F.posexplode(each("declared")).alias("owner", "d")
+        "project", "path", F.explode(each(_nested("declared", "members"))).alias("d")
     )
-    own = F.filter("members", lambda m: m["owner"] == F.col("owner"))
     return rows.select(
-        "project", "path", F.col("d.name").alias("enum"), F.posexplode(each(own)).alias("pos", "m")
+        "project", "path", F.col("d.name").alias("enum"), F.posexplode(each("d.own")).alias("pos", "m")
     ).select("project", "path", "enum", "pos", F.col("m.name").alias("member"))
 
 
@@ -138,11 +151,10 @@ def interface_records(sources: DataFrame) -> DataFrame:
     rows = _with_declarations(marked)
     rows = rows.withColumn("fields", _declared_fields(F.col("declared")))
     rows = unfold_fields(rows, "fields", "name", "type").select(
-        "project", "path", "fields", F.posexplode(each("declared")).alias("type_pos", "d")
+        "project", "path", F.posexplode(each(_nested("declared", "fields"))).alias("type_pos", "d")
     )
-    own = F.filter("fields", lambda f: f["owner"] == F.col("type_pos"))
     properties = F.transform(
-        own,
+        "d.own",
         lambda f: F.struct(
             unquote(f["name"]).alias("name"), trim_ws(f["type"]).alias("type")
         ),

@@ -197,3 +197,64 @@ def test_reading_a_project_tree(spark, tmp_path):
     found = scan.scan_sources(spark, str(tmp_path))
     assert rows(found, "project", "path") == [("p1", "src/a b.ts")]
     assert rows(scan.scan_manifests(spark, str(tmp_path)), "project") == [("p1",)]
+
+
+def test_brackets_in_literals_are_no_code(spark):
+    """Regular expressions, nested templates and escaped signs in a body lose nothing of the file."""
+    bodies = [
+        r"return x.replace(/\(/g, '');",
+        r"return x.replace(/[{]/g, '').replace(/['\"`]/, '');",
+        r"return `a ${b ? `x{${c}` : '}'} {`;",
+        r"return `a ${f({ a: 1 })} ` + `}`;",
+        r"return /^[/)]\/{/.test(x);",
+        r"const r = b / c; return d / e; // it's {",
+        r"return [/\{/, /\}/];",
+        r"return 'it\'s {' + `\`{\${`;",
+        r"if (!/\)/.test(a)) { return 0; }",
+        r"return `${a}${`${`${b}{`}`}`;",
+    ]
+    text = "@Entity()\nclass A {{\n  @Column()\n  n: string;\n\n  f(a: B): C {{\n    {}\n  }}\n}}\n"
+    files = [("p", f"src/{i}.ts", text.replace("{{", "{").replace("}}", "}").replace("{}", b, 1)) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(files, "project string, path string, content string")
+    assert entities.rejects(df).collect() == []
+    assert rows(entities.class_properties(df), "name", "type") == [("n", "string")] * len(bodies)
+    assert rows(entities.class_methods(df), "name", "return_type") == [("f", "C")] * len(bodies)
+    assert rows(types.type_fields(df), "type_name", "name") == [("A", "n")] * len(bodies)
+
+
+def test_unreadable_files_are_listed_and_read_by_lines(one_file):
+    df = one_file("@Entity()\nclass A {\n  @Column()\n  n: string;\n\n  f(): C {\n    if (x) {\n  }\n}\nclass B {\n  @Column() m: D;\n}\n")
+    assert rows(entities.rejects(df), "path", "reason") == [("src/a.ts", "brackets do not close")]
+    assert rows(entities.class_properties(df), "class", "name") == [("A", "n"), ("B", "m")]
+    assert rows(entities.class_methods(df), "class", "name") == [("A", "f")]
+
+
+def test_large_files_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        one = "@Entity()\nclass C# {\n  @Column({ type: 'x' })\n  a: string;\n  @ManyToOne(() => D) d: D;\n\n  f(a: B): C {\n    if (a) { return [1].map((x) => { return x; }); }\n  }\n}\n"
+        text = "".join(one.replace("#", str(i)) for i in range(n))
+        df = spark.createDataFrame([("p", "src/a.ts", text)], "project string, path string, content string")
+        start = time.time()
+        assert entities.class_properties(df).count() == 2 * n
+        return time.time() - start
+
+    seconds(10)
+    small, large = seconds(500), seconds(2000)
+    assert large < 10 * max(small, 0.5)
+
+
+def test_statements_without_semicolons_are_linear(one_file):
+    text = "".join(f"@Column()\nname{i}: string\n" for i in range(20_000))
+    assert rows(entities.decorated_statements(one_file(text)), "pos") == []
+
+
+def test_requests_without_a_path_are_refused(spark):
+    asked = spark.createDataFrame([(None,), ("",), ("  ",), ("/x/p1/",), ("/x/p2",)], "project_path string")
+    known = spark.createDataFrame([("p1",)], "project string")
+    found = scan.validate_requests(asked, known)
+    assert sorted(rows(found, "project_path", "accepted", "reason"), key=repr) == sorted(
+        [(None, False, "empty project path"), ("", False, "empty project path"), ("  ", False, "project path not found"), ("/x/p1/", True, None), ("/x/p2", False, "project path not found")],
+        key=repr,
+    )
