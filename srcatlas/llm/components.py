@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import stored
+from srcatlas.llm.words import mapped
 
 #: Links that a task holds at once while it joins them.
 HELD = 500_000
 
 
-def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Each node with the smallest node of its group, by union-find with path halving."""
     parent: dict[int, int] = {}
 
@@ -40,7 +41,7 @@ def _local_forests(links: DataFrame) -> DataFrame:
         held: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
-            pairs = _forest(held)
+            pairs = forest(held)
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["node", "up"]
             )
@@ -53,7 +54,7 @@ def _local_forests(links: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return links.mapInArrow(made, "node long, up long")
+    return mapped(links, made, "node long, up long")
 
 
 def components(links: DataFrame) -> DataFrame:

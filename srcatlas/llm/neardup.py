@@ -12,16 +12,17 @@ whole sequence as one; a text without words has none and is linked with nothing.
 1. Documents with equal sets are one class, found by a 128-bit digest; its smallest ``doc_id`` stands for it.
 2. Signatures are cut into ``BANDS`` of ``ROWS`` places; a bucket holds the classes with an equal band. A pair with a
    likeness of 0.75 shares no band with a probability of ``(1 - 0.75 ** ROWS) ** BANDS``, 5e-6.
-3. In each bucket every class is paired with the smallest one. Pairs whose signatures agree in under ``AGREE`` of the
-   places are no links (for a likeness of 0.75 that is over six standard deviations away); the others are
-   confirmed on their full sets.
-4. Union-find gives components. In buckets that still hold more than one, pairs of unlike components are compared too:
-   those that share one of ``MORE`` further places beside the band (0.25 ** MORE of true pairs do not), so that
-   a bucket which a common passage fills falls apart. So no link is lost because the smallest class of a bucket is
-   like neither. Then union-find again.
-
-The pairs of 3 are at most one for each class and bucket. Those of 4 come from classes that share a bucket without being
-linked, directly or through others; they are few unless thousands of texts are alike by 0.6 to 0.75.
+3. In each bucket every class is paired with the smallest and the largest one. Pairs whose signatures agree in
+   ``AGREE`` of the places (for a likeness of 0.75 less is over six standard deviations away) are confirmed on their full
+   sets. Union-find gives components.
+4. A bucket's ends may be like neither of two members that are alike. Pairs that agree in ``NEAR`` of the places, links or
+   not, make up clusters; in a cluster that holds more than one component, members outside its largest one are compared
+   with all others, exactly: in blocks of ``BLOCK`` members each, by products of incidence matrices, so that no
+   pair becomes a row. Then union-find again.
+
+The pairs of 3 are at most two for each class and bucket. The blocks of 4 come from texts that are near without being linked;
+their rows are the members outside the largest component times the cluster's blocks. That is quadratic only
+in texts that are all alike by about 0.5 to 0.75 and not linked, with a factor of one over ``BLOCK``.
 
 Defined results: a null ``doc_id`` gets a null component and is not kept, and takes no part in links. Rows of one
 ``doc_id`` are one node: a link of either text counts, and each row keeps its own set size. Each input row gives one row.
@@ -37,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions.shipping import ship
 from srcatlas.functions.storage import stored
-from srcatlas.llm.components import components
-from srcatlas.llm.words import Texts, U, blocks, distinct, listed, mixed, signed
+from srcatlas.llm.components import components, forest
+from srcatlas.llm.words import Texts, U, blocks, distinct, listed, mapped, mixed, signed
 
 SHINGLE = 5
 LIKE = 75
@@ -47,7 +49,10 @@ ROWS = 4
 BANDS = 32
 M = ROWS * BANDS
 AGREE = 0.5
-MORE = 10
+NEAR = 0.3
+BLOCK = 256
+#: Shingles whose incidences are multiplied at once.
+COLUMNS = 4096
 
 
 def shingle_sets(block: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +135,11 @@ def signatures(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(own, ["doc_id", "n_shingles", "digest", "bands", "marks"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(made, "doc_id long, n_shingles long, digest binary, bands array<long>, marks binary")
+    return mapped(rows, made, "doc_id long, n_shingles long, digest binary, bands array<long>, marks binary")
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in enough places."""
+    """``a, b, agree`` of the pairs whose signatures agree in at least ``NEAR`` of the places."""
     left = marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("left"))
     right = marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
@@ -145,9 +150,11 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, M)
                 for n in ("left", "right")
             )
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
+            agree = (x == y).mean(axis=1)
+            own = [batch.column("a"), batch.column("b"), pa.array(agree)]
+            yield pa.RecordBatch.from_arrays(own, ["a", "b", "agree"]).filter(pa.array(agree >= NEAR))
 
-    return both.select("a", "b", "left", "right").mapInArrow(made, "a long, b long")
+    return mapped(both.select("a", "b", "left", "right"), made, "a long, b long, agree double")
 
 
 def shingles_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,15 +168,12 @@ def shingles_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[block.rows], lists], ["doc_id", "shingles"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(
-        made, "doc_id long, shingles array<long>"
-    )
+    rows = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    return mapped(rows, made, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are links by their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(shingles_of(documents, wanted), "shingles")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
@@ -177,6 +181,64 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * common >= LIKE * total).select("a", "b").distinct()
 
 
+def _block_links(block: pa.Table) -> pa.Table:
+    """Links between rows of unlike components of a block, joined by union-find."""
+    doc = block.column("doc_id").to_numpy()
+    own = block.column("component").to_numpy()
+    lists = block.column("shingles").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(doc)), size)
+    _, place, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # shingles of one row alone are in no intersection
+    shared = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    row, place = row[keep], shared[place[keep]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(doc), len(doc)), np.float64)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [first, first + COLUMNS])
+        part = np.zeros((len(doc), COLUMNS), np.float32)
+        part[row[a:b], place[a:b] - first] = 1
+        common += part @ part.T
+    total = size[:, None] + size[None, :] - common
+    linked = (100 * common >= LIKE * total) & (own[:, None] != own[None, :]) & (total > 0)
+    x, y = np.nonzero(np.triu(linked, 1))
+    pairs = forest(list(zip(doc[x].tolist(), doc[y].tolist(), strict=True)))
+    return pa.table({n: pa.array([p[i] for p in pairs], pa.int64()) for i, n in enumerate("ab")})
+
+
+def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between unlike components of one cluster, from ``(cluster, doc_id, component)`` of all its members."""
+    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.filter("parts > 1").select(
+        "cluster",
+        F.col("main.component").alias("main"),
+        blocks(F.col("main.n")).alias("inner"),
+        blocks(F.col("all") - F.col("main.n")).alias("outer"),
+    )
+    rows = members.join(stored(main, "mixed"), "cluster")
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(is_main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    key = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
+    mine = F.col("own")
+    inside = F.transform(upto(F.col("outer")), lambda i: key(i, "main", mine))
+    outside = F.concat(
+        F.transform(upto(F.col("inner")), lambda j: key(mine, "main", j)),
+        F.transform(upto(F.col("outer")), lambda j: key(F.least(mine, j), "rest", F.greatest(mine, j))),
+    )
+    rows = rows.select("cluster", "doc_id", "component", F.explode(F.when(is_main, inside).otherwise(outside)).alias("k"))
+    rows = rows.join(sets, "doc_id").select("cluster", "k.*", "doc_id", "component", "shingles")
+    ship(rows.sparkSession)
+    return rows.groupBy("cluster", "i", "kind", "j").applyInArrow(_block_links, "a long, b long")
+
+
 class Groups:
     """The classes of equal sets and their components, in tables of the shared folder."""
 
@@ -188,40 +250,23 @@ class Groups:
         first = known.join(self.classes, (known["doc_id"] == self.classes["first"]) & (known["digest"] == self.classes["digest"]), "left_semi")
         self.first = stored(first.dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "marks"), "first")
         members = self.first.select("doc_id", F.explode("bands").alias("band"))
-        buckets = members.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-        buckets = stored(buckets.filter("a < z").select("band", "a"), "buckets")
-        self.shared = stored(members.join(buckets, "band"), "shared")
-        stars = self.shared.filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-        self.links = self._links(stars, documents)
-        found = components(self.links)
-        rest = self._links(self._unlike(found), documents)
-        if rest.limit(1).count():
-            self.links = self.links.union(rest)
-            found = components(self.links)
-        self.components = found
-
-    def _links(self, pairs: DataFrame, documents: DataFrame) -> DataFrame:
-        marks = self.first.select("doc_id", "marks")
-        return stored(confirmed(stored(_agreeing(pairs, marks), "pairs"), documents), "links")
-
-    def _unlike(self, found: DataFrame) -> DataFrame:
-        """Pairs of one bucket whose components differ, if they share a further place."""
-        up = found.select(F.col("node").alias("doc_id"), "up")
-        rows = self.shared.select("band", "doc_id").join(up, "doc_id", "left")
-        rows = rows.select("band", "doc_id", F.coalesce("up", "doc_id").alias("own"))
-        mixed_up = rows.groupBy("band").agg(F.min("own").alias("x"), F.max("own").alias("y"))
-        mixed_up = stored(mixed_up.filter("x < y").select("band"), "mixed")
-        # which place of a signature is tried depends on the bucket, so that it is the same for its members
-        tried = F.explode(F.sequence(F.lit(0), F.lit(MORE - 1))).alias("k")
-        rows = rows.join(mixed_up, "band").join(self.first.select("doc_id", "marks"), "doc_id").select("*", tried)
-        place = F.pmod(F.xxhash64("band", "k"), F.lit(M)).cast("int") + 1
-        rows = rows.select("doc_id", "own", F.xxhash64("band", "k", F.substring("marks", place, F.lit(1))).alias("key"))
-        keys = rows.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y"))
-        keys = stored(keys.filter("x < y").select("key"), "keys")
-        rows = stored(rows.join(keys, "key"), "unlike")
-        a = rows.select("key", F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-        b = rows.select("key", F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-        return a.join(b, "key").filter("a < b and own_a <> own_b").select("a", "b").distinct()
+        buckets = members.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        buckets = stored(buckets.filter("low < high"), "buckets")
+        ends = F.explode(F.array("low", "high")).alias("end")
+        pairs = members.join(buckets, "band").select("doc_id", ends).filter("end <> doc_id")
+        pairs = pairs.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
+        pairs = stored(_agreeing(pairs, self.first.select("doc_id", "marks")), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = stored(shingles_of(documents, wanted), "shingles")
+        links = stored(confirmed(pairs.filter(F.col("agree") >= AGREE).select("a", "b"), sets), "links")
+        found = components(links)
+        clusters = components(pairs.select("a", "b")).withColumnRenamed("up", "cluster")
+        # a cluster's smallest member is not among the nodes
+        heads = clusters.select(F.col("cluster").alias("node"), "cluster").distinct()
+        members = clusters.union(heads).join(found, "node", "left")
+        members = members.select("cluster", F.col("node").alias("doc_id"), F.coalesce("up", "node").alias("component"))
+        more = stored(cluster_links(stored(members, "members"), sets), "links")
+        self.components = components(links.union(more)) if more.limit(1).count() else found
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
