@@ -51,6 +51,42 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(c.n_removed, 0) AS n_remo
 FROM words w LEFT JOIN cut c USING (doc_id)
 """
 
+OP5 = r"""
+WITH RECURSIVE bit(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8
+), crc AS (
+  SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8
+), rows_ AS (
+  SELECT doc_id, (len(h) // 2 + 1)::BIGINT AS size,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, [('0x' || h[2 * j + 1:2 * j + 2])::BIGINT FOR j IN range(len(h) // 2)]),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crc
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number, count(*) OVER () AS n FROM rows_
+), sized AS (
+  SELECT row_number, n, (1::BIGINT << greatest(1, (floor(log2(greatest(n - 1, 1)))::BIGINT + 2) // 2)::INT) AS half FROM numbered
+), net(row_number, n, half, k, l, r) AS (
+  SELECT row_number, n, half, 0, row_number // half, row_number % half FROM sized
+  UNION ALL
+  SELECT row_number, n, half, k + 1, r, xor(l, (mixed // 32768 % half)::BIGINT)
+  FROM (
+    SELECT *, (xor(first, first >> 16)::HUGEINT * 2654435761) % 18446744073709551616 AS mixed
+    FROM (
+      SELECT *, ((r + [314159265, 358979323, 846264338, 327950288, 419716939, 937510582][k % 6 + 1])::UBIGINT * 2654435761::UBIGINT) AS first
+      FROM net WHERE k % 6 <> 0 OR k = 0 OR l * half + r >= n
+    )
+  )
+), places AS (
+  SELECT row_number, l * half + r AS place FROM net WHERE k > 0 AND k % 6 = 0 AND l * half + r < n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % 16)::INTEGER AS shard, place // 16 AS slot,
+  NULL::INTEGER AS grown_shard, row_number
+FROM numbered JOIN places USING (row_number)
+"""
+
 OP6 = r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
@@ -129,6 +165,7 @@ FROM sized GROUP BY conv_id
 SQL: dict[str, str] = {
     "op1_near_duplicates": OP1,
     "op4_substring_dedup": OP4,
+    "op5_sharding": OP5,
     "op6_mixing": OP6,
     "op7_chat_format": OP7,
 }
