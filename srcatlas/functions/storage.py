@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, in local mode only, a temporary one that ends
+    with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -17,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="srcatlas-"))
+        own = tempfile.mkdtemp(prefix="srcatlas-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # nobody else knows of it
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
