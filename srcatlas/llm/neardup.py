@@ -178,7 +178,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
     total = F.size("left") + F.size("right") - common
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= LIKE * total).select("a", "b").distinct()
+    # no aggregate on top: a join alone can be split where many pairs share a member
+    return pairs.join(left, "a").join(right, "b").filter(100 * common >= LIKE * total).select("a", "b")
 
 
 def _block_links(block: pa.Table) -> pa.Table:
