@@ -162,10 +162,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP12 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    [('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), 1 + 8 * k, 8))::BIGINT FOR k IN [0, 1, 2, 3]] AS h
+  FROM documents
+), placed AS (
+  SELECT *, len(tokens) AS n, least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a,
+    greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b
+  FROM cut
+), parts AS (
+  SELECT doc_id, t, n, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+    array_to_string(tokens[b + 1:n], '') AS suffix,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 SQL: dict[str, str] = {
     "op1_near_duplicates": OP1,
     "op4_substring_dedup": OP4,
     "op5_sharding": OP5,
     "op6_mixing": OP6,
     "op7_chat_format": OP7,
+    "op12_fill_in_middle": OP12,
 }

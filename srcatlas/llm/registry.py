@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe, chat, mixing, neardup, quality, shards, spotsigs, substrings, toxicity, urls
+from srcatlas.llm import bpe, chat, fim, langid, mixing, neardup, quality, shards, spotsigs, substrings, toxicity, urls, whitening
 from srcatlas.llm.oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,32 @@ def _bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = whitening.whitened(_table(spark, d, "embeddings"), "vec_id", "embedding")
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "value")
+    # a deviation that 64 bits do not hold is null here
+    rows = rows.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", each)
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("value.whitened").alias("whitened"),
+        F.col("value.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+def _fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    rows = fim.restored(fim.arranged(_table(spark, d, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def _language(spark: SparkSession, d: str) -> DataFrame:
+    rows = langid.identified(_table(spark, d, "documents"))
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": _near_duplicates,
@@ -114,6 +140,9 @@ def queries() -> dict[str, Query]:
         "op8_spot_signatures": _spot_signatures,
         "op9_quality": _quality,
         "op10_bpe": _bpe,
+        "op11_whitening": _whitening,
+        "op12_fill_in_middle": _fill_in_middle,
+        "op13_language_id": _language,
     }
 
 

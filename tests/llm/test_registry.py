@@ -23,7 +23,7 @@ def test_altered_input_is_noticed(spark, sf_dir, name, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
 
 
 def test_pipeline_is_its_stages(spark, sf_dir, documents, labels):
