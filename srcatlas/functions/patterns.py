@@ -20,6 +20,10 @@ INTERFACE_DOCS = "Parsed from TypeScript interface"
 METHOD_DOCS = ("Input: (", ")\nOutput: ")  # around the parameters, before the return type
 SCALAR_TYPES = ["string", "number", "boolean", "undefined", "null", "void", "File"]
 OPAQUE_TYPES = ["any", "unknown", "{}"]
+BUILT_IN_GENERICS = [
+    "Array", "ReadonlyArray", "Promise", "Observable", "Set", "Map", "WeakMap", "WeakSet", "Record", "Partial", "Required",
+    "Readonly", "Pick", "Omit", "Exclude", "Extract", "NonNullable", "Awaited", "Iterable",
+]
 # Words that may stand in front of the names of classes and methods that are listed.
 CLASS_WORDS = ["export", "abstract"]
 ACCESS_WORDS = ["public", "private", "protected"]

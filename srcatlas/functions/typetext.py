@@ -14,7 +14,8 @@ _LITERAL_TEXT = r"^(?:'[^']*'|\"[^\"]*\"|`[^`]*`|-?\d[\w.]*|true|false)$"
 _NAME = r"^[A-Za-z_$][\w$]*(?:\.[\w$]+)*$"
 _GENERIC = r"^[\w.]+«a(\d+)»$"
 _ARRAY = r"^Array«a(\d+)»$"
-_UNWRAPPED = "struct<base:string,is_array:boolean>"
+_GENERIC_NAME = r"^([\w.]+)«a\d+»$"
+_UNWRAPPED = "struct<base:string,is_array:boolean,generic:string>"
 
 
 def kind_of_base(t: Column) -> Column:
@@ -56,9 +57,11 @@ def _has_symbol(member: Column) -> Column:
     return member.rlike(r"^[A-Za-z_$«]") & ~plain
 
 
-def unwrap_types(df: DataFrame, text: str) -> DataFrame:
+def unwrap_types(df: DataFrame, text: str, generic: str | None = None) -> DataFrame:
     """Add ``base`` and ``is_array``: the type that is left to look up.
 
+    ``generic`` names a column for the outermost generic type whose first argument was taken, NULL if none was.
+
     A union stands for its first member with a symbol ('' if there is none), an array
     for its element, a generic for its first argument; repeated until nothing is left
     to unwrap.  Every step removes a bracket pair, a bar or a keyword, so the number
@@ -69,8 +72,8 @@ def unwrap_types(df: DataFrame, text: str) -> DataFrame:
     def step(acc: Column, _: Column) -> Column:
         t = acc["base"]
 
-        def to(base: Column, is_array: Column = acc["is_array"]) -> Column:
-            return F.struct(base.alias("base"), is_array.alias("is_array"))
+        def to(base: Column, is_array: Column = acc["is_array"], outer: Column = acc["generic"]) -> Column:
+            return F.struct(base.alias("base"), is_array.alias("is_array"), outer.alias("generic"))
 
         members = F.transform(F.split(t, r"\|"), trim_ws)
         member = F.coalesce(F.get(F.filter(members, _has_symbol), F.lit(0)), F.lit(""))
@@ -81,21 +84,28 @@ def unwrap_types(df: DataFrame, text: str) -> DataFrame:
             .when(t.startswith("readonly "), to(trim_ws(F.replace(t, F.lit("readonly "), F.lit("")))))
             .when(t.endswith("[]"), to(trim_ws(F.regexp_replace(t, r"\[\]$", "")), array))
             .when(t.rlike(_ARRAY), to(argument(o, F.regexp_extract(t, _ARRAY, 1)), array))
-            .when(t.rlike(_GENERIC), to(argument(o, F.regexp_extract(t, _GENERIC, 1))))
+            .when(
+                t.rlike(_GENERIC),
+                to(
+                    argument(o, F.regexp_extract(t, _GENERIC, 1)),
+                    outer=F.coalesce(acc["generic"], F.regexp_extract(t, _GENERIC_NAME, 1)),
+                ),
+            )
             .otherwise(acc)
             .cast(_UNWRAPPED)
         )
 
     trimmed = df.withColumn("_text", trim_ws(F.col(text)))
     passes = F.sequence(F.lit(0), F.regexp_count(F.col(text), F.lit(r"[|(<\[]|readonly ")))
-    start = F.struct(o["top"].alias("base"), F.lit(False).alias("is_array"))
-    return (
+    none = F.lit(None).cast("string")
+    start = F.struct(o["top"].alias("base"), F.lit(False).alias("is_array"), none.alias("generic"))
+    made = (
         with_outline(trimmed, "_text", "_t")
         .withColumn("_u", F.aggregate(passes, start.cast(_UNWRAPPED), step))
         .withColumn("base", trim_ws(unfold(o, F.col("_u.base"))))
         .withColumn("is_array", F.col("_u.is_array"))
-        .drop("_t", "_u")
     )
+    return (made.withColumn(generic, F.col("_u.generic")) if generic else made).drop("_t", "_u")
 
 
 def type_arguments(df: DataFrame, text: str, name: str) -> DataFrame:

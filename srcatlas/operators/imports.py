@@ -1,4 +1,4 @@
-"""Named imports and the files they point to."""
+"""Imports of a file, and the paths that they point to as written."""
 
 from __future__ import annotations
 
@@ -8,46 +8,64 @@ from pyspark.sql import functions as F
 from srcatlas.functions.outline import body, literal, narrow, with_outline
 from srcatlas.functions.rows import each
 
-_IMPORT = r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?«b(\d+)»\s*from\s*‹(\d+)›"
+_IMPORT = (
+    r"\bimport\b\s*(?:type\s+(?!from\b))?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?"
+    r"(?:\*\s*as\s+([\w$]+)\s*|«b(\d+)»\s*)?\bfrom\s*‹(\d+)›"
+)
+#: What default and namespace imports are called; no declaration can have these names.
+DEFAULT, NAMESPACE = "default", "*"
 _IMPORTED = r"^\s*(?:type\s+)?(\w+)(?:\s+as\s+(\w+))?\s*$"
 
 
-def module_path(importer: Column, module: Column) -> Column:
-    """File a module path names, seen from the importing file; NULL for packages."""
-    folder = F.regexp_replace(importer, r"[^/]*$", "")
-    parts = F.split(
-        F.when(module.startswith("."), F.concat(folder, module)).otherwise(module), "/"
-    )
-    walked = F.aggregate(
-        parts,
+def walked(path: Column) -> Column:
+    """The path without empty, ``.`` and ``..`` parts."""
+    parts = F.aggregate(
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, p: F.when(p.isin("", "."), acc)
         .when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(p))),
     )
-    target = F.array_join(walked, "/")
+    return F.array_join(parts, "/")
+
+
+def beside(importer: Column, module: Column) -> Column:
+    """A relative module path, seen from the folder of the importing file."""
+    return walked(F.concat(F.regexp_replace(importer, r"[^/]*$", ""), module))
+
+
+def module_path(importer: Column, module: Column) -> Column:
+    """File a module path names, seen from the importing file; NULL for packages."""
+    target = F.when(module.startswith("."), beside(importer, module)).otherwise(walked(module))
     with_suffix = F.when(target.endswith(".ts"), target).otherwise(
         F.concat(target, F.lit(".ts"))
     )
     return F.when(module.startswith(".") | module.startswith("src/"), with_suffix)
 
 
+def module_text(o: Column, slot: Column) -> Column:
+    return F.translate(literal(o, slot), "'\"`", "")
+
+
 def _file_imports(o: Column) -> Column:
-    """array(struct(name, local, module)) of the named imports of a file."""
+    """array(struct(name, local, module)) of the imports of a file: in each statement the default one, then the
+    namespace, then those by name."""
 
     def of_statement(m: Column) -> Column:
-        names = F.split(body(o, F.regexp_extract(m, _IMPORT, 1)), ",")
-        module = literal(o, F.regexp_extract(m, _IMPORT, 2))
+        whole, space = (F.regexp_extract(m, _IMPORT, g) for g in (1, 2))
+        names = F.split(body(o, F.regexp_extract(m, _IMPORT, 3)), ",")
+        module = module_text(o, F.regexp_extract(m, _IMPORT, 4))
+
+        def made(name: Column, local: Column) -> Column:
+            return F.struct(name.alias("name"), local.alias("local"), module.alias("module"))
 
         def one_name(n: Column) -> Column:
             name, alias = (F.regexp_extract(n, _IMPORTED, g) for g in (1, 2))
-            return F.struct(
-                name.alias("name"),
-                F.when(alias == "", name).otherwise(alias).alias("local"),
-                F.translate(module, "'\"`", "").alias("module"),
-            )
+            return made(name, F.when(alias == "", name).otherwise(alias))
 
-        return F.transform(F.filter(names, lambda n: n.rlike(_IMPORTED)), one_name)
+        first = F.filter(F.array(made(F.lit(DEFAULT), whole), made(F.lit(NAMESPACE), space)), lambda i: i["local"] != "")
+        named = F.transform(F.filter(names, lambda n: n.rlike(_IMPORTED)), one_name)
+        return F.concat(first, F.coalesce(named, F.filter(first, lambda _: F.lit(False))))
 
     found = F.regexp_extract_all(o["top"], F.lit(_IMPORT), F.lit(0))
     return F.flatten(F.transform(found, of_statement))
@@ -67,6 +85,7 @@ def with_imports(rows: DataFrame) -> DataFrame:
 
 
 def imports(sources: DataFrame) -> DataFrame:
+    """One row for each imported name; ``name`` is ``default`` or ``*`` where no name is."""
     marked = sources.filter(F.col("content").contains("import"))
     rows = with_imports(with_outline(narrow(marked)))
     return rows.select("project", "path", F.posexplode(each("imported")).alias("pos", "i")).select(

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from srcatlas.functions import patterns as P
 from srcatlas.functions.outline import block, body, let, narrow, unfold_fields, with_outline
 from srcatlas.functions.rows import each, settle
+from srcatlas.functions.storage import checkpointed
 from srcatlas.functions.text import slash_path, trim_ws, unquote
 from srcatlas.functions.typetext import kind_of_base, unwrap_types
 from srcatlas.operators.api import endpoints
 from srcatlas.operators.imports import with_imports
+from srcatlas.operators.modules import KEY, Modules, chain_ends, handed_on
 
 _DECLARATION = (
-    r"\b(class|interface|enum)\s+(\w+)[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*«b(\d+)»"
+    r"\b(?:(class|interface|enum)\s+(\w+)[^;{}«]*(?:«[aps]\d+»[^;{}«]*)*"
+    r"|(type)\s+(\w+)\s*(?:«a\d+»\s*)?=\s*(?=«b\d+»(?!\s*[|&\[])))«b(\d+)»"
 )
+# A type that stands for another one: its text ends with a semicolon, a blank line or the next statement.
+_ALIAS = (
+    r"\btype\s+(\w+)\s*(?:«a(\d+)»\s*)?=\s*([^;=]+?)\s*"
+    r"(?=;|\z|\n\s*\n|\n\s*(?:export|declare|abstract|import|type|class|interface|enum|const|let|var|function|async)\b|\n\s*@)"
+)
+_OBJECT = r"^«b\d+»$"
+_STANDS_FOR = r"\btype\s+\w+\s*(?:<[^=;]*>\s*)?="
 _FIELD = (
     r"(?md)(?:^|[;,])[ \t\f\r]*(?:@[\w.]+(?:«p\d+»)?\s*)*"
     r"(?:(?:public|private|protected|readonly|static|declare|override|abstract)\s+)*"
@@ -30,13 +40,13 @@ _IDS = "struct<all:array<string>,new:array<string>>"
 
 
 def _file_declarations(o: Column) -> Column:
-    """array(struct(name, kind, text)) of top-level classes, interfaces and enums."""
+    """array(struct(name, kind, text)) of top-level classes, interfaces, enums and types that are one object."""
     return F.transform(
         F.regexp_extract_all(o["top"], F.lit(_DECLARATION), F.lit(0)),
         lambda d: F.struct(
-            F.regexp_extract(d, _DECLARATION, 2).alias("name"),
-            F.regexp_extract(d, _DECLARATION, 1).alias("kind"),
-            body(o, F.regexp_extract(d, _DECLARATION, 3)).alias("text"),
+            F.concat(F.regexp_extract(d, _DECLARATION, 2), F.regexp_extract(d, _DECLARATION, 4)).alias("name"),
+            F.concat(F.regexp_extract(d, _DECLARATION, 1), F.regexp_extract(d, _DECLARATION, 3)).alias("kind"),
+            body(o, F.regexp_extract(d, _DECLARATION, 5)).alias("text"),
         ),
     )
 
@@ -74,9 +84,9 @@ def _declared_members(declared: Column) -> Column:
 
 
 def _declaring(sources: DataFrame) -> DataFrame:
-    """Files that may declare a class or an interface; the test reaches the scan."""
+    """Files that may declare a class, an interface or an object type; the test reaches the scan."""
     content = F.col("content")
-    return sources.filter(content.contains("class") | content.contains("interface"))
+    return sources.filter(content.contains("class") | content.contains("interface") | content.contains("type "))
 
 
 def _with_declarations(sources: DataFrame) -> DataFrame:
@@ -101,7 +111,7 @@ def _nested(declared: str, parts: str) -> Column:
 
 
 def type_fields(sources: DataFrame) -> DataFrame:
-    """Declared fields of every class and interface."""
+    """Declared fields of every class, interface and object type."""
     rows = _with_declarations(_declaring(sources)).withColumn(
         "fields", _declared_fields(F.col("declared"))
     )
@@ -231,30 +241,39 @@ def describe(rows: DataFrame, text: str) -> DataFrame:
 
     Needs ``path`` and ``imported``.  A name means its import if there is one, else a
     declaration of the same file.  An inline object type is its own declaration, named
-    by its text.
+    by its text.  ``ref_module`` is the module path of an import and ``ref_member`` what is named inside a
+    namespace; ``generic`` is a struct of the same for a generic type whose first argument ``base`` is.
     """
     base, kind, path = F.col("base"), F.col("type_kind"), F.col("path")
-    hit = F.get(F.filter("imported", lambda i: i["local"] == base), F.lit(0))
-    imported = F.col("_import")
-    by_import = imported.isNotNull()
-    return (
-        unwrap_types(rows, text)
-        .withColumn("type_kind", kind_of_base(base))
-        .withColumn("_import", hit)
-        .withColumn(
-            "ref_path",
-            F.when(kind == "inline", path).when(
-                kind == "ref", F.when(by_import, imported["target"]).otherwise(path)
-            ),
-        )
-        .withColumn(
-            "ref_name",
-            F.when(kind == "inline", base).when(
-                kind == "ref", F.when(by_import, imported["name"]).otherwise(base)
-            ),
-        )
-        .drop("_import")
+    # names of the language's own generic types need no look-up
+    outer = F.when(~F.col("_generic").isin(P.BUILT_IN_GENERICS), F.col("_generic"))
+    named = unwrap_types(rows, text, "_generic").withColumn("type_kind", kind_of_base(base))
+    named = named.withColumn("_meant", _meant(base)).withColumn("generic", _meant(outer))
+    is_ref = kind == "ref"
+    return named.withColumns(
+        {
+            "ref_path": F.when(kind == "inline", path).when(is_ref, F.col("_meant.ref_path")),
+            "ref_name": F.when(kind == "inline", base).when(is_ref, F.col("_meant.ref_name")),
+            "ref_module": F.when(is_ref, F.col("_meant.ref_module")),
+            "ref_member": F.when(is_ref, F.col("_meant.ref_member")),
+        }
+    ).drop("_meant", "_generic")
+
+
+def _meant(name: Column) -> Column:
+    """struct(ref_module, ref_path, ref_name, ref_member) of a name in a file; NULL for none."""
+    head = F.substring_index(name, ".", 1)
+    dotted = F.contains(name, F.lit("."))
+    hit = F.get(F.filter("imported", lambda i: (i["local"] == name) | (dotted & (i["local"] == head))), F.lit(0))
+    found = hit.isNotNull()
+    inner = F.when(found & dotted & (hit["local"] == head), F.substring(name, F.length(head) + 2, F.length(name)))
+    meant = F.struct(
+        hit["module"].alias("ref_module"),
+        F.when(found, hit["target"]).otherwise(F.col("path")).alias("ref_path"),
+        F.when(found, hit["name"]).otherwise(name).alias("ref_name"),
+        inner.alias("ref_member"),
     )
+    return F.when(name.isNotNull(), meant)
 
 
 def _groups_below(texts: Column) -> Column:
@@ -326,6 +345,8 @@ def type_graph(sources: DataFrame) -> DataFrame:
     roots = F.regexp_extract_all(
         F.array_join(F.concat(bodies, lists), "\n"), F.lit(_ANNOTATION), F.lit(1)
     )
+    meant = F.regexp_extract_all(o["top"], F.lit(_ALIAS), F.lit(3))
+    roots = F.concat(roots, F.filter(meant, lambda t: ~t.rlike(_OBJECT)))
     rows = (
         with_imports(_with_declarations(sources))
         .withColumn("_ids", _groups_below(F.filter(roots, lambda t: t.contains("«"))))
@@ -424,7 +445,7 @@ def endpoint_types(sources: DataFrame) -> DataFrame:
 
 def type_references(sources: DataFrame) -> DataFrame:
     """Every field and endpoint type that names another type, with the key it names."""
-    described = ["base", "type_kind", "ref_path", "ref_name"]
+    described = ["base", "is_array", *_REFERENCE]
     fields = type_graph(sources).select(
         "project",
         "path",
@@ -443,6 +464,140 @@ def type_references(sources: DataFrame) -> DataFrame:
     return settle(fields, is_ref).unionByName(settle(api, is_ref))
 
 
+# --- types that stand for others ----------------------------------------------------------------
+
+
+_REFERENCE = ["type_kind", "ref_path", "ref_name", "ref_module", "ref_member", "generic"]
+
+
+def type_aliases(sources: DataFrame) -> DataFrame:
+    """Each ``type`` that is not one object: project, path, name, params, text, ``param`` and the ``describe`` columns.
+
+    ``param`` is the place of the type parameter that the type boils down to, -1 for none.
+    """
+    o = F.col("o")
+
+    def read(m: Column) -> Column:
+        params = F.split(body(o, F.regexp_extract(m, _ALIAS, 2)), ",")
+        return F.struct(
+            F.regexp_extract(m, _ALIAS, 1).alias("name"),
+            F.transform(params, lambda p: F.regexp_extract(p, r"^\s*(\w+)", 1)).alias("params"),
+            F.regexp_extract(m, _ALIAS, 3).alias("text"),
+        )
+
+    rows = with_imports(with_outline(narrow(sources.filter(F.col("content").rlike(_STANDS_FOR)))))
+    found = F.transform(F.regexp_extract_all(o["top"], F.lit(_ALIAS), F.lit(0)), read)
+    rows = rows.withColumn("aliases", F.filter(found, lambda a: ~a["text"].rlike(_OBJECT)))
+    rows = unfold_fields(rows, "aliases", "text").select("project", "path", "imported", F.explode(each("aliases")).alias("a"))
+    described = describe(rows.select("project", "path", "imported", "a.*"), "text").drop("imported")
+    place = F.coalesce(F.array_position("params", F.col("base")) - 1, F.lit(-1))
+    return described.withColumn("param", F.when(F.col("ref_module").isNull(), place).otherwise(-1).cast("int"))
+
+
+class Names:
+    """What names mean across the files of a project: modules, and types that stand for others.
+
+    ``aliases``: ``(project, path, name) -> (to_path, to_name)`` with type_kind, base, is_array and param of what a chain
+    of types ends in; a chain that runs into a cycle has none.
+
+    Where no text hands names on, and no text lets a type stand for another, there is nothing to look up.
+    """
+
+    def __init__(self, sources: DataFrame, configs: DataFrame | None = None):
+        self.modules = Modules(sources, configs) if handed_on(sources, configs) else None
+        self.aliases = None
+        if sources.filter(F.col("content").rlike(_STANDS_FOR)).isEmpty():
+            return
+        self.objects = checkpointed(
+            settle(_with_declarations(sources.filter(F.col("content").rlike(_STANDS_FOR))).select("project", "path", F.explode(each("declared")).alias("d")))
+            .filter("d.kind = 'type'")
+            .select("project", "path", "d.name")
+            .distinct()
+        )
+        raw = self._followed(type_aliases(sources))
+        # a name declared twice would be an error; the first text counts
+        raw = raw.groupBy("project", "path", "name").agg(F.min_by(F.struct(*(c for c in raw.columns if c not in KEY)), "text").alias("a"))
+        raw = checkpointed(raw.select(*KEY, "a.*"))
+        written = raw.select(*KEY, "is_array", "param", "type_kind", "base", F.col("ref_path").alias("to_path"), F.col("ref_name").alias("to_name"))
+        self.aliases = written
+        if not raw.isEmpty():
+            led = self._through_generics(raw, written)
+            edges = led.select(*KEY, F.col("ref_path").alias("to_path"), F.col("ref_name").alias("to_name"), "type_kind", "base", "is_array", "param")
+            self.aliases = chain_ends(edges, ("type_kind", "base", "param"), ("is_array",))
+
+    def meant(self, rows: DataFrame) -> DataFrame:
+        """Described rows with ref_path, ref_name, base, is_array and type_kind of what their names stand for."""
+        rows = self._followed(rows)
+        if self.aliases is None:
+            return rows.drop("generic")
+        return self._through_aliases(self._through_generics(rows, self.aliases))
+
+    def _followed(self, rows: DataFrame) -> DataFrame:
+        return self.modules.follow(rows) if self.modules else rows.drop("ref_module", "ref_member")
+
+    def _through_aliases(self, rows: DataFrame) -> DataFrame:
+        refers = F.col("ref_name").isNotNull() & F.col("ref_path").isNotNull()
+        ends = self.aliases.filter("param < 0").select(
+            "project",
+            F.col("path").alias("ref_path"),
+            F.col("name").alias("ref_name"),
+            F.struct("to_path", "to_name", "type_kind", "base", "is_array").alias("_end"),
+        )
+        end = F.col("_end")
+        led = rows.filter(refers).join(ends, ["project", "ref_path", "ref_name"], "left")
+        led = led.withColumns(
+            {
+                "ref_path": F.when(end.isNotNull(), end["to_path"]).otherwise(F.col("ref_path")),
+                "ref_name": F.when(end.isNotNull(), end["to_name"]).otherwise(F.col("ref_name")),
+                "type_kind": F.coalesce(end["type_kind"], "type_kind"),
+                "base": F.coalesce(end["base"], "base"),
+                "is_array": F.col("is_array") | F.coalesce(end["is_array"], F.lit(False)),
+            }
+        ).drop("_end")
+        return rows.filter(~refers).unionByName(led)
+
+    def _through_generics(self, rows: DataFrame, aliases: DataFrame) -> DataFrame:
+        """Rows whose generic type stands for another one, rewritten; without ``generic``.
+
+        A type that boils down to its first parameter leaves the argument, as an array if it is one; one that boils down to
+        something else stands for that; an object type stands for itself. Other generic types leave their first argument.
+        """
+        rows = checkpointed(rows)
+        names = ("ref_module", "ref_path", "ref_name", "ref_member")
+        uses = rows.filter("generic is not null").select("project", "path", *(F.col(f"generic.{n}").alias(n) for n in names))
+        uses = uses.distinct().withColumn("_generic", F.struct(*names))
+        targets = self._followed(uses)
+        ends = aliases.select(
+            "project", F.col("path").alias("ref_path"), F.col("name").alias("ref_name"),
+            F.struct("to_path", "to_name", "type_kind", "base", "is_array", "param").alias("_end"),
+        )
+        own = self.objects.select("project", F.col("path").alias("ref_path"), F.col("name").alias("ref_name"), F.lit(True).alias("_object"))
+        found = targets.join(ends, ["project", "ref_path", "ref_name"], "left").join(own, ["project", "ref_path", "ref_name"], "left")
+        itself = F.struct(
+            F.col("ref_path").alias("to_path"), F.col("ref_name").alias("to_name"), F.lit("ref").alias("type_kind"),
+            F.col("ref_name").alias("base"), F.lit(False).alias("is_array"), F.lit(-1).alias("param"),
+        )
+        found = found.select("project", "path", F.col("_generic").alias("generic"), F.coalesce(F.when(F.col("_object"), itself), "_end").alias("_end"))
+        found = found.filter("_end is not null").select("project", "path", *(F.col(f"generic.{n}").alias(f"_{n}") for n in names), "_end")
+        some = rows.filter("generic is not null")
+        test = (some["project"] == found["project"]) & (some["path"] == found["path"])
+        for n in names:
+            test &= some["generic"][n].eqNullSafe(found[f"_{n}"])
+        end = F.col("_end")
+        replaced = end.isNotNull() & (end["param"] != 0)
+        led = some.join(found, test, "left").select(*(some[c] for c in some.columns), "_end")
+        led = led.withColumns(
+            {
+                "ref_path": F.when(replaced, end["to_path"]).otherwise(F.col("ref_path")),
+                "ref_name": F.when(replaced, end["to_name"]).otherwise(F.col("ref_name")),
+                "type_kind": F.when(replaced, end["type_kind"]).otherwise(F.col("type_kind")),
+                "base": F.when(replaced, end["base"]).otherwise(F.col("base")),
+                "is_array": F.col("is_array") | F.coalesce(end["is_array"], F.lit(False)),
+            }
+        )
+        return rows.filter("generic is null").unionByName(led.drop("_end")).drop("generic")
+
+
 def declared_types(sources: DataFrame) -> DataFrame:
     """One row per type that can be referred to: (project, path, name, kind, members)."""
     return (
@@ -469,9 +624,11 @@ def with_declaration(refs: DataFrame, declared: DataFrame) -> DataFrame:
     return refs.join(found, ["project", "ref_path", "ref_name"], "left")
 
 
-def resolve_types(sources: DataFrame) -> DataFrame:
-    """Type names with the kind of the declaration they mean, NULL if there is none."""
-    refs = type_references(sources).select(
-        "project", "path", "owner", "place", "base", "ref_path", "ref_name"
-    )
+def resolve_types(sources: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """Type names with the kind of the declaration they mean, NULL if there is none.
+
+    Names are followed through modules and types that stand for others; ``configs``: the projects' ``tsconfig.json``.
+    """
+    led = Names(sources, configs).meant(type_references(sources))
+    refs = led.select("project", "path", "owner", "place", "base", "ref_path", "ref_name")
     return with_declaration(refs, declared_types(sources)).drop("type_name", "members")

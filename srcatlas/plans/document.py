@@ -18,6 +18,7 @@ from srcatlas.functions.storage import checkpointed
 from srcatlas.operators.api import endpoints
 from srcatlas.operators.closure import OBJECT_KINDS, Types, printed_types, tree_lines
 from srcatlas.operators.entities import class_records, routes
+from srcatlas.operators.modules import config_files
 from srcatlas.operators.orm import for_kind, supported_projects
 from srcatlas.operators.tree import folder_tree
 from srcatlas.operators.types import interface_records
@@ -141,12 +142,12 @@ def _plain_class_records(sources: DataFrame) -> DataFrame:
     return class_records(plain, ("methods",))
 
 
-def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark") -> DataFrame:
+def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark", configs: DataFrame | None = None) -> DataFrame:
     """Endpoint headings, parameters with their fields, response fields, blank line.
 
     ``ord`` is (endpoint, part, slot, place in the type tree...).
     """
-    types = Types(sources)
+    types = Types(sources, configs)
     used = types.used
     heads = endpoints(sources).select("project", "path", "pos", "route", "controller", "method_name", "params")
     head_lines = F.array(
@@ -293,7 +294,7 @@ def document_lines(files: DataFrame, manifests: DataFrame, run_date: str, **read
         entity_table_rows(entity_records(sources, src_sources, manifests)),
         class_doc_lines(typeorm(_plain_class_records)),
         function_doc_lines(typeorm(routes)),
-        known(endpoint_doc_lines(src_sources)),
+        known(endpoint_doc_lines(src_sources, configs=config_files(files))),
     ]
     return reduce(DataFrame.unionByName, [s.select(*COLUMNS) for s in sections])
 

@@ -10,6 +10,7 @@ Columns: ``project, path, content``.  ``FIXTURES.md`` lists the families.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -355,6 +356,105 @@ def plain_files(spark: SparkSession, sf_dir: str, projects: int) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# --- files that hand names on ----------------------------------------------------
+
+
+_MODEL = """\
+export class M<<k>> {
+  v: string;
+  twin: M<<k>>;
+}
+export default class Main<<k>> {
+  m: M<<k>>;
+}
+export type Maybe<<k>><T> = T | null;
+export type Rows<<k>> = Maybe<<k>><M<<k>>>[];
+export type Box<<k>><T> = {
+  item: M<<k>>;
+  more: T;
+};
+export type Id<<k>> = string;
+export type Ring<<k>> = Rong<<k>>;
+type Rong<<k>> = Ring<<k>>;
+export type Odd<<k>> =
+  | null
+  | { deep: M<<k>> };
+"""
+_INDEX = """\
+// export * from './nothing';
+export { M<<k>> as Model<<k>>, Maybe<<k>>, Rows<<k>>, Box<<k>>, Id<<k>>, Ring<<k>>, Odd<<k>> } from './model';
+export { default as Main<<k>> } from './model';
+export * from './loop';
+"""
+_LOOP = """\
+export * from './index';
+export class Only<<k>> {
+  z: number;
+}
+"""
+_BARREL = """\
+export * from './m<<k>>';
+<<more>>"""
+_USER = """\
+import { Model<<j>>, Main<<j>> as First, Only<<k>>, Rows<<k>>, Box<<k>>, Id<<k>>, Ring<<k>>, Odd<<k>>, Maybe<<k>> } from '<<barrel>>';
+import Plain, * as all from '../lib/m<<k>>/model';
+import { Injectable } from '@nestjs/common';
+export class Use<<k>> {
+  model: Model<<j>>;
+  first: First;
+  only: Only<<k>>[];
+  rows: Rows<<k>>;
+  box: Box<<k>><First>;
+  id: Id<<k>>;
+  ring: Ring<<k>>;
+  odd: Odd<<k>>;
+  plain: Plain;
+  space: all.M<<k>>;
+  out: Injectable;
+}
+@Controller('uses')
+export class U<<k>>Controller {
+  @Post('<<k>>')
+  make(@Body() body: Use<<k>>): Promise<Maybe<<k>><Model<<j>>>> {
+    return null;
+  }
+}
+"""
+#: Barrels in a chain, at most.
+CHAIN = 3
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each supplier whose files hand names on: five files for each part, and a configuration.
+
+    A part's barrel hands on its folder and, up to three in a chain, the barrel of the part before in its project.
+    """
+    n = n_projects(spark, sf_dir)
+    df = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    step = F.expr(f"(p_partkey div {n}) % {CHAIN}")
+    first = k - step * n
+    more = F.when(step > 0, fill("export * from './m<<b>>.barrel';\n", b=k - n)).otherwise("")
+    barrel = F.when(F.expr("(p_partkey div 2) % 2 = 0"), fill("@lib/m<<k>>.barrel", k=k)).otherwise(fill("../lib/m<<k>>.barrel", k=k))
+    texts = [
+        ("src/lib/m<<k>>/model.ts", fill(_MODEL, k=k)),
+        ("src/lib/m<<k>>/index.ts", fill(_INDEX, k=k)),
+        ("src/lib/m<<k>>/loop.ts", fill(_LOOP, k=k)),
+        ("src/lib/m<<k>>.barrel.ts", fill(_BARREL, k=k, more=more)),
+        ("src/app/u<<k>>.controller.ts", fill(_USER, k=k, j=first, barrel=barrel)),
+    ]
+    frames = [_file(df, _by_project(k, n), fill(path, k=k), text) for path, text in texts]
+    s = F.col("s_suppkey")
+    here = F.when(s % 2 == 0, '"@lib/*": ["gone/*", "src/lib/*"]').otherwise('"@lib/*": ["lib/*"], "@lib/m": ["lib/gone"],')
+    config = fill(
+        '{ // as written\n  "compilerOptions": { "baseUrl": "<<base>>", "paths": { "@*": ["none/*"], <<here>> } }\n}\n',
+        base=F.when(s % 2 == 0, ".").otherwise("./src/"),
+        here=here,
+    )
+    frames.append(_file(table(spark, sf_dir, "supplier"), s % n, F.lit("tsconfig.json"), config))
+    return reduce(DataFrame.unionByName, frames)
+
+
 # --- inputs of the operators ---------------------------------------------------
 
 
@@ -369,26 +469,32 @@ FAMILIES = [
     page_files,
     plain_files,
 ]
-_written: dict[tuple[str, str], str] = {}
-
+_written: dict[tuple[str, str, str], str] = {}
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files of all projects: the table the operators start from.
 
-    Written once per application to the shared folder, as a project table would be.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """Files written once per application to the shared folder, as a project table would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        target = fresh_dir(spark, "files")
-        projects = n_projects(spark, sf_dir)
-        frames = [f(spark, sf_dir, projects) for f in FAMILIES]
+        target = fresh_dir(spark, name)
         # the tables come in few files, but generated text is far larger than what it is made from
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        reduce(DataFrame.unionByName, frames).repartition(parts, "path").write.parquet(target)
+        made().repartition(parts, "path").write.parquet(target)
         _written[key] = target
     return spark.read.parquet(_written[key])
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of all projects: the table the operators start from."""
+    projects = n_projects(spark, sf_dir)
+    return _once(spark, sf_dir, "files", lambda: reduce(DataFrame.unionByName, [f(spark, sf_dir, projects) for f in FAMILIES]))
+
+
+def handing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the projects whose files hand names on."""
+    return _once(spark, sf_dir, "modules", lambda: module_files(spark, sf_dir))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``.ts`` file, those that scans drop included."""
     return files(spark, sf_dir).filter(F.col("path").endswith(".ts"))

@@ -445,6 +445,79 @@ CUSTOMER_TEXT = """import { N% } from './n%.entity';
 LINE_COLS = "project, section::INT section, part::INT part, path, ord, line::INT line, style, text"
 
 
+# ----- names handed on by modules -------------------------------------------------------------------------
+
+MOD = """
+mod AS (
+  SELECT p_partkey k, n, 'p' || (p_partkey % n) project, (p_partkey // n) % 3 step, p_partkey - ((p_partkey // n) % 3) * n j,
+    'src/lib/m' || p_partkey || '/model.ts' model, 'src/lib/m' || p_partkey || '/index.ts' idx, 'src/lib/m' || p_partkey || '/loop.ts' loop,
+    'src/lib/m' || p_partkey || '.barrel.ts' barrel, 'src/app/u' || p_partkey || '.controller.ts' usr,
+    'src/lib/m' || (p_partkey - ((p_partkey // n) % 3) * n) || '/model.ts' first
+  FROM part, num),
+pub AS (
+  SELECT k, project, replace(nm, '#', k::VARCHAR) AS name, CASE WHEN nm = 'Only#' THEN loop ELSE model END decl_path, replace(de, '#', k::VARCHAR) decl_name
+  FROM mod, (VALUES ('Model#', 'M#'), ('Maybe#', 'Maybe#'), ('Rows#', 'Rows#'), ('Box#', 'Box#'), ('Id#', 'Id#'), ('Ring#', 'Ring#'), ('Odd#', 'Odd#'),
+    ('Main#', 'Main#'), ('Only#', 'Only#')) t(nm, de)),
+"""
+EXPORTS = """
+  SELECT project, model AS path, nm || CASE WHEN nm = 'default' THEN '' ELSE k::VARCHAR END AS name, model decl_path,
+    CASE WHEN nm = 'default' THEN 'Main' ELSE nm END || k decl_name
+    FROM mod, (VALUES ('M'), ('default'), ('Maybe'), ('Rows'), ('Box'), ('Id'), ('Ring'), ('Odd')) t(nm)
+  UNION ALL SELECT m.project, unnest([m.idx, m.loop]), p.name, p.decl_path, p.decl_name FROM mod m JOIN pub p USING (k)
+  UNION ALL SELECT m.project, m.barrel, p.name, p.decl_path, p.decl_name FROM mod m JOIN pub p ON p.k <= m.k AND p.k >= m.j AND p.project = m.project
+  UNION ALL SELECT project, usr, unnest(['Use' || k, 'U' || k || 'Controller']) x, usr, x FROM mod
+"""
+TARGETS = """
+  SELECT project, idx AS path, './model' AS module, model AS target, true AS found FROM mod
+  UNION ALL SELECT project, idx, './loop', loop, true FROM mod
+  UNION ALL SELECT project, loop, './index', idx, true FROM mod
+  UNION ALL SELECT project, barrel, './m' || k, idx, true FROM mod
+  UNION ALL SELECT project, barrel, './m' || (k - n) || '.barrel', 'src/lib/m' || (k - n) || '.barrel.ts', true FROM mod WHERE step > 0
+  UNION ALL SELECT project, usr, CASE WHEN (k // 2) % 2 = 0 THEN '@lib/m' ELSE '../lib/m' END || k || '.barrel', barrel, true FROM mod
+  UNION ALL SELECT project, usr, '../lib/m' || k || '/model', model, true FROM mod
+  UNION ALL SELECT project, usr, '@nestjs/common', NULL, false FROM mod
+"""
+MODULE_REFS = """
+  SELECT project, model AS path, ow || k AS owner, pl place, 'M' || k AS base, model AS ref_path, 'M' || k AS ref_name, 'class' AS declared
+    FROM mod, (VALUES ('M', 'twin'), ('Main', 'm'), ('Box', 'item')) t(ow, pl)
+  UNION ALL SELECT project, model, 'Box' || k, 'more', 'T', model, 'T', NULL FROM mod
+  UNION ALL SELECT project, model, '{ deep: M' || k || ' }', 'deep', 'M' || k, model, 'M' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'model', 'Model' || j, first, 'M' || j, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'first', 'First', first, 'Main' || j, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'only', 'Only' || k, loop, 'Only' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'rows', 'M' || k, model, 'M' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'box', 'Box' || k, model, 'Box' || k, 'type' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'id', 'string', NULL, NULL, NULL FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'ring', 'Ring' || k, model, 'Ring' || k, NULL FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'odd', '{ deep: M' || k || ' }', model, '{ deep: M' || k || ' }', 'inline' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'plain', 'Plain', model, 'Main' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'space', 'all.M' || k, model, 'M' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'Use' || k, 'out', 'Injectable', NULL, 'Injectable', NULL FROM mod
+  UNION ALL SELECT project, usr, 'make', 'body', 'Use' || k, usr, 'Use' || k, 'class' FROM mod
+  UNION ALL SELECT project, usr, 'make', 'response', 'Model' || j, first, 'M' || j, 'class' FROM mod
+"""
+# # stands for the part, @ for the first one of its chain; what is marked is there only where these differ
+MODULE_LINES = [
+    ("0", "model: M@", ""), ("0.0", "v: string", ""), ("0.1", "twin: M@ (circular ref)", ""),
+    ("1", "first: Main@", ""), ("1.0", "m: M@", ""), ("1.0.0", "v: string", ""), ("1.0.1", "twin: M@ (circular ref)", ""),
+    ("2", "only: Only#", ""), ("2.0", "z: number", ""),
+    ("3", "rows: M#", ""), ("3.0", "v: string", ""), ("3.1", "twin: M# (circular ref)", ""),
+    ("4", "box: Box#", ""), ("4.0", "item: M#", ""), ("4.0.0", "v: string", ""), ("4.0.1", "twin: M# (circular ref)", ""), ("4.1", "more: T", ""),
+    ("5", "id: Id#", ""), ("6", "ring: Ring#", ""),
+    ("7", "odd: __type", ""), ("7.0", "deep: M#", ""), ("7.0.0", "v: string", ""), ("7.0.1", "twin: M# (circular ref)", ""),
+    ("8", "plain: Main#", ""), ("8.0", "m: M#", "other"), ("8.0.0", "v: string", "other"), ("8.0.1", "twin: M# (circular ref)", "other"),
+    ("8.0", "m: M# (circular ref)", "same"),
+    ("9", "space: M#", ""), ("9.0", "v: string", ""), ("9.1", "twin: M# (circular ref)", ""), ("10", "out: Injectable", ""),
+]
+MODULE_TREES = f"""
+  SELECT project, usr root_path, 'Use' || k root_name, no AS node, 0 AS line, len(string_split(no, '.'))::INT - 1 AS indent,
+    '- ' || replace(replace(tx, '#', k::VARCHAR), '@', j::VARCHAR) AS text
+    FROM mod, {_values(MODULE_LINES, 'no, tx, wh')} WHERE wh = '' OR (wh = 'same') = (j = k)
+  UNION ALL SELECT project, model, 'M' || k, no, 0, 0, '- ' || replace(tx, '#', k::VARCHAR)
+    FROM mod, (VALUES ('0', 'v: string'), ('1', 'twin: M# (circular ref)')) t(no, tx) WHERE j = k
+"""
+
+
 def _q(select: str, *ctes: str, recursive: bool = False) -> str:
     body = (FILES + "".join(ctes)).rstrip().rstrip(",")
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
@@ -518,6 +591,10 @@ def oracle_sql() -> dict[str, str]:
         "unwrap_types": _q("""SELECT project, path, type_name, name, type, replace(replace(replace(replace(CASE WHEN name = 'tags' AND type LIKE '[%' THEN type || '!' ELSE type END, '[]', ''), ' | undefined', ''), 'Array<', ''), '>', '').replace('!', '') AS base,
           name IN ('lines', 'self', 'list') OR type = 'string[]' is_array FROM fld""", *types_ctes),
         "resolve_types": _q(REFS),
+        "exports": _q(EXPORTS, MOD),
+        "module_targets": _q(TARGETS, MOD),
+        "resolve_types_modules": _q(MODULE_REFS, MOD),
+        "field_lines_modules": _q(MODULE_TREES, MOD),
         "type_closure": _q("SELECT project, root_path, root_name, node, depth::INT AS depth, field, type_text, kind, type_name, is_array FROM nod", NODES, **trees),
         "circular_types": _q("SELECT project, root_path, root_name, node, depth::INT AS depth, field, type_text, kind, type_name, is_array FROM nod WHERE kind = 'circular'", NODES, **trees),
         "field_lines": _q(f"SELECT {TREE_COLS} FROM tli", NODES, **trees),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcatlas.functions import text as X
 from srcatlas.functions.storage import checkpointed, fresh_dir
 from srcatlas.functions.typetext import classify_types, type_arguments, unwrap_types
-from srcatlas.operators import api, closure, entities, imports, orm, types
+from srcatlas.operators import api, closure, entities, imports, modules, orm, types
 from srcatlas.operators.tree import folder_tree
 from srcatlas.plans import catalogue, diagram, document
 from srcatlas.sources import scan, sinks
@@ -134,6 +134,17 @@ def _tree_lines(spark: SparkSession, d: str, only: str | None = None, **style: s
     return made.withColumn("node", _dotted("node"))
 
 
+def _handing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sources whose files hand names on, and their configurations."""
+    files = corpus.handing_files(spark, d)
+    return scan.src_only(files.filter(F.col("path").endswith(".ts"))), modules.config_files(files)
+
+
+def _module_tree(spark: SparkSession, d: str) -> DataFrame:
+    printed = closure.printed_types(closure.Types(*_handing(spark, d)))
+    return closure.tree_lines(printed).withColumn("node", _dotted("node"))
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return checkpointed(diagram.project_edges(_scanned(spark, d), corpus.manifests(spark, d)))
 
@@ -321,6 +332,11 @@ def queries() -> dict[str, Query]:
         "field_lines": _tree_lines,
         "field_lines_json": lambda spark, d: _tree_lines(spark, d, circular_style="json"),
         "enum_lines": lambda spark, d: _tree_lines(spark, d, "enum"),
+        # names handed on by modules
+        "exports": lambda spark, d: modules.exports(*_handing(spark, d)),
+        "module_targets": lambda spark, d: modules.Modules(*_handing(spark, d)).targets,
+        "resolve_types_modules": lambda spark, d: types.resolve_types(*_handing(spark, d)),
+        "field_lines_modules": _module_tree,
         # diagrams and catalogues
         "erd_edges": _erd_edges,
         "erd_text": _erd_text,
