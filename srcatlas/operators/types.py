@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import patterns as P
-from srcatlas.functions.outline import block, body, let, narrow, unfold_fields, with_outline
+from srcatlas.functions.outline import block, body, let, narrow, stored_outline, unfold_fields, with_outline
 from srcatlas.functions.rows import each, settle
 from srcatlas.functions.storage import checkpointed
 from srcatlas.functions.text import slash_path, trim_ws, unquote
@@ -629,6 +629,8 @@ def resolve_types(sources: DataFrame, configs: DataFrame | None = None) -> DataF
 
     Names are followed through modules and types that stand for others; ``configs``: the projects' ``tsconfig.json``.
     """
+    if "o" not in sources.columns:
+        sources = stored_outline(sources)
     led = Names(sources, configs).meant(type_references(sources))
     refs = led.select("project", "path", "owner", "place", "base", "ref_path", "ref_name")
     return with_declaration(refs, declared_types(sources)).drop("type_name", "members")
