@@ -57,17 +57,21 @@ def _template(depth: int) -> str:
 
 
 # A slash that cannot divide: nothing before it on its line but what a value may follow.
+# A bracket closes the head of a statement if that begins on its line; told from its end, with up to four calls in it,
+# each of which may hold one more.
+_CALL = r"\([^()\n]{0,60}(?:\([^()\n]{0,40}\)[^()\n]{0,40})?\)"
+_AFTER_HEAD = r"\b(?:if|while|for|with)[ \t]{0,8}\([^()\n]{0,120}" + 4 * rf"(?:{_CALL}[^()\n]{{0,60}})?" + r"\)"
+_VALUE_WORDS = r"return|case|typeof|delete|void|throw|else|do|in|of|await|yield|instanceof"
 _REGEX = (
-    r"/(?<=(?:^|[(,=:\[!&|?{};+\n>]|\breturn)[ \t]{0,40}/)(?![*/])"
+    rf"/(?![*/])(?<=(?:^|[(,=:\[!&|?{{}};+\n>~^%*-]|(?<![\w$.])(?:{_VALUE_WORDS})|{_AFTER_HEAD})[ \t]{{0,40}}/)"
     r"[^/\\\n\[]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\n\[]*+)*+/[a-z]*+"
 )
 _LITERAL = f"{_STRING}|{_template(TEMPLATE_DEPTH)}|{_REGEX}"
-_GROUP = (
-    r"(?=[{(<\[])(?:\{[^{}()]*\}"
-    r"|\([^{}()]*\)"
-    r"|<[^<>{}();]*>"
-    r"|\[[^\[\]{}()<>]*,[^\[\]{}()<>]*\])"
-)
+_ANGLES = r"<[^<>{}();]*+>"
+_SQUARES = r"\[[^\[\]{}()<>,]*+,[^\[\]{}()<>]*+\]"
+# Inside braces and parentheses, what is not a group of another kind that is still to be folded.
+_INSIDE = rf"[^{{}}()<\[]*+(?:(?:<(?!(?<={_ANGLES[0]}){_ANGLES[1:]})|\[(?!(?<=\[){_SQUARES[2:]}))[^{{}}()<\[]*+)*+"
+_GROUP = rf"(?=[{{(<\[])(?:\{{{_INSIDE}\}}|\({_INSIDE}\)|{_ANGLES}|{_SQUARES})"
 _MARK = "\u0002"  # put around matches so that one scan yields both sides
 
 _SEPARATOR = "\u0003"  # between texts that are unfolded together

@@ -142,13 +142,8 @@ def _plain_class_records(sources: DataFrame) -> DataFrame:
     return class_records(plain, ("methods",))
 
 
-def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark", configs: DataFrame | None = None) -> DataFrame:
-    """Endpoint headings, parameters with their fields, response fields, blank line.
-
-    ``ord`` is (endpoint, part, slot, place in the type tree...).
-    """
-    types = Types(sources, configs)
-    used = types.used
+def endpoint_heads(sources: DataFrame) -> DataFrame:
+    """The first lines of every endpoint: heading, controller and method."""
     heads = endpoints(sources).select("project", "path", "pos", "route", "controller", "method_name", "params")
     head_lines = F.array(
         _line("heading2", F.concat(F.lit("Endpoint: "), "route")),
@@ -160,7 +155,18 @@ def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark", configs
     request = F.when(
         F.size("params") > 0, F.array(_line("normal", "Request Params:"))
     ).otherwise(F.array().cast("array<struct<style:string,text:string>>"))
-    start = _lines(heads, 6, 1, F.array("pos", F.lit(0)), F.concat(head_lines, request))
+    return _lines(heads, 6, 1, F.array("pos", F.lit(0)), F.concat(head_lines, request))
+
+
+def endpoint_doc_lines(sources: DataFrame, circular_style: str = "mark", configs: DataFrame | None = None) -> DataFrame:
+    """Endpoint headings, parameters with their fields, response fields, blank line.
+
+    ``ord`` is (endpoint, part, slot, place in the type tree...).
+    """
+    types = Types(sources, configs)
+    used = types.used
+    heads = endpoints(sources).select("project", "path", "pos")
+    start = endpoint_heads(sources)
     end = _lines(heads, 6, 1, F.array("pos", F.lit(3)), F.array(_line("normal", "")))
 
     is_object = F.col("declared").isin(OBJECT_KINDS)
@@ -270,7 +276,7 @@ def tree_section(files: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def toc(lines: DataFrame) -> DataFrame:
-    """Headings of levels 1 to 3, in document order."""
+    """Headings of levels 1 to 3 among document lines, by document order."""
     return lines.filter(F.col("style").isin("heading1", "heading2", "heading3")).select(
         *ORDER, F.regexp_extract("style", r"\d", 0).try_cast("int").alias("level"), "text"
     )
@@ -299,6 +305,27 @@ def document_lines(files: DataFrame, manifests: DataFrame, run_date: str, **read
     return reduce(DataFrame.unionByName, [s.select(*COLUMNS) for s in sections])
 
 
+def contents(files: DataFrame, manifests: DataFrame, run_date: str) -> DataFrame:
+    """Headings of the documents of all supported projects: the lines ``toc`` finds in them, without making the others.
+
+    Neither type trees, properties, folder trees nor diagrams are made for it.
+    """
+    projects = supported_projects(manifests).select("project")
+    code = stored_outline(code_files(files))
+    sources, src_sources = filter_sources(code), src_only(code)
+    typeorm = lambda extract: for_kind(sources, manifests, "typeorm", extract)
+    records = entity_records(sources, src_sources, manifests)
+    bare = records.withColumn("properties", F.array().cast(records.schema["properties"].dataType))
+    sections = [
+        _headings(projects, run_date),
+        entity_table_rows(bare),
+        class_doc_lines(typeorm(_plain_class_records)),
+        function_doc_lines(typeorm(routes)),
+        settle(endpoint_heads(src_sources)).join(projects, "project", "left_semi"),
+    ]
+    return reduce(DataFrame.unionByName, [toc(s) for s in sections])
+
+
 def documents_text(lines: DataFrame) -> DataFrame:
     """Document text in pieces: (project, section, part, path, text).
 

@@ -1,30 +1,35 @@
-"""Writing documents and diagrams, one folder per project."""
+"""Writing documents and diagrams, one folder per project.
+
+A run replaces the folders of the projects it has, and leaves those of others; files come into place when the whole
+job has ended, so a job that fails leaves what was there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.functions.storage import stored
-
 ORDER = ["project", "section", "part", "path", "ord", "line"]
 
 
-def write_documents(lines: DataFrame, target: str) -> None:
-    """Lines as parquet in ``target/project=<name>/``, in order within each file.
+def _replace_projects(rows: DataFrame, order: list[str], target: str) -> None:
+    """Each project's rows into ``target/project=<name>/``, in order within each file.
 
-    Range partitioning on the whole order key spreads a large project over many
-    tasks, and keeps the files of a project in order by their part number.  The lines are written down before, so
-    that sampling the order does not make them a second time.
+    Rebalancing deals rows by project and, by the sizes found at run time, splits projects that are large and puts
+    small ones together: nothing is sampled or written down before.
     """
-    lines = stored(lines, "lines")
-    ordered = lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    ordered.write.partitionBy("project").parquet(target)
+    dealt = rows.hint("rebalance", F.col("project")).sortWithinPartitions(*order)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("project").parquet(target)
+
+
+def write_documents(lines: DataFrame, target: str) -> None:
+    """Document lines; ``ORDER`` puts the lines of several files of a project in order."""
+    _replace_projects(lines, ORDER, target)
 
 
 def write_erd(erd: DataFrame, edges: DataFrame, target: str) -> None:
-    """Diagram pieces of the projects that have edges, in ``target/project=<name>/``."""
+    """Diagram pieces of the projects that have edges."""
     with_edges = edges.select("project").distinct()
-    kept = stored(erd.join(with_edges, "project", "left_semi"), "diagrams")
-    ordered = kept.repartitionByRange("project", "path").sortWithinPartitions("project", "path")
-    ordered.select("project", "path", F.col("text")).write.partitionBy("project").parquet(target)
+    kept = erd.join(with_edges, "project", "left_semi").select("project", "path", "text")
+    _replace_projects(kept, ["project", "path"], target)

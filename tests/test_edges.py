@@ -258,3 +258,39 @@ def test_requests_without_a_path_are_refused(spark):
         [(None, False, "empty project path"), ("", False, "empty project path"), ("  ", False, "project path not found"), ("/x/p1/", True, None), ("/x/p2", False, "project path not found")],
         key=repr,
     )
+
+
+REGEX_TEXT = """
+export class A {
+  p: Map<string, Array<A>>;
+  q: [A, B];
+  f(x: string) {
+    if (x) /[{(]/.test(x);
+    while (f(x, g(x)) && y) /}/.exec(x);
+    switch (x) { case /a{/ : return 1; }
+    const t = typeof /}/, d = (1 + 2) / 3 / 4, e = x[0] / 2 / y;
+    if (a < b && c > d) { return (a) / b; }
+    return a < b;
+  }
+  z: number;
+}
+@Controller('k')
+export class K {
+  @Get('{') g(@Query('a') a: Map<string, A>): Promise<A[]> { if (a) /[)]/.test(a); return null; }
+}
+"""
+
+
+def test_regular_expressions_after_heads_and_words(one_file):
+    df = one_file(REGEX_TEXT)
+    fields = [(r.type_name, r.name, r.type) for r in types.type_fields(df).orderBy("type_pos", "pos").collect()]
+    assert fields == [("A", "p", "Map<string, Array<A>>"), ("A", "q", "[A, B]"), ("A", "z", "number")]
+    (row,) = api.endpoints(df).collect()
+    assert (row.route, row.params[0].type, row.return_type) == ("GET k/{", "Map<string, A>", "Promise<A[]>")
+    assert entities.rejects(df).collect() == []
+
+
+def test_types_after_a_fault_are_found(one_file):
+    df = one_file("export class B {\n  a(): void {\n    if (x) {\n  }\n}\nexport class Rest {\n  y: string;\n}\nexport interface I { x: number }\n")
+    assert {(r.type_name, r.name) for r in types.type_fields(df).collect()} == {("Rest", "y"), ("I", "x")}
+    assert len(entities.rejects(df).collect()) == 1

@@ -134,6 +134,9 @@ export class P<<k>>Controller {
   @Post()
   put<<k>>(@Body() body: D<<k>>, @Param('id') id: string): Promise<void> {
     return null;
+    if (id) /[{(]/.test(id);
+    switch (id) { case /a{/.source: break; }
+    const kind = typeof /}/;
   }
   private readonly mark = /[)}]\\/\\(/g;
 }

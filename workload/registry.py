@@ -351,7 +351,7 @@ def queries() -> dict[str, Query]:
         "endpoint_doc_lines": _on_src(lambda s: _ord(document.endpoint_doc_lines(s))),
         "document_lines": lambda spark, d: _readable(_ord(_lines(spark, d))),
         "documents_text": lambda spark, d: _readable(document.documents_text(_lines(spark, d))),
-        "toc": lambda spark, d: _readable(_ord(document.toc(_lines(spark, d)))),
+        "toc": lambda spark, d: _readable(_ord(document.contents(corpus.files(spark, d), corpus.manifests(spark, d), RUN_DATE))),
         "write_documents": _write_documents,
         "text_functions": _text_functions,
         "text_functions_documents": _text_functions_documents,
