@@ -267,8 +267,9 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _with(df: DataFrame, added: dict[str, str], made) -> DataFrame:
-    """``df`` with columns that ``made`` fills from each batch; columns of the same names are replaced."""
-    kept = [f for f in df.schema.fields if f.name not in added]
+    """``df`` with columns that ``made`` fills from each batch; columns of the same names, in whatever case, are replaced."""
+    taken = {name.lower() for name in added}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcatlas.functions.storage import stored
 from srcatlas.llm.words import Texts, U, blocks, mapped, mixed, stream
 
 SIZES = (2, 3, 4)
@@ -154,7 +155,7 @@ def learned(documents: DataFrame) -> Filters | None:
     some = known.filter(F.col("lang").isin(languages)).withColumn("language", number)
     some = some.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30))
     some = some.select("language", "text").groupBy("language", F.xxhash64("text").alias("_key")).agg(F.first("text").alias("text"))
-    counted = _text_counts(some).groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(_text_counts(some).groupBy("language", "gram").agg(F.sum("n").alias("n")), "grams")
     whole = {r["language"]: r["n"] for r in counted.filter("gram is null").collect()}
     table = _table(counted.filter("gram is not null"), whole, len(languages))
     return Filters(table, languages)

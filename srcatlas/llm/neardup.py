@@ -292,4 +292,4 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_first(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose ``doc_id`` is the smallest of its component, with all their columns."""
     gone = near_duplicates(documents).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(documents.columns)
+    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import stored
+from srcatlas.llm.sample import smallest
 from srcatlas.llm.words import Texts, blocks, mapped, per_text
 
 TREES = 128
@@ -194,12 +195,10 @@ def base_failed(n_words, n_repeat_words):
 
 
 def fit(stats: DataFrame) -> Forest | None:
-    """A forest from at most ``TREES * SAMPLE`` rows, taken by the order of a hash; None without rows."""
-    chosen = (
-        stats.select(*FEATURES)
-        .orderBy(F.xxhash64(stats["doc_id"], *FEATURES, F.lit(SEED)))
-        .limit(TREES * SAMPLE)
-    )
+    """A forest from at most ``TREES * SAMPLE`` rows, taken by the order of a hash, equal ones once; None without rows."""
+    known = stats.select("doc_id", *FEATURES)
+    order = F.xxhash64(*known.columns, F.lit(SEED))
+    chosen = smallest(known, order, TREES * SAMPLE, known.columns).select(*FEATURES)
     rows = np.array([tuple(r) for r in chosen.collect()], float)
     return Forest(rows) if len(rows) else None
 

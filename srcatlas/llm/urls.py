@@ -6,7 +6,8 @@ marks, and for three suffixes (last label of the host, last two, last label with
 of blocked ones among all labelled URLs.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the trees. Each
-input row gives one row. Without labelled URLs of both kinds, what no rule fits gets the only verdict that rules gave,
+input row gives one row; equal URLs get equal results, and equal rows are learned from once. URLs of any length are read
+whole. Of rules of one length the later one by name counts. An empty table gives no rows; other columns are not read. Without labelled URLs of both kinds, what no rule fits gets the only verdict that rules gave,
 or ``allow``.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import stored
+from srcatlas.llm.sample import smallest
 
 #: host and beginning of the path, and the verdict
 RULES = {
@@ -142,8 +144,9 @@ def judged(pages: DataFrame) -> DataFrame:
         rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
         labelled = rows.filter("known is not null").withColumn("label", (F.col("known") == "block").cast("double"))
         # at most ROWS rows
-        chosen = labelled.orderBy(F.xxhash64("url", "page_id", F.lit(SEED))).limit(ROWS).select("features", "label")
-        chosen = stored(chosen.coalesce(1), "labelled")
+        order = F.xxhash64("url", "page_id", F.lit(SEED))
+        chosen = smallest(labelled.select("url", "page_id", "features", "label"), order, ROWS, ["url", "page_id"])
+        chosen = stored(chosen.select("features", "label").coalesce(1), "labelled")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxMemoryInMB=64)
         made = trees.fit(chosen).transform(rows).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("known", F.when(F.col("score") > 0.5, "block").otherwise("allow"))

@@ -161,6 +161,13 @@ def distinct(doc: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def mapped(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``made`` of the batches of each partition, where the executors know this library."""
+    """``made`` of the batches of each partition, where the executors know this library; columns may have any names."""
     ship(df.sparkSession)
-    return df.mapInArrow(made, schema)
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(made, schema)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return made(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(renamed, schema)

@@ -44,3 +44,20 @@ def test_pipeline_is_its_stages(spark, sf_dir, documents, labels):
 def test_stages_keep_the_columns(spark, sf_dir, documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents, sf_dir).columns == documents.columns
+
+
+def test_pipeline_of_an_empty_table_and_of_emptied_texts(spark, sf_dir, documents):
+    rows = documents.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf_dir)
+        assert rows.collect() == []
+    text = " ".join(f"w{i}" for i in range(60))
+    twice = spark.createDataFrame([(1, text, "en", "s", 9), (2, text, "en", "s", 9), (3, None, "en", "s", 9)], documents.schema)
+    assert [r.doc_id for r in corpus_pipeline.substring_dedup(spark, twice, sf_dir).collect()] == [1]
+
+
+def test_clashing_columns_pass_through(spark, documents):
+    more = documents.limit(50).selectExpr("*", "1 as `a.b`", "'x' as Ids", "'y' as component_id")
+    assert neardup.keep_first(more).columns == more.columns
+    got = bpe.coded(more, VOCABULARY)
+    assert got.columns == [*documents.columns, "a.b", "component_id", "ids"] and len(got.collect()) == 50
