@@ -5,9 +5,12 @@ Each stage takes what the one before kept, whole, as a written table. All but th
 
 1. quality rules: documents that fail the rules or are anomalous go;
 2. near-dedup: the smallest ``doc_id`` of each group of near duplicates stays;
-3. substring dedup: passages that a document with a smaller ``doc_id`` has go from the texts;
+3. substring dedup: passages that a document with a smaller ``doc_id`` has go from the texts, and documents that have no
+   word left go;
 4. mixing: a document is there as often as its source's weight has it, at least once;
 5. encoding: ``ids`` and ``n_tokens`` of each text, and the text that they decode to.
+
+Null texts and texts without words fail the quality rules. An empty table goes through all stages as one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.dedup(docs)
+    return substrings.dedup(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
