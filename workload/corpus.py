@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcatlas.functions.storage import fresh_dir
@@ -458,6 +458,59 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# --- types in rings --------------------------------------------------------------
+
+_RING = """<<imports>>export class R<<k>> {
+  next: R<<next>>;
+  leaf: Leaf<<k>>;
+<<fields>>}
+
+export class Leaf<<k>> {
+  v: string;
+}
+<<controller>>"""
+_RING_CONTROLLER = """
+@Controller('r<<k>>')
+export class R<<k>>Controller {
+  @Get()
+  one(): Promise<R<<k>>> {
+    return null;
+  }
+}
+"""
+#: Types of a ring, and rings of a chain.
+RING, RINGS = 3, 4
+
+
+def ring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a class for each part: three of them are a ring, the last one of a ring has two fields of the first one of
+    the next ring, up to four rings in a chain. An endpoint returns the first one of each chain."""
+    n = n_projects(spark, sf_dir)
+    k, ring, chain = F.col("k"), F.expr(f"k div {RING}"), F.expr(f"k div {RING * RINGS}")
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    # a window over a chain has as many rows as a chain has parts
+    df = df.select("k", ring.alias("ring"), chain.alias("chain"))
+    df = df.withColumn("after", F.lead("k").over(Window.partitionBy("chain").orderBy("k")))
+    df = df.withColumn("first", F.min("k").over(Window.partitionBy("chain", "ring")))
+    df = df.withColumn("start", F.min("k").over(Window.partitionBy("chain")))
+    inside = F.coalesce(F.expr(f"after div {RING}") == F.col("ring"), F.lit(False))
+    following = F.when(inside, F.col("after")).otherwise(F.col("first"))
+    below = F.col("after").isNotNull() & ~inside
+    imported = lambda j: fill("import { R<<j>> } from './r<<j>>';\n", j=j)
+    text = fill(
+        _RING,
+        k=k,
+        next=following,
+        imports=F.concat(
+            F.when(following != k, imported(following)).otherwise(""),
+            F.when(below, imported(F.col("after"))).otherwise(""),
+        ),
+        fields=F.when(below, fill("  left: R<<j>>;\n  right: R<<j>>[];\n", j=F.col("after"))).otherwise(""),
+        controller=F.when(k == F.col("start"), fill(_RING_CONTROLLER, k=k)).otherwise(""),
+    )
+    return _file(df, _by_project(F.col("chain"), n), fill("src/ring/r<<k>>.ts", k=k), text)
+
+
 # --- inputs of the operators ---------------------------------------------------
 
 
@@ -498,6 +551,11 @@ def handing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "modules", lambda: module_files(spark, sf_dir))
 
 
+def ringed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files whose types form rings."""
+    return _once(spark, sf_dir, "rings", lambda: ring_files(spark, sf_dir))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``.ts`` file, those that scans drop included."""
     return files(spark, sf_dir).filter(F.col("path").endswith(".ts"))

@@ -518,6 +518,29 @@ MODULE_TREES = f"""
 """
 
 
+# ----- types in rings ---------------------------------------------------------------------------------------
+
+RIN = """
+rin AS (
+  SELECT p_partkey k, p_partkey // 3 g, p_partkey // 12 c, 'p' || ((p_partkey // 12) % n) project, 'src/ring/r' || p_partkey || '.ts' AS path,
+    lead(p_partkey) OVER (PARTITION BY p_partkey // 12 ORDER BY p_partkey) aft, min(p_partkey) OVER (PARTITION BY p_partkey // 3) fst,
+    2.0::DOUBLE ** (dense_rank() OVER (PARTITION BY p_partkey // 12 ORDER BY p_partkey // 3) - 1) n_paths
+  FROM part, num),
+"""
+CYCLES = """
+  SELECT project, path, 'R' || k AS name, min(path) OVER ring cycle_path, min_by('R' || k, path) OVER ring cycle_name, count(*) OVER ring n_types
+  FROM rin WINDOW ring AS (PARTITION BY g)
+"""
+SHARED = """
+  SELECT project, path, 'R' || k AS name, 0 pos, 'next' AS field, 'R' || nx type_text, 'cycle' kind, 'src/ring/r' || nx || '.ts' ref_path, 'R' || nx ref_name, n_paths
+    FROM (SELECT *, CASE WHEN aft // 3 = g THEN aft ELSE fst END nx FROM rin)
+  UNION ALL SELECT project, path, 'R' || k, 1, 'leaf', 'Leaf' || k, 'object', path, 'Leaf' || k, n_paths FROM rin
+  UNION ALL SELECT project, path, 'R' || k, ps, fi, 'R' || aft || br, 'object', 'src/ring/r' || aft || '.ts', 'R' || aft, n_paths
+    FROM rin, (VALUES (2, 'left', ''), (3, 'right', '[]')) t(ps, fi, br) WHERE aft // 3 <> g
+  UNION ALL SELECT project, path, 'Leaf' || k, 0, 'v', 'string', 'text', NULL, NULL, n_paths FROM rin
+"""
+
+
 def _q(select: str, *ctes: str, recursive: bool = False) -> str:
     body = (FILES + "".join(ctes)).rstrip().rstrip(",")
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
@@ -597,6 +620,8 @@ def oracle_sql() -> dict[str, str]:
         "field_lines_modules": _q(MODULE_TREES, MOD),
         "type_closure": _q("SELECT project, root_path, root_name, node, depth::INT AS depth, field, type_text, kind, type_name, is_array FROM nod", NODES, **trees),
         "circular_types": _q("SELECT project, root_path, root_name, node, depth::INT AS depth, field, type_text, kind, type_name, is_array FROM nod WHERE kind = 'circular'", NODES, **trees),
+        "type_cycles": _q(CYCLES, RIN),
+        "shared_types": _q(SHARED, RIN),
         "field_lines": _q(f"SELECT {TREE_COLS} FROM tli", NODES, **trees),
         "field_lines_json": _q(f"""SELECT {TREE_COLS} FROM tli WHERE kind <> 'circular' UNION ALL
           SELECT project, root_path, root_name, node, i::INT, indent::INT, ls[i + 1] FROM (SELECT *, [x FOR x IN ['- ' || field || ':', '  {{', '    "name": "' || type_name || '",', '    "fields": "[Circular Reference]"' || CASE WHEN is_array THEN ',' ELSE '' END, CASE WHEN is_array THEN '    "isArray": true' END, '  }}'] IF x IS NOT NULL] ls FROM tli WHERE kind = 'circular'), range(6) r(i) WHERE i < len(ls)""".replace("{{", "{").replace("}}", "}"), NODES, **trees),

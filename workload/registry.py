@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcatlas.functions import text as X
 from srcatlas.functions.storage import checkpointed, fresh_dir
 from srcatlas.functions.typetext import classify_types, type_arguments, unwrap_types
-from srcatlas.operators import api, closure, entities, imports, modules, orm, types
+from srcatlas.operators import api, closure, entities, imports, modules, orm, shared, types
 from srcatlas.operators.tree import folder_tree
 from srcatlas.plans import catalogue, diagram, document
 from srcatlas.sources import scan, sinks
@@ -145,6 +145,10 @@ def _module_tree(spark: SparkSession, d: str) -> DataFrame:
     return closure.tree_lines(printed).withColumn("node", _dotted("node"))
 
 
+def _ringed(spark: SparkSession, d: str) -> closure.Types:
+    return closure.Types(scan.src_only(corpus.ringed_files(spark, d)))
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return checkpointed(diagram.project_edges(_scanned(spark, d), corpus.manifests(spark, d)))
 
@@ -332,6 +336,8 @@ def queries() -> dict[str, Query]:
         "field_lines": _tree_lines,
         "field_lines_json": lambda spark, d: _tree_lines(spark, d, circular_style="json"),
         "enum_lines": lambda spark, d: _tree_lines(spark, d, "enum"),
+        "type_cycles": lambda spark, d: shared.type_cycles(_ringed(spark, d)),
+        "shared_types": lambda spark, d: shared.shared_types(_ringed(spark, d)),
         # names handed on by modules
         "exports": lambda spark, d: modules.exports(*_handing(spark, d)),
         "module_targets": lambda spark, d: modules.Modules(*_handing(spark, d)).targets,
