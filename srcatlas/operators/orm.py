@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +11,17 @@ from srcatlas.functions import patterns as P
 from srcatlas.functions.rows import settle
 
 
-def detect_orm(manifests: DataFrame) -> DataFrame:
-    """(project, kind): the first marker found in the manifest text, else NULL."""
+def detect_orm(manifests: DataFrame, markers: Mapping[str, str] | None = None) -> DataFrame:
+    """(project, kind): the kind of the first marker found in the manifest text, else NULL; ``markers``: of each kind."""
+    markers = markers or {m: m for m in P.ORM_MARKERS}
     kind = F.coalesce(
-        *[F.when(F.contains("content", F.lit(m)), F.lit(m)) for m in P.ORM_MARKERS]
+        *[F.when(F.contains("content", F.lit(m)), F.lit(k)) for k, m in markers.items()]
     )
     return manifests.select("project", kind.alias("kind"))
 
 
-def supported_projects(manifests: DataFrame) -> DataFrame:
-    return detect_orm(manifests).filter(F.col("kind").isNotNull())
+def supported_projects(manifests: DataFrame, markers: Mapping[str, str] | None = None) -> DataFrame:
+    return detect_orm(manifests, markers).filter(F.col("kind").isNotNull())
 
 
 def unsupported_projects(files: DataFrame, manifests: DataFrame) -> DataFrame:

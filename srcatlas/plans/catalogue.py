@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.operators.entities import class_records, routes
-from srcatlas.operators.orm import for_kind, supported_projects
+from srcatlas.operators.orm import supported_projects
 from srcatlas.operators.types import interface_records, property_refs
+from srcatlas.plans.parsers import Parser, facts, markers, with_parser
 
 METHOD = "struct<name:string,docs:string,returnType:string>"
 PROPERTY = "struct<name:string,type:string,decorators:array<string>>"
@@ -152,21 +155,26 @@ def _mongoose_files(sources: DataFrame) -> DataFrame:
     )
 
 
-def project_json(sources: DataFrame, src_sources: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Catalogue documents: (project, path, json).
+#: The parsers there are; ``with_parser`` adds further kinds.
+PARSERS = with_parser(
+    {},
+    Parser("typeorm", _typeorm_files),
+    Parser("mongoose", _mongoose_files, scope="src"),
+)
+
+
+def project_json(files: DataFrame, manifests: DataFrame, parsers: Mapping[str, Parser] = PARSERS) -> DataFrame:
+    """Catalogue documents: (project, path, json), from the files of all projects.
 
     Every document is a whole catalogue record of one file; a project's catalogue is
     the concatenation of its documents' lists in ``path`` order.  Each supported
     project also has an empty document under path '', so projects without facts (and
     kinds whose extraction yields nothing) are there too.
     """
-    empty = supported_projects(manifests).select(
+    empty = supported_projects(manifests, markers(parsers)).select(
         "project", F.lit("").alias("path"), *[_empty(t).alias(n) for n, t in LISTS.items()]
     )
-    rows = (
-        empty.unionByName(for_kind(sources, manifests, "typeorm", _typeorm_files))
-        .unionByName(for_kind(src_sources, manifests, "mongoose", _mongoose_files))
-    )
+    rows = empty.unionByName(facts(files, manifests, parsers, ["project", "path", *LISTS])) if parsers else empty
     record = F.struct(*[F.col(n).cast(f"array<{t}>").alias(n) for n, t in LISTS.items()])
     return rows.select(
         "project", "path", F.to_json(record, {"ignoreNullFields": "false"}).alias("json")

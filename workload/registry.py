@@ -208,7 +208,7 @@ def _erd_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _project_json(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue.project_json(_scanned(spark, d), _src(spark, d), corpus.manifests(spark, d))
+    return catalogue.project_json(corpus.files(spark, d), corpus.manifests(spark, d))
 
 
 def _parse_json(spark: SparkSession, d: str) -> DataFrame:
