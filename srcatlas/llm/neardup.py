@@ -16,13 +16,16 @@ whole sequence as one; a text without words has none and is linked with nothing.
    ``AGREE`` of the places (for a likeness of 0.75 less is over six standard deviations away) are confirmed on their full
    sets. Union-find gives components.
 4. A bucket's ends may be like neither of two members that are alike. Pairs that agree in ``NEAR`` of the places, links or
-   not, make up clusters; in a cluster that holds more than one component, members outside its largest one are compared
-   with all others, exactly: in blocks of ``BLOCK`` members each, by products of incidence matrices, so that no
-   pair becomes a row. Then union-find again.
+   not, make up clusters. A cluster that holds more than one component is cut where it has no link: with the shingles of
+   each set in the order of how often the cluster has them, rare ones first, two linked sets share one of their first
+   ``size - ceil(0.75 size) + 1``; members that share one of these, directly or through others, stay together.
+5. In what is left with more than one component, members outside the largest one are compared with all others, exactly: in
+   blocks of ``BLOCK`` members each, by products of incidence matrices, so that no pair becomes a row. Then union-find again.
 
-The pairs of 3 are at most two for each class and bucket. The blocks of 4 come from texts that are near without being linked;
-their rows are the members outside the largest component times the cluster's blocks. That is quadratic only
-in texts that are all alike by about 0.5 to 0.75 and not linked, with a factor of one over ``BLOCK``.
+The pairs of 3 are at most two for each class and bucket, the rows of 4 the shingles of clusters that are mixed. The blocks of 5 come from
+texts that share rare shingles without being linked; their rows are the members outside the largest component times the blocks.
+Texts that share a frequent passage, however many, and are unlike in the rest do not come that far. What stays quadratic, with a factor of
+one over ``BLOCK``, are texts that are chained by rare shingles and yet of many components.
 
 Defined results: a null ``doc_id`` gets a null component and is not kept, and takes no part in links. Rows of one
 ``doc_id`` are one node: a link of either text counts, and each row keeps its own set size. Each input row gives one row.
@@ -240,6 +243,30 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "i", "kind", "j").applyInArrow(_block_links, "a long, b long")
 
 
+def cut_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` of clusters with several components, in smaller clusters between which there is no link.
+
+    A part is named by its smallest ``doc_id``. Shingles of a set come by how many members of its cluster have them, then by
+    hash; of each, only those of the prefix that another one has too are joined, with the smallest member that has it there.
+    """
+    mixed = members.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    rows = stored(members.join(mixed.filter("least < most").select("cluster"), "cluster"), "mixed")
+    own = rows.select("cluster", "doc_id").join(sets, "doc_id")
+    # rows of one doc_id may have unlike sets; equal ones count as one
+    size = F.size("shingles").alias("n")
+    each = own.select("cluster", "doc_id", F.xxhash64("shingles").alias("row"), size, F.explode("shingles").alias("s"))
+    often = each.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, ["cluster", "s"]).groupBy("cluster", "doc_id", "row", "n")
+    ranked = ranked.agg(F.sort_array(F.collect_set(F.struct("often", "s"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * LIKE / 100).cast("int") + 1)
+    heads = ranked.select("cluster", "doc_id", F.explode(F.filter(first, lambda x: x["often"] > 1)["s"]).alias("s"))
+    heads = stored(heads, "heads")
+    low = heads.groupBy("cluster", "s").agg(F.min("doc_id").alias("low"))
+    parts = components(heads.join(low, ["cluster", "s"]).filter("low < doc_id").select("doc_id", "low"))
+    joined = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return joined.select(F.coalesce("up", "doc_id").alias("cluster"), "doc_id", "component")
+
+
 class Groups:
     """The classes of equal sets and their components, in tables of the shared folder."""
 
@@ -266,7 +293,8 @@ class Groups:
         heads = clusters.select(F.col("cluster").alias("node"), "cluster").distinct()
         members = clusters.union(heads).join(found, "node", "left")
         members = members.select("cluster", F.col("node").alias("doc_id"), F.coalesce("up", "node").alias("component"))
-        more = stored(cluster_links(stored(members, "members"), sets), "links")
+        parts = stored(cut_clusters(stored(members, "members"), sets), "parts")
+        more = stored(cluster_links(parts, sets), "links")
         self.components = components(links.union(more)) if more.limit(1).count() else found
 
 

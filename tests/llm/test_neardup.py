@@ -145,3 +145,40 @@ def test_components_of_random_links(spark):
 def test_shingles_of_short_and_long_texts():
     (block,) = blocks(pa.array(["a b", "a b c d e", "a b c d e f a b c d e", "", None]))
     assert list(neardup.shingle_sets(block)[1]) == [1, 1, 6, 0, 0]
+
+
+def _cut(table, rows):
+    """The part of each text, all texts in one cluster and each in a component of its own."""
+    docs = table(rows)
+    ids = docs.select("doc_id").distinct()
+    members = ids.selectExpr("0L as cluster", "doc_id", "doc_id as component")
+    found = neardup.cut_clusters(members, neardup.shingles_of(docs, ids)).collect()
+    assert len(found) == len({i for i, _ in rows})
+    return {r.doc_id: r.cluster for r in found}
+
+
+def test_texts_with_a_common_passage_alone_part(table):
+    """Half of each text is the same; only those that are alike in the rest stay together."""
+    common = prose(100)
+    rows = [(i, f"{common} {prose(100, i + 1)}") for i in range(300)]
+    rows += [(300 + i, f"{common} {prose(95, i + 1)} other words at the end") for i in range(20)]
+    rows += [(5, rows[5][1]), (6, f"{common} {prose(100, 900)}"), (400, f"{common} {prose(100, 900)} more")]
+    assert _cut(table, rows) == {i: i - 300 if 300 <= i < 320 else 6 if i == 400 else i for i, _ in rows}
+    assert result(neardup.near_duplicates(table(rows[:60] + rows[300:]))) == brute(rows[:60] + rows[300:])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_linked_texts_stay_in_one_part(table, seed):
+    """Sentences from a small pool: hardly a shingle is in one text alone."""
+    draw = random.Random(seed)
+    pool = [prose(12, 50 + i) for i in range(30)]
+    rows = []
+    for i in range(0, 120, 2):
+        own = [draw.choice(pool) for _ in range(16)]
+        rows.append((i, " ".join(own)))
+        own[draw.randrange(16)] = draw.choice(pool)
+        rows.append((i + 1, " ".join(own)))
+    parts, want = _cut(table, rows), brute(rows)
+    assert all(parts[i] == parts[root] for i, (_, root) in want.items())
+    assert result(neardup.near_duplicates(table(rows))) == want
+    assert sum(i != root for i, (_, root) in want.items()) > 20
