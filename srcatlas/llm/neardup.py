@@ -246,25 +246,28 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def cut_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` of clusters with several components, in smaller clusters between which there is no link.
 
-    A part is named by its smallest ``doc_id``. Shingles of a set come by how many members of its cluster have them, then by
-    hash; of each, only those of the prefix that another one has too are joined, with the smallest member that has it there.
+    A part is named by its smallest component. Shingles of a set come by how many members of its cluster have them, then by
+    hash; of each, only those of the prefix that another one has too are joined, with the smallest component that has it there.
     """
     mixed = members.groupBy("cluster").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     rows = stored(members.join(mixed.filter("least < most").select("cluster"), "cluster"), "mixed")
-    own = rows.select("cluster", "doc_id").join(sets, "doc_id")
-    # rows of one doc_id may have unlike sets; equal ones count as one
-    size = F.size("shingles").alias("n")
-    each = own.select("cluster", "doc_id", F.xxhash64("shingles").alias("row"), size, F.explode("shingles").alias("s"))
+    # a set is hashed before it is taken apart, not once for each shingle
+    own = rows.join(sets, "doc_id").select(
+        "cluster", "component", F.xxhash64("shingles").alias("row"), F.size("shingles").alias("n"), "shingles"
+    )
+    each = own.select("cluster", "component", "row", "n", F.explode("shingles").alias("s"))
     often = each.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often, ["cluster", "s"]).groupBy("cluster", "doc_id", "row", "n")
+    # equal sets of one component count as one
+    ranked = each.join(often, ["cluster", "s"]).groupBy("cluster", "component", "row", "n")
     ranked = ranked.agg(F.sort_array(F.collect_set(F.struct("often", "s"))).alias("all"))
     first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * LIKE / 100).cast("int") + 1)
-    heads = ranked.select("cluster", "doc_id", F.explode(F.filter(first, lambda x: x["often"] > 1)["s"]).alias("s"))
-    heads = stored(heads, "heads")
-    low = heads.groupBy("cluster", "s").agg(F.min("doc_id").alias("low"))
-    parts = components(heads.join(low, ["cluster", "s"]).filter("low < doc_id").select("doc_id", "low"))
-    joined = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return joined.select(F.coalesce("up", "doc_id").alias("cluster"), "doc_id", "component")
+    heads = ranked.select("cluster", "component", F.explode(F.filter(first, lambda x: x["often"] > 1)["s"]).alias("s"))
+    # a component is linked already: one row of it for each shingle will do
+    heads = stored(heads.distinct(), "heads")
+    low = heads.groupBy("cluster", "s").agg(F.min("component").alias("low"))
+    parts = components(heads.join(low, ["cluster", "s"]).filter("low < component").select("component", "low"))
+    joined = rows.join(parts.withColumnRenamed("node", "component"), "component", "left")
+    return joined.select(F.coalesce("up", "component").alias("cluster"), "doc_id", "component")
 
 
 class Groups:
