@@ -57,14 +57,16 @@ def _local_forests(links: DataFrame) -> DataFrame:
     return mapped(links, made, "node long, up long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, local: bool = True) -> DataFrame:
     """``node, up``: each linked node but the smallest of its component, with that smallest one.
 
-    ``links`` has two long columns; loops and nulls in them count as no link.
+    ``links`` has two long columns; loops and nulls in them count as no link. Without ``local`` there are only the
+    rounds, and no Python runs on the links.
     """
     a, b = (F.col(f"`{n}`") for n in links.columns)
     edges = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("up"))
-    edges = stored(_local_forests(edges.filter((a != b) & a.isNotNull() & b.isNotNull())), "links")
+    edges = edges.filter((a != b) & a.isNotNull() & b.isNotNull())
+    edges = stored(_local_forests(edges) if local else edges.distinct(), "links")
     while True:
         # every node's smallest neighbour among the smaller ones; the others are linked to that
         least = edges.groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"))

@@ -30,7 +30,7 @@ def test_signatures_like_a_loop(spark, documents):
     got = {r.i: r.s for r in hashed.select("i", S.signatures(F.col("t")).alias("s")).collect()}
     named = [(i, *s) for i, t in enumerate(texts) for s in slow_signatures(t)]
     rows = spark.createDataFrame([(n[0], n[1], n[2], n[3] if len(n) == 4 else None) for n in named], "i int, a string, b string, c string")
-    two, three = F.hash("a", "b"), F.hash("a", "b", "c")
+    two, three = F.xxhash64("a", "b"), F.xxhash64("a", "b", "c")
     want = {}
     for r in rows.select("i", F.when(F.col("c").isNull(), two).otherwise(three).alias("h")).collect():
         want.setdefault(r.i, set()).add(r.h)
@@ -101,3 +101,52 @@ def test_pairs_like_brute_force(spark, documents, like):
         if len(x & y) >= like * len(x | y)
     }
     assert {frozenset((r.a, r.b)) for r in pairs.collect()} == want and want
+
+
+def slow_classes(sets, like):
+    """The smallest id that links lead to, for a dict of sets by id."""
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x == y or (x and y and len(x & y) >= like * len(x | y)):
+                ra, rb = root(a), root(b)
+                up[max(ra, rb)] = min(ra, rb)
+    return {i: root(i) for i in ids}
+
+
+def chained(n):
+    """Texts that share words with the next ones: chains of near copies, and some that only share a passage."""
+    words = prose(400).split()
+    shift = [" ".join(words[k : k + 200]) for k in range(0, 60, 4)]
+    shared = " ".join(words[200:260])
+    other = [f"{shared} {' '.join(f'the w{k}x{j} of z{k}y{j}' for j in range(40))}" for k in range(n)]
+    return shift + other
+
+
+@pytest.mark.parametrize("like", [0.5, 0.75])
+def test_classes_like_brute_force(table, documents, like, monkeypatch):
+    texts = [r.text or "" for r in documents.collect()]
+    texts += [t[: int(len(t) * 0.9)] for t in texts] + [t + " the end of it all" for t in texts] + chained(30) + ["", "", " "]
+    df = table(list(enumerate(texts)))
+    sets = {r.doc_id: frozenset(r.s) for r in df.select("doc_id", S.signatures(F.col("text")).alias("s")).collect()}
+    want = slow_classes(sets, like)
+    assert len(set(want.values())) < len(set(sets.values()))
+    assert {r.doc_id: r.near_class for r in S.near_classes(df, like).collect()} == want
+    monkeypatch.setattr(S, "COUNTERS", 2)  # another order, the same classes
+    assert {r.doc_id: r.near_class for r in S.near_classes(df, like).collect()} == want
+
+
+def test_class_of_each_row(table):
+    text = prose(300)
+    rows = [(5, text), (2, text + " of the end"), (2, "nothing like it at all"), (None, text), (9, text), (9, text), (7, ""), (8, None), (4, prose(80)[::-1])]
+    got = sorted(((r.doc_id, r.n_chars, r.near_class) for r in S.edited_likeness(table(rows)).collect()), key=repr)
+    first = {5: 2, 9: 2, 8: 7}
+    assert got == sorted(((i, len(t or ""), first.get(i, i)) for i, t in rows), key=repr)
