@@ -77,13 +77,13 @@ def signatures(text: Column) -> Column:
             anchors,
             lambda i, k: F.when(
                 i - k + CHAIN <= F.size(content),
-                F.xxhash64(F.get(words, i), *(F.get(content, i - k + n) for n in range(CHAIN))),
+                F.hash(F.get(words, i), *(F.get(content, i - k + n) for n in range(CHAIN))),
             ),
         )
         return _let(
             F.filter(made, lambda x: x.isNotNull()),
             lambda found: F.when(F.size(found) > 0, found).otherwise(
-                F.transform(words, lambda w, i: F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit(""))))
+                F.transform(words, lambda w, i: F.hash(w, F.coalesce(F.get(words, i + 1), F.lit(""))))
             ),
         )
 
@@ -123,16 +123,14 @@ def _bucket(rows: DataFrame, key: str) -> Column:
     return F.coalesce(found, F.lit(-1).cast("long"))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], beside: DataFrame | None = None) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``rows`` with ``next_`` columns: those of the row that follows in the order of ``key`` and ``columns``; the first
     one follows the last.
 
     Rows go to buckets of neighbouring keys, so that no bucket grows with the table; the last row of each bucket gets
-    the first one of the next bucket. The rows move once. ``beside`` has further facts on keys: each row also gets
-    ``_beside``, the array of the facts on the keys of its bucket, without moving again.
+    the first one of the next bucket. The rows move once.
     """
-    bucket = _bucket(rows, key)
-    placed = rows.withColumn("_bucket", bucket)
+    placed = rows.withColumn("_bucket", _bucket(rows, key))
     inside = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), *columns)
     led = placed.select("*", F.lead(F.struct(*columns)).over(inside).alias("_next"))
     first = placed.groupBy("_bucket").agg(F.min(F.struct(key, *columns)).alias("_first"))
@@ -144,34 +142,25 @@ def with_next(rows: DataFrame, key: str, columns: list[str], beside: DataFrame |
         F.coalesce(F.lead("_bucket").over(order), F.first("_bucket").over(order)).alias("_bucket"),
     )
     heads = following.join(first, "_bucket").select(F.col("_own").alias("_bucket"), "_first")
-    more = []
-    if beside is not None:
-        facts = beside.groupBy(bucket.alias("_bucket")).agg(F.collect_list(F.struct(*beside.columns)).alias("_beside"))
-        heads = heads.join(facts, "_bucket", "left")
-        more = ["_beside"]
     joined = led.join(heads, "_bucket")
     return joined.select(
         *rows.columns,
         *(F.coalesce(F.col(f"_next.{c}"), F.col(f"_first.{c}")).alias(f"next_{c}") for c in columns),
-        *more,
     )
 
 
 def edited_likeness(documents: DataFrame) -> DataFrame:
     """Each row's fingerprint and that of its edited text, in which the last quarter is replaced by the beginning of the
-    next document, with their likeness and that to the next document, and ``near_class``, the smallest ``doc_id`` that
-    links of a likeness of at least ``LIKE`` lead to."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    classes = near_classes(rows).filter("near_class < doc_id")
-    rows = with_next(rows, "doc_id", ["text"], classes)
+    next document, with their likeness and that to the next document."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text")).withColumn("signature", signatures(F.col("text")))
+    rows = with_next(rows, "doc_id", ["text", "signature"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     # an empty text must stay one: substring of length 0
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = rows.select("*", edited.alias("edited"))
-    for name, text in (("signature", "text"), ("next_signature", "next_text"), ("edited_signature", "edited")):
-        rows = rows.withColumn(name, signatures(F.col(text)))
-    own = F.filter("_beside", lambda c: (c["doc_id"] == F.col("doc_id")) & (c["_set"] == _digest(F.col("signature"))))
+    rows = rows.select("*", signatures(F.col("edited")).alias("edited_signature"))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
@@ -180,7 +169,6 @@ def edited_likeness(documents: DataFrame) -> DataFrame:
         fingerprint(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
         likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
-        F.coalesce(F.get(own, F.lit(0))["near_class"], F.col("doc_id")).alias("near_class"),
     )
 
 
@@ -226,13 +214,12 @@ def near_classes(documents: DataFrame, like: float = LIKE) -> DataFrame:
     often = _frequencies(rows)
     ordered = F.sort_array(F.transform("signature", lambda s: F.struct(F.get(often, _counter(s)).alias("n"), s.alias("s"))))
     early = F.slice(ordered, F.lit(1), size - F.ceil(F.lit(like) * size).cast("int") + 1)
-    # half of a signature is enough for a bucket; sets are compared in full
-    head = F.transform(early, lambda e: F.shiftright(e["s"], 32).cast("int"))
+    head = F.transform(early, lambda e: e["s"])
     keyed = rows.select("doc_id", _digest(F.col("signature")).alias("_set"), size.alias("size"), F.when(size > 0, head).alias("head"))
     keyed = stored(keyed, "keyed")
     classes = keyed.groupBy("_set").agg(F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("head").alias("head"))
     classes = stored(classes, "classes")
-    heads = classes.select("class_id", "size", F.explode(F.array_distinct("head")).alias("s"))
+    heads = classes.select("class_id", "size", F.explode("head").alias("s"))
     shared = heads.groupBy("s").count().filter("count > 1").select("s")
     level = F.floor(F.log("size") / F.log(F.lit(1 / like))).cast("int")
     parts = F.explode(F.array(level, level + 1)).alias("part")

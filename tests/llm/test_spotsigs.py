@@ -30,7 +30,7 @@ def test_signatures_like_a_loop(spark, documents):
     got = {r.i: r.s for r in hashed.select("i", S.signatures(F.col("t")).alias("s")).collect()}
     named = [(i, *s) for i, t in enumerate(texts) for s in slow_signatures(t)]
     rows = spark.createDataFrame([(n[0], n[1], n[2], n[3] if len(n) == 4 else None) for n in named], "i int, a string, b string, c string")
-    two, three = F.xxhash64("a", "b"), F.xxhash64("a", "b", "c")
+    two, three = F.hash("a", "b"), F.hash("a", "b", "c")
     want = {}
     for r in rows.select("i", F.when(F.col("c").isNull(), two).otherwise(three).alias("h")).collect():
         want.setdefault(r.i, set()).add(r.h)
@@ -147,6 +147,7 @@ def test_classes_like_brute_force(table, documents, like, monkeypatch):
 def test_class_of_each_row(table):
     text = prose(300)
     rows = [(5, text), (2, text + " of the end"), (2, "nothing like it at all"), (None, text), (9, text), (9, text), (7, ""), (8, None), (4, prose(80)[::-1])]
-    got = sorted(((r.doc_id, r.n_chars, r.near_class) for r in S.edited_likeness(table(rows)).collect()), key=repr)
-    first = {5: 2, 9: 2, 8: 7}
-    assert got == sorted(((i, len(t or ""), first.get(i, i)) for i, t in rows), key=repr)
+    got = sorted((r.doc_id, r.near_class) for r in S.near_classes(table(rows)).collect())
+    # one row for each distinct document; those without an id are in no class
+    assert got == [(2, 2), (2, 2), (4, 4), (5, 2), (7, 7), (8, 7), (9, 2)]
+    assert S.near_classes(table([])).collect() == []
