@@ -189,3 +189,13 @@ def test_sinks_replace_their_projects_alone(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         sinks.write_documents(failing, target)
     assert spark.read.parquet(target).filter("project = 'a' and text = 'old'").count() == 50
+
+
+def test_chain_sizes(spark):
+    """Rounds that join a table with itself keep its real size, not the product of all estimates before."""
+    rows = [("p", "a.ts", f"N{i}", "a.ts", f"N{i + 1}") for i in range(200)]
+    rows += [("p", "b.ts", name, "b.ts", to) for name, to in ("XY", "YZ", "ZX", "WX")]
+    frame = spark.createDataFrame(rows, "project string, path string, name string, to_path string, to_name string")
+    ends = modules.chain_ends(frame)
+    assert sorted(r["to_name"] for r in ends.collect()) == ["N200"] * 200
+    assert ends._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
