@@ -13,7 +13,7 @@ A name that ``export *`` brings from two declarations is not exported, as in the
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,7 +249,7 @@ def handed_on(sources: DataFrame, configs: DataFrame | None = None) -> bool:
 
 
 class Modules:
-    """Module paths and exports of the sources, written down: ``files``, ``targets`` and ``exports``.
+    """Module paths and exports of the sources, written down: ``files``, ``targets`` and, once asked for, ``exports``.
 
     ``exports``: project, path, name, decl_path, decl_name of each name that a file exports and that leads to a
     declaration (or to a namespace, then ``decl_name`` is ``*``).
@@ -262,9 +262,16 @@ class Modules:
         used = self.files.select("project", "path", F.explode(each("imported")).alias("i")).select("project", "path", "i.module")
         used = used.union(exported.filter("module is not null").select("project", "path", "module"))
         self.targets = checkpointed(module_targets(used, sources.select("project", "path"), configs))
-        self.exports = self._exports(exported)
+        self._exported = exported
+
+    @cached_property
+    def exports(self) -> DataFrame:
+        return self._exports(self._exported)
+
+    @property
+    def moved(self) -> DataFrame:
         here = (F.col("decl_path") == F.col("path")) & (F.col("decl_name") == F.col("name"))
-        self.moved = self.exports.filter(~here)
+        return self.exports.filter(~here)
 
     def _exports(self, exported: DataFrame) -> DataFrame:
         at_home = exported.filter("module is null").select(*KEY, F.col("path").alias("decl_path"), F.col("local").alias("decl_name"))

@@ -199,3 +199,10 @@ def test_chain_sizes(spark):
     ends = modules.chain_ends(frame)
     assert sorted(r["to_name"] for r in ends.collect()) == ["N200"] * 200
     assert ends._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+
+
+def test_targets_alone(one_file):
+    """Module paths are looked up without following exports."""
+    found = modules.Modules(one_file("export * from './b';\n"))
+    assert [r["target"] for r in found.targets.collect()] == ["src/b.ts"]
+    assert "exports" not in vars(found)
