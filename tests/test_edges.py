@@ -1,5 +1,8 @@
 """Hand-written snippets for odd source text, and both readings where there are two."""
 
+import glob
+import os
+
 from pyspark.sql import functions as F
 
 from srcatlas.functions.outline import unfold, with_outline
@@ -7,6 +10,7 @@ from srcatlas.functions.typetext import classify_types, unwrap_types
 from srcatlas.operators import api, closure, entities, imports, types
 from srcatlas.operators.tree import folder_tree
 from srcatlas.sources import scan
+from workload import registry
 
 RAW = {"scope": "file", "decorators": "last", "arguments": "raw", "targets": "strict"}
 
@@ -294,3 +298,9 @@ def test_types_after_a_fault_are_found(one_file):
     df = one_file("export class B {\n  a(): void {\n    if (x) {\n  }\n}\nexport class Rest {\n  y: string;\n}\nexport interface I { x: number }\n")
     assert {(r.type_name, r.name) for r in types.type_fields(df).collect()} == {("Rest", "y"), ("I", "x")}
     assert len(entities.rejects(df).collect()) == 1
+
+
+def test_tree_is_written_by_many_tasks(spark, sf_dir):
+    registry.queries()["read_tree"](spark, sf_dir)
+    names = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/tree-*/**/part-*.txt", recursive=True)
+    assert len({os.path.basename(n).split("-")[1] for n in names}) > 1
