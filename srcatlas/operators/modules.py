@@ -209,8 +209,10 @@ def chain_ends(edges: DataFrame, taken: tuple[str, ...] = (), either: tuple[str,
     edges = checkpointed(edges)
     keys = edges.select("project", F.col("path").alias("to_path"), F.col("name").alias("to_name"))
     to = ["project", *ENDS]
-    ended = [checkpointed(edges.join(keys, to, "left_anti").select(*columns))]
     open_ = checkpointed(edges.join(keys, to, "left_semi").select(*columns))
+    if open_.isEmpty():
+        return edges
+    ended = [checkpointed(edges.join(keys, to, "left_anti").select(*columns))]
     # each round doubles the steps taken, and a chain without a cycle has no more edges than are open
     for _ in range(math.ceil(math.log2(max(open_.count(), 1))) + 1):
         if open_.isEmpty():
@@ -230,7 +232,7 @@ def chain_ends(edges: DataFrame, taken: tuple[str, ...] = (), either: tuple[str,
         led = checkpointed(led.filter(F.col("_ended") | ~itself))
         ended.append(led.filter("_ended").drop("_ended"))
         open_ = led.filter(~F.col("_ended")).drop("_ended")
-    return checkpointed(reduce(DataFrame.union, ended))
+    return reduce(DataFrame.union, ended)
 
 
 #: Texts that make a name of one file mean a declaration of another under another name or through a third file.
@@ -249,17 +251,18 @@ def handed_on(sources: DataFrame, configs: DataFrame | None = None) -> bool:
 
 
 class Modules:
-    """Module paths and exports of the sources, written down: ``files``, ``targets`` and, once asked for, ``exports``.
+    """Module paths and exports of the sources, written down: ``targets`` and, once asked for, ``exports``.
 
     ``exports``: project, path, name, decl_path, decl_name of each name that a file exports and that leads to a
     declaration (or to a namespace, then ``decl_name`` is ``*``).
     """
 
     def __init__(self, sources: DataFrame, configs: DataFrame | None = None):
-        self.files = checkpointed(file_modules(sources))
-        exported = self.files.select("project", "path", F.explode(each("exported")).alias("e")).select("project", "path", "e.*")
-        exported = checkpointed(exported.distinct())
-        used = self.files.select("project", "path", F.explode(each("imported")).alias("i")).select("project", "path", "i.module")
+        # of imports only the module paths are kept, each once in a file
+        modules = F.array_distinct(F.transform("imported", lambda i: i["module"])).alias("used")
+        files = checkpointed(file_modules(sources).select("project", "path", modules, F.array_distinct("exported").alias("exported")))
+        exported = files.select("project", "path", F.explode(each("exported")).alias("e")).select("project", "path", "e.*")
+        used = files.select("project", "path", F.explode(each("used")).alias("module"))
         used = used.union(exported.filter("module is not null").select("project", "path", "module"))
         self.targets = checkpointed(module_targets(used, sources.select("project", "path"), configs))
         self._exported = exported
@@ -284,20 +287,25 @@ class Modules:
         # a name exported twice would be an error; the smaller target counts
         edges = edges.groupBy(*KEY).agg(F.min(F.struct(F.col("target").alias("to_path"), F.col("local").alias("to_name"))).alias("t"))
         edges = chain_ends(edges.select(*KEY, "t.to_path", "t.to_name"))
-        own = exported.filter("name is not null").select(*KEY).distinct()
+        own = exported.filter("name is not null").select(*KEY)
         found = [checkpointed(at_home.union(spaces).distinct())]
+        by_stars: list[DataFrame] = []
+        last = found[0]
         while True:
-            last = found[-1]
             by_name = edges.join(last.select("project", F.col("path").alias("to_path"), F.col("name").alias("to_name"), "decl_path", "decl_name"), ["project", *ENDS])
             by_star = stars.join(last.filter(F.col("name") != DEFAULT).withColumnRenamed("path", "to_path"), ["project", "to_path"])
-            by_star = by_star.select(*last.columns).join(own, KEY, "left_anti")
-            fresh = by_name.select(*last.columns).union(by_star).distinct()
-            for known in found:
-                fresh = fresh.join(known, last.columns, "left_anti")
-            fresh = checkpointed(fresh)
+            # a file's own names come by no star: what came by stars before is all that can come again. By name, each comes once,
+            # as a key has one edge
+            by_star = by_star.select(*last.columns).join(own, KEY, "left_anti").distinct()
+            for known in by_stars:
+                by_star = by_star.join(known.filter("by_star"), last.columns, "left_anti")
+            kind = lambda df, star: df.select(*last.columns, F.lit(star).alias("by_star"))
+            fresh = checkpointed(kind(by_name, False).union(kind(by_star, True)))
             if fresh.isEmpty():
                 break
-            found.append(fresh)
+            by_stars.append(fresh)
+            last = fresh.drop("by_star")
+            found.append(last)
         every = reduce(DataFrame.union, found)
         meant = F.struct("decl_path", "decl_name")
         alone = every.groupBy(*KEY).agg(F.min(meant).alias("d"), F.max(meant).alias("other")).filter("d = other")

@@ -1,5 +1,7 @@
 """Names handed on by modules, path aliases and types that stand for others, on small projects."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,22 @@ def test_targets_alone(one_file):
     found = modules.Modules(one_file("export * from './b';\n"))
     assert [r["target"] for r in found.targets.collect()] == ["src/b.ts"]
     assert "exports" not in vars(found)
+
+
+def test_exports_write_little(spark, project):
+    """Steps are compressed for size, chains that need no step are not written again, and names that stars repeat end."""
+    sources = project(
+        {
+            "src/a.ts": "export * from './b';\nexport class A {}\nexport { B as Named } from './b';",
+            "src/b.ts": "export * from './a';\nexport class B {}",
+        }
+    )
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/step-*"
+    before = set(glob.glob(folder))
+    assert exported(sources) == {
+        ("src/a.ts", "A"): ("src/a.ts", "A"), ("src/a.ts", "B"): ("src/b.ts", "B"), ("src/a.ts", "Named"): ("src/b.ts", "B"),
+        ("src/b.ts", "B"): ("src/b.ts", "B"), ("src/b.ts", "A"): ("src/a.ts", "A"), ("src/b.ts", "Named"): ("src/b.ts", "B"),
+    }
+    steps = set(glob.glob(folder)) - before
+    assert len(steps) <= 12
+    assert all(".zstd." in name for step in steps for name in glob.glob(f"{step}/*.parquet"))
