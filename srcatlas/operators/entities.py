@@ -50,6 +50,10 @@ _RAW_HEAD = (
     r"@\w+\s*(?:\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*[\w.]+|['\"]\w+['\"]))?"
 )
 _TARGET = r"^\(\s*(?:(?:\([^()]*\)|\w+)\s*=>\s*(?:\w+\.)*(\w+)|['\"](\w+)['\"])"
+# The same on a folded argument list: an arrow function's parameters are a group.
+_FOLDED_TARGET = r"^\(\s*(?:«p(\d+)»|\w+)\s*⇒\s*(?:\w+\.)*(\w+)"
+# Parameters that hold neither a group with parentheses nor a literal.
+_BARE_PARAMETERS = r"^\([^()«‹]*\)$"
 
 
 def _find(text: Column, pattern: str, group: int = 0) -> Column:
@@ -154,6 +158,13 @@ def _own_target(argument: Column) -> Column:
     )
 
 
+def _folded_target(o: Column, group: Column) -> Column:
+    """``_own_target`` of a group that is still folded; '' where it must be unfolded to tell."""
+    group_id = F.regexp_extract(group, _FOLDED_TARGET, 1)
+    bare = (group_id == "") | F.coalesce(block(o, group_id).rlike(_BARE_PARAMETERS), F.lit(False))
+    return F.when(bare, F.regexp_extract(group, _FOLDED_TARGET, 2)).otherwise("")
+
+
 def _property(name: Column, type_: Column, decorators: Column) -> Column:
     return F.struct(
         name.alias("name"),
@@ -226,15 +237,23 @@ def _with_body_properties(rows: DataFrame, decorators: str, targets: str) -> Dat
             ),
         )
 
+    def folded_first(h: Column) -> Column:
+        # only relations have a target, and what can be told from the folded group need not be unfolded
+        known = F.when(h["name"].isin(P.RELATION_DECORATORS), _folded_target(o, h["target"])).otherwise("")
+        open_ = h["name"].isin(P.RELATION_DECORATORS) & (known == "")
+        return F.struct(h["owner"], h["name"], known.alias("known"), F.when(open_, h["target"]).otherwise("").alias("target"))
+
     rows = rows.withColumn("_found", F.flatten(F.transform("bodies", of_body)))
     rows = rows.withColumn("_heads", F.flatten(F.transform("_found", heads_of)))
+    if targets == "any":
+        rows = rows.withColumn("_heads", F.transform("_heads", folded_first))
     rows = unfold_fields(rows, "_heads", "target")
     rows = unfold_fields(rows, "_found", "type")
     heads = F.transform(
         "_heads",
         lambda h: h.withField(
             "target",
-            _own_target(h["target"])
+            F.when(h["known"] != "", h["known"]).otherwise(_own_target(h["target"]))
             if targets == "any"
             else L.arrow_target(h["target"]),
         ),
@@ -434,7 +453,10 @@ def property_decorators(sources: DataFrame, **reading: str) -> DataFrame:
 
 def relationships(sources: DataFrame, **reading: str) -> DataFrame:
     """Edges of entity classes, in (path, class, property, decorator) order."""
-    entity_files = sources.filter(F.col("content").contains(P.ENTITY_MARKER))
+    content = F.col("content")
+    # the names of all relations end with one of these two words
+    related = content.contains("ToOne") | content.contains("ToMany")
+    entity_files = sources.filter(content.contains(P.ENTITY_MARKER) & related)
     rows = _exploded(
         class_records(entity_files, ("properties",), **reading), "properties"
     )

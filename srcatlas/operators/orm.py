@@ -48,9 +48,13 @@ def for_kind(
 ) -> DataFrame:
     """Facts of the projects of one kind.
 
-    Facts are extracted first and then joined with the project names: shuffling facts is far cheaper than
-    shuffling file contents, and no file content ever moves.  Where the names are few the join is a broadcast
-    one, by their size at run time.
+    Texts of other projects are not read for them: the names of the kind's projects, one short text each, are sent to all
+    executors, so no file content moves.
     """
     wanted = detect_orm(manifests).filter(F.col("kind") == kind).select("project")
-    return settle(extract(sources)).join(wanted, "project", "left_semi")
+    return settle(extract(of_projects(sources, wanted)))
+
+
+def of_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rows of these projects, left where they are."""
+    return rows.join(F.broadcast(projects.distinct()), "project", "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.functions.outline import unfold, with_outline
 from srcatlas.functions.typetext import classify_types, unwrap_types
-from srcatlas.operators import api, closure, entities, imports, types
+from srcatlas.operators import api, closure, entities, imports, orm, types
 from srcatlas.operators.tree import folder_tree
 from srcatlas.sources import scan
 from workload import registry
@@ -304,3 +304,29 @@ def test_tree_is_written_by_many_tasks(spark, sf_dir):
     registry.queries()["read_tree"](spark, sf_dir)
     names = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/tree-*/**/part-*.txt", recursive=True)
     assert len({os.path.basename(n).split("-")[1] for n in names}) > 1
+
+
+def test_only_texts_of_the_kind_are_read(spark):
+    rows = [(p, "src/a.ts", "@Entity()\nclass A {\n  @ManyToOne(() => B)\n  b: B;\n}\n") for p in ("t", "m", "none")]
+    sources = spark.createDataFrame(rows, "project string, path string, content string")
+    manifests = spark.createDataFrame([("t", "typeorm"), ("t", "typeorm"), ("m", "mongoose")], "project string, content string")
+    given = []
+    edges = orm.for_kind(sources, manifests, "typeorm", lambda s: given.append(s) or entities.relationships(s))
+    assert [r["project"] for r in given[0].collect()] == ["t"]
+    assert rows_of(edges) == [("t", "A", "B", "ManyToOne")]
+
+
+def rows_of(edges):
+    return [(r["project"], r["from"], r["to"], r["type"]) for r in edges.collect()]
+
+
+def test_targets_told_from_folded_arguments(one_file):
+    forms = {
+        "() => X": "X", "(t) => m.X": "X", "type => X, (x) => x.a": "X", "'X'": "X", '"X", {}': "X", "( t : T<A, B> ) => X": "X",
+        "({ a }) => X": "X", "(a, b) => X": "X", "(t = f()) => X": "", "(t = ')') => X": "", "(t = 'x') => X": "X", "{ of: () => X }": "",
+        "() => [X]": "", "": "", "() /* => Y */ => X": "X", "forwardRef(() => X)": "",
+    }
+    text = "".join(f"  @Column()\n  @OneToOne({form})\n  p{i}: X;\n" for i, form in enumerate(forms))
+    edges = entities.relationships(one_file("@Entity()\nclass A {\n" + text + "}\n"))
+    found = {r["property_pos"]: r["to"] for r in edges.collect()}
+    assert {form: found.get(i, "") for i, form in enumerate(forms)} == forms
