@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcatlas.operators import closure, modules, types
+from srcatlas.operators.imports import files_met
 from srcatlas.sources import sinks
 
 
@@ -227,3 +228,20 @@ def test_exports_write_little(spark, project):
     steps = set(glob.glob(folder)) - before
     assert len(steps) <= 12
     assert all(".zstd." in name for step in steps for name in glob.glob(f"{step}/*.parquet"))
+
+
+def test_files_that_endpoints_can_meet(project):
+    """Controllers and what any file may import are kept, however the import is written; others are left out."""
+    sources = project(
+        {
+            "src/a/c.controller.ts": "// it's a note\nimport { A } from /* here */ '../x';\n@Controller('c')\nclass C {\n  @Get('g')\n  g(): A {\n  }\n}\n",
+            "src/x.ts": "import type { B } from\n  \"src/y.ts\"; import D from `./z`\nexport class A {\n  b: B;\n  d: D;\n}\n",
+            "src/y.ts": "export class B {\n  s: string;\n}\n",
+            "src/z.ts": "export class D {\n  s: string;\n}\n",
+            "src/unmet.ts": "import { B } from './y';\nexport class U {\n  b: B;\n}\n",
+        }
+    )
+    assert {r["path"] for r in files_met(sources).collect()} == {"src/a/c.controller.ts", "src/x.ts", "src/y.ts", "src/z.ts"}
+    types = closure.Types(sources, of_endpoints=True)
+    assert {r["name"] for r in types.edges.select("name").collect()} == {"A", "B", "C", "D"} - {"C"}
+    assert {r["name"] for r in closure.Types(sources).edges.select("name").collect()} == {"A", "B", "D", "U"}
