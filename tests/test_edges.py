@@ -9,6 +9,7 @@ from srcatlas.functions.outline import unfold, with_outline
 from srcatlas.functions.typetext import classify_types, unwrap_types
 from srcatlas.operators import api, closure, entities, imports, orm, types
 from srcatlas.operators.tree import folder_tree
+from srcatlas.plans import document
 from srcatlas.sources import scan
 from workload import registry
 
@@ -330,3 +331,22 @@ def test_targets_told_from_folded_arguments(one_file):
     edges = entities.relationships(one_file("@Entity()\nclass A {\n" + text + "}\n"))
     found = {r["property_pos"]: r["to"] for r in edges.collect()}
     assert {form: found.get(i, "") for i, form in enumerate(forms)} == forms
+
+
+def test_headings_are_read_without_folding_entities(spark):
+    texts = {
+        "src/e.ts": "@Entity()\nclass E {\n  @Column()\n  a: string;\n}\n",
+        "src/p.ts": "class P {\n  m(a: string): string {\n  }\n}\n",
+        "src/c.ts": "@Controller('c')\nclass C {\n  @Get('g')\n  g(a: string): string {\n  }\n}\n",
+    }
+    rows = [(p, path, text) for p in ("t", "none") for path, text in texts.items()]
+    files = spark.createDataFrame(rows, "project string, path string, content string")
+    manifests = spark.createDataFrame([("t", "typeorm"), ("none", "")], "project string, content string")
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/outline-*"
+    before = set(glob.glob(folder))
+    made = {(r["project"], r["text"]) for r in document.contents(files, manifests, "2024-01-31").collect() if r["path"]}
+    texts_made = {"Entity: E", "Class: P", "Method: m", "Class: C", "Method: g", "Function: g", "Endpoint: GET c/g"}
+    assert made == {("t", text) for text in texts_made}
+    (outline,) = set(glob.glob(folder)) - before
+    kept = spark.read.parquet(outline).select("project", "path").collect()
+    assert sorted(tuple(r) for r in kept) == [("t", "src/c.ts"), ("t", "src/p.ts")]
