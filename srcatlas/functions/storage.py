@@ -30,6 +30,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(spark: SparkSession, target: str) -> str | None:
+    """``target`` as a path that Python opens, on the driver and on executors; None on other file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    uri = system.makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written out: later steps read them and do not depend on how they came.
 

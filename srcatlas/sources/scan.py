@@ -2,14 +2,100 @@
 
 from __future__ import annotations
 
+import os
+import re
+import zlib
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.functions.shipping import ship
+from srcatlas.functions.storage import local_path
 from srcatlas.functions.text import base_name, normalize_newlines
 
 
+#: Patterns that mean the same to Python and to Spark, and whose files are not compressed.
+_PLAIN_PATTERN = re.compile(r"[\w.*?-]*\.(?:ts|txt|json|js|prisma|md)")
+_TREE = "project string, path string, content binary"
+_BATCH_BYTES = 16 << 20
+
+
 def read_tree(spark: SparkSession, root: str, pattern: str = "*.ts") -> DataFrame:
-    """Files below ``<root>/<project>/`` as (project, path, content), one row per file."""
+    """Files below ``<root>/<project>/`` as (project, path, content), one row per file.
+
+    Spark lists all folders before it reads, on the driver or a task for each few, and reads 32 small files in a task; on a local
+    file system that tasks can open, they list and read by themselves.
+    """
+    local = local_path(spark, root) if _PLAIN_PATTERN.fullmatch(pattern) else None
+    if local is None or not os.path.isdir(local):
+        return _read_by_spark(spark, root, pattern)
+    parts = 4 * spark.sparkContext.defaultParallelism
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                yield from _batches(tree_files(local, pattern, bucket, parts))
+
+    ship(spark)
+    files = spark.range(parts, numPartitions=parts).mapInArrow(read, _TREE)
+    # a text is taken as it is, as Spark takes it
+    return files.withColumn("content", F.col("content").cast("string"))
+
+
+def _batches(files: Iterator[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[str, str, bytes]] = []
+    size = 0
+    for project, path, file in files:
+        with open(file, "rb") as opened:
+            text = opened.read()
+        if not text:  # Spark has no row for an empty file
+            continue
+        rows.append((project, path, text))
+        size += len(text) + 200
+        if size > _BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows)
+    kinds = (pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["project", "path", "content"])
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark passes over a file or folder of this name."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def tree_files(root: str, pattern: str, bucket: int, parts: int) -> Iterator[tuple[str, str, str]]:
+    """(project, path, file) of the files of one of ``parts`` buckets below a folder.
+
+    Of many projects each is in one bucket; of few, each file is, so that a large one does not fall to one task.
+    """
+    names = sorted(n for n in os.listdir(root) if not _hidden(n))
+    own = lambda text: zlib.crc32(text.encode("utf-8", "surrogateescape")) % parts == bucket
+    many = len(names) >= _MANY * parts
+    open_ = [n for n in names if not many or own(n)]
+    while open_:
+        inside = open_.pop()
+        full = os.path.join(root, inside)
+        if os.path.isdir(full):
+            open_ += [f"{inside}/{n}" for n in os.listdir(full) if not _hidden(n)]
+        elif fnmatchcase(os.path.basename(inside), pattern) and (many or own(inside)):
+            project, _, path = inside.partition("/")
+            yield project, path or project, full
+
+
+_MANY = 50
+
+
+def _read_by_spark(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     df = spark.read.text(
         root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern
     ).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file"))

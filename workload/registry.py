@@ -271,11 +271,7 @@ def _read_tree(spark: SparkSession, d: str) -> DataFrame:
     target = fresh_dir(spark, "tree")
     rows = corpus.customer_files(spark, d, corpus.n_projects(spark, d))
     # one folder for each file; the writer names the file itself
-    rows = rows.select(F.concat_ws("/", "project", "path").alias("where"), F.col("content").alias("value"))
-    # the table may come as one split; tasks move their own files into place (2), not the driver all of them
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.repartition(parts, "where").write.partitionBy("where")
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(target)
+    sinks.write_texts(rows.select(F.concat_ws("/", "project", "path").alias("where"), F.col("content").alias("value")), target)
     read = scan.read_tree(spark, target, "*.txt")
     inside = F.url_decode(F.replace(F.regexp_extract("project", "^where=(.*)$", 1), F.lit("+"), F.lit("%2B")))
     return read.select(
