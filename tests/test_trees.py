@@ -3,6 +3,7 @@
 import os
 
 from srcatlas.sources import scan, sinks
+from workload import corpus
 
 
 def _tree(root, files):
@@ -53,3 +54,11 @@ def test_texts_of_one_folder_come_into_one_file(spark, tmp_path):
     assert found == {
         "where=p%2Fa b.ts": b"x\nx\n", "where=q": b"\n", "where=__HIVE_DEFAULT_PARTITION__": b"none\nnone\n", "where=r%25%27%3D": "é\n".encode(),
     }
+
+
+def test_module_texts_are_made_after_keys_are_dealt(spark, sf_dir):
+    """Texts are far larger than the keys that they are made of; only these are shuffled."""
+    plan = corpus.module_files(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    (below,) = plan.split("RepartitionByExpression")[1:]
+    assert "export class" in plan.split("RepartitionByExpression")[0] and "export class" not in below.split("Relation")[0]
+    assert len(corpus.handing_files(spark, sf_dir).inputFiles()) > 1

@@ -446,7 +446,11 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("src/lib/m<<k>>.barrel.ts", fill(_BARREL, k=k, more=more)),
         ("src/app/u<<k>>.controller.ts", fill(_USER, k=k, j=first, barrel=barrel)),
     ]
-    frames = [_file(df, _by_project(k, n), fill(path, k=k), text) for path, text in texts]
+    # keys are dealt before texts are made of them: keys alone are shuffled
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = F.array(*(F.struct(fill(path, k=k).alias("path"), text.alias("content")) for path, text in texts))
+    dealt = df.repartition(parts, "p_partkey").select(k, F.explode(made).alias("f"))
+    frames = [_file(dealt, _by_project(k, n), F.col("f.path"), F.col("f.content"))]
     s = F.col("s_suppkey")
     here = F.when(s % 2 == 0, '"@lib/*": ["gone/*", "src/lib/*"]').otherwise('"@lib/*": ["lib/*"], "@lib/m": ["lib/gone"],')
     config = fill(
@@ -528,14 +532,15 @@ FAMILIES = [
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
-    """Files written once per application to the shared folder, as a project table would be."""
+def _once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame], dealt: bool = False) -> DataFrame:
+    """Files written once per application to the shared folder, as a project table would be; ``dealt``: in enough parts already."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         target = fresh_dir(spark, name)
         # the tables come in few files, but generated text is far larger than what it is made from
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        made().repartition(parts, "path").write.parquet(target)
+        rows = made()
+        (rows if dealt else rows.repartition(parts, "path")).write.parquet(target)
         _written[key] = target
     return spark.read.parquet(_written[key])
 
@@ -548,7 +553,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def handing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the projects whose files hand names on."""
-    return _once(spark, sf_dir, "modules", lambda: module_files(spark, sf_dir))
+    return _once(spark, sf_dir, "modules", lambda: module_files(spark, sf_dir), dealt=True)
 
 
 def ringed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
